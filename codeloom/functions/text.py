@@ -66,6 +66,21 @@ def average_line_length(content: Column) -> Column:
     return (F.length(content) - newlines) / (newlines + 1)
 
 
+def one_decimal(value: Column) -> Column:
+    """A non-negative double with one decimal, ties as IEEE rounding has them.
+
+    The fraction is scaled to a whole number, which is exact, and rounded half
+    to even there; `format_string` would round the printed digits instead.
+    """
+    whole = F.floor(value)
+    scaled = ((value - whole) * F.lit(float(2**58))).cast("long") * 10
+    tenth = F.shiftright(scaled, 58)
+    rest = scaled.bitwiseAND(F.lit(2**58 - 1))
+    up = (rest > 2**57) | ((rest == 2**57) & (tenth % 2 == 1))
+    tenths = whole * 10 + tenth + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def branch_count(content: Column) -> Column:
     """Branch keywords and `&&` / `||` between word characters.
 

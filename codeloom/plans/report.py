@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions import paths
+from codeloom.functions import paths, text
 from codeloom.operators import files as file_ops
 
 
@@ -60,10 +60,10 @@ def report_lines(analyses: DataFrame, summaries: DataFrame | None = None,
             _text("- Linhas em branco: ", blank),
             _text("- Linhas de conteúdo: ", F.col("code_lines")),
             _text("- Tamanho máximo de linha: ", F.col("max_line_length")),
-            F.concat(F.lit("- Tamanho médio de linha: "), F.format_string("%.1f", F.col("avg_line_length"))),
+            F.concat(F.lit("- Tamanho médio de linha: "), text.one_decimal(F.col("avg_line_length"))),
         ),
         F.when(is_code, F.array(
-            F.concat(F.lit("- Complexidade: "), F.format_string("%.1f", F.col("complexity")))
+            F.concat(F.lit("- Complexidade: "), text.one_decimal(F.col("complexity")))
         )).otherwise(F.array().cast("array<string>")),
     )
     body = analyses.select(
