@@ -28,11 +28,10 @@ from codeloom.operators.entities import python_files
 from codeloom.operators.smells import SMELL_COLUMNS, smell_struct
 from codeloom.settings import Thresholds
 
-# Characters counted one by one, all others together: up to 32 of each
-# frequent one, 16 of the rest. Any choice gives a valid bound; this one
-# separates code well.
+# Characters counted, up to 32 of each frequent one and 16 of the rest. Any
+# choice gives a valid bound; this one separates code well.
 FREQUENT = "aeinorst_ "
-RARE = "bcdfghjklmpquvwxyz0123456789=().,:\"'[]"
+RARE = "bcdfghlmpu0123456789=()\""
 TILE = 1024
 
 
@@ -42,12 +41,12 @@ def character_counts(block: Column) -> list[Column]:
     The number of bits in which two such longs differ is the sum of the
     differences of their counts; a run cut at its width can only lower it.
     """
-    size = F.length(block)
+    size = F.octet_length(block)
 
     def run(count: Column, width: int) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("long"), F.least(count, F.lit(width))) - 1
 
-    counts = {c: size - F.length(F.replace(block, F.lit(c), F.lit(""))) for c in FREQUENT + RARE}
+    counts = {c: size - F.octet_length(F.replace(block, F.lit(c), F.lit(""))) for c in FREQUENT + RARE}
     packed = []
     for width, chars in ((32, FREQUENT), (16, RARE)):
         per_long = 64 // width
@@ -104,8 +103,9 @@ def duplicate_lines(files: DataFrame, limits: Thresholds = Thresholds(), tile: i
     # evaluation of the content in a derived not-null filter.
     body = F.coalesce(F.sha2("content", 256), F.lit("")).alias("body")
     keyed = python_files(files).select("project", "path", body, "content")
-    # Both sides of the join read this one exchange.
-    bodies = keyed.select("body", "content").dropDuplicates(["body"]).repartition(parts, "body")
+    # Both sides of the join read this one exchange. Its key differs from that
+    # of the step before, or the planner would leave it out.
+    bodies = keyed.select("body", "content").dropDuplicates(["body"]).repartition(parts, F.xxhash64("body"))
     blocks = block_table(bodies, n)
 
     def tile_of(position: Column) -> Column:
