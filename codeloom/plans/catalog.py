@@ -12,8 +12,10 @@ from codeloom.functions import keys, paths, text
 from codeloom.operators import access, duplicates, entities, matching, metrics, replies, smells
 from codeloom.operators import files as file_ops
 from codeloom.plans import report
+from codeloom.session import cut_lineage, fresh_dir
 from codeloom.sources import derived
 from codeloom.sources.tables import table
+from codeloom.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,7 +142,7 @@ def class_members(spark, folder):
 
 
 @query
-def smells_found(spark, folder):
+def entity_smells(spark, folder):
     return smells.entity_smells(entities.code_entities(derived.python_files(spark, folder)))
 
 
@@ -149,18 +151,30 @@ def duplicate_blocks(spark, folder):
     return duplicates.duplicate_smells(derived.python_files(spark, folder))
 
 
+def _all_smells(files):
+    """Entities and smells, each written once, as several results read them."""
+    found = cut_lineage(entities.code_entities(files), "entities")
+    every = smells.all_smells(smells.entity_smells(found), duplicates.duplicate_smells(files))
+    return found, cut_lineage(every, "smells")
+
+
+@query
+def smells_found(spark, folder):
+    files = derived.python_files(spark, folder)
+    return smells.all_smells(entity_smells(spark, folder), duplicates.duplicate_smells(files))
+
+
 @query
 def smell_density(spark, folder):
     files = derived.python_files(spark, folder)
-    found = entities.code_entities(files)
-    return smells.project_metrics(files, found, smells.entity_smells(found))
+    found, every = _all_smells(files)
+    return smells.project_metrics(files, found, every)
 
 
 @query
 def project_json(spark, folder):
     files = derived.python_files(spark, folder)
-    found = entities.code_entities(files)
-    every = smells.all_smells(smells.entity_smells(found), duplicates.duplicate_smells(files))
+    found, every = _all_smells(files)
     return report.project_documents(smells.project_metrics(files, found, every), every)
 
 
@@ -169,7 +183,8 @@ def report_lines(spark, folder):
     files = file_ops.eligible_files(
         derived.python_files(spark, folder).unionByName(derived.text_files(spark, folder))
     )
-    return report.report_lines(file_ops.analyse_files(files)).orderBy("project", "section", "path", "seq")
+    analyses = cut_lineage(file_ops.analyse_files(files), "analyses")
+    return report.report_lines(analyses).orderBy("project", "section", "path", "seq")
 
 
 # ---- prompts, replies, lint ----
@@ -240,7 +255,7 @@ def request_status(spark, folder):
 
 @query
 def review_comments(spark, folder):
-    found = smells.entity_smells(entities.code_entities(derived.python_files(spark, folder)))
+    found = entity_smells(spark, folder)
     return matching.review_comments(found, derived.changed_files(spark, folder))
 
 
@@ -280,12 +295,15 @@ def cohort_shares(spark, folder):
     return matching.cohort_shares(cohort_assignment(spark, folder))
 
 
-def _stored(spark, folder):
-    rows = derived.stored_results(spark, folder)
+def _keyed(rows):
     versioned = [F.when(F.col("version") == v, keys.result_key(F.col("path"), F.col("project"), v)) for v in (1, 2)]
     return rows.withColumn("key", F.coalesce(*versioned))
 
 
+def _stored(spark, folder):
+    return _keyed(derived.stored_results(spark, folder))
+
+
 @query
 def latest_result(spark, folder):
     return metrics.latest_results(_stored(spark, folder))
@@ -359,6 +377,11 @@ def ttl_reuse(spark, folder):
     return access.ttl_reuse(derived.accesses(spark, folder))
 
 
+@query
+def compute_points(spark, folder):
+    return access.compute_points(derived.accesses(spark, folder))
+
+
 @query
 def rate_limited(spark, folder):
     runs = derived.task_attempts(spark, folder).select("event_id", "task_name", F.col("started").alias("ts"))
@@ -375,5 +398,55 @@ def popular_keys(spark, folder):
     return access.popular_keys(derived.accesses(spark, folder), TOP_KEYS)
 
 
-# Two operators share their name with an imported module.
+# ---- streams, run over all available data ----
+
+def _streamed(spark, folder, derive):
+    """The `events` table as a stream, in the shape a derived input gives it."""
+    return derive(streams.table_stream(spark, folder, "events"))
+
+
+@query
+def stream_event_fanout(spark, folder):
+    events = _streamed(spark, folder, derived.domain_events_of)
+    out = fresh_dir(spark, "fanout")
+    streams.event_fanout(events, derived.SUBSCRIPTIONS, out).awaitTermination()
+    return spark.read.parquet(f"{out}/data").drop("ts")
+
+
+@query
+def stream_last_access(spark, folder):
+    out = fresh_dir(spark, "last-access")
+    streams.last_access(_streamed(spark, folder, derived.accesses_of), out).awaitTermination()
+    return streams.last_access_snapshot(spark, out)
+
+
+@query
+def stream_minute_counts(spark, folder):
+    out = fresh_dir(spark, "minutes")
+    streams.minute_counts(_streamed(spark, folder, derived.accesses_of), out).awaitTermination()
+    return streams.minute_counts_snapshot(spark, out)
+
+
+@query
+def stream_compute_points(spark, folder):
+    out = fresh_dir(spark, "points")
+    streams.compute_points(_streamed(spark, folder, derived.accesses_of), out).awaitTermination()
+    return streams.compute_points_snapshot(spark, out)
+
+
+@query
+def stream_latest_result(spark, folder):
+    out = fresh_dir(spark, "results")
+    streams.latest_results(_keyed(_streamed(spark, folder, derived.stored_results_of)), out).awaitTermination()
+    return streams.latest_results_snapshot(spark, out)
+
+
+@query
+def stream_popular_keys(spark, folder):
+    out = fresh_dir(spark, "popular")
+    streams.access_counts(_streamed(spark, folder, derived.accesses_of), out).awaitTermination()
+    return streams.popular_snapshot(spark, out, TOP_KEYS)
+
+
+# This query has the name of an imported module.
 QUERIES["smells"] = QUERIES.pop("smells_found")

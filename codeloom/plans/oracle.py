@@ -153,7 +153,37 @@ SMELLS = PY_LINES + ",\npy_smells AS (\n" + "\nUNION ALL\n".join([
     _smell("god_class", "", "kind = 'class' AND (n_methods > 20 OR n_attributes > 15)"),
 ]) + ")\n"
 
-DENSITY = SMELLS + r""",
+# Brute force over all pairs of blocks; letter counts spare most distances.
+_LETTERS = "aeinorst_ =0"
+_COUNTS = ", ".join(
+    f"(strlen(t) - strlen(replace(t, '{c}', '')))::SMALLINT AS c{i}" for i, c in enumerate(_LETTERS)
+)
+_COUNT_DIFFERENCE = " + ".join(f"abs(a.c{i} - b.c{i})" for i in range(len(_LETTERS)))
+_MESSAGE, _SEVERITY, _SUGGESTION = settings.SMELL_TEXTS["duplicate_code"]
+DUPLICATES = rf"""
+dup_lines AS (
+  SELECT project, path, list_transform(string_split(content, chr(10)), lambda x:
+    CASE WHEN starts_with(trim(x), '#') THEN '' ELSE trim(x) END) AS l FROM py_files),
+dup_blocks AS MATERIALIZED (
+  SELECT *, length(t) AS n, {_COUNTS} FROM (
+    SELECT project, path, i, array_to_string(list_filter(l[i:i + 5], lambda x: x <> ''), ' ') AS t
+    FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM dup_lines)) WHERE t <> ''),
+dup_pairs AS MATERIALIZED (
+  SELECT a.project, a.path, a.i, a.t AS s, b.t, greatest(a.n, b.n) AS m
+  FROM dup_blocks a JOIN dup_blocks b ON a.path = b.path AND b.i >= a.i + 6
+  WHERE abs(a.n - b.n) <= 0.2 * greatest(a.n, b.n) + 0.001
+    AND {_COUNT_DIFFERENCE} <= 0.4 * greatest(a.n, b.n) + 0.001),
+py_duplicates AS (
+  SELECT DISTINCT project, path, i AS line, 'duplicate_code' AS type, {_SEVERITY} AS severity,
+         {_quote(_MESSAGE).replace("%d-%d", "' || i || '-' || (i + 5) || '")} AS message,
+         {_quote(_SUGGESTION)} AS suggestion
+  FROM dup_pairs WHERE 1.0::DOUBLE - levenshtein(s, t)::DOUBLE / m >= 0.8::DOUBLE)
+"""
+ALL_SMELLS = SMELLS + "," + DUPLICATES + """,
+all_smells AS (SELECT * FROM py_smells UNION ALL SELECT * FROM py_duplicates)
+"""
+
+DENSITY = ALL_SMELLS + r""",
 py_counts AS (
   SELECT project,
          sum(len(l) - (l[-1] = '')::INT) AS total_lines,
@@ -163,7 +193,7 @@ py_counts AS (
 py_totals AS (
   SELECT project, count(*) FILTER (kind = 'function') AS total_functions,
          count(*) FILTER (kind = 'class') AS total_classes FROM py_entities GROUP BY project),
-py_severity AS (SELECT project, sum(severity) AS severity FROM py_smells GROUP BY project),
+py_severity AS (SELECT project, sum(severity)::BIGINT AS severity FROM all_smells GROUP BY project),
 py_density AS (
   SELECT project, total_lines, code_lines, blank_lines, total_functions, total_classes,
          coalesce(severity, 0) AS severity,
@@ -369,6 +399,16 @@ def _histogram() -> str:
 
 
 _TTL = settings.RESULT_TTL_SECONDS * 1_000_000
+CHAIN = f"""
+      t AS (SELECT key, epoch_us(ts) AS t FROM acc),
+      nxt AS (SELECT key, t, min(t) OVER (PARTITION BY key ORDER BY t
+                RANGE BETWEEN {_TTL + 1} FOLLOWING AND UNBOUNDED FOLLOWING) AS u FROM t),
+      chain AS (
+        SELECT key, min(t) AS t FROM t GROUP BY key
+        UNION ALL
+        SELECT chain.key, nxt.u FROM chain JOIN nxt ON nxt.key = chain.key AND nxt.t = chain.t
+        WHERE nxt.u IS NOT NULL)
+"""
 _KEY_EVENTS = "SELECT user_id || ':' || props AS key, ts FROM events WHERE event_type = "
 _BODY = "message || E'\\n' || suggestion"
 _COMMENTS = SMELLS + r""",
@@ -480,7 +520,16 @@ ORACLE = {
     "class_members": f"WITH {PY_LINES} SELECT project, path, name, start_line, n_methods, "
                      "n_public AS n_public_methods, n_attributes, coalesce(methods, '') AS methods "
                      "FROM py_entities WHERE kind = 'class'",
-    "smells": f"WITH {SMELLS} SELECT * FROM py_smells",
+    "entity_smells": f"WITH {SMELLS} SELECT * FROM py_smells",
+    "duplicate_blocks": f"WITH {PY_FILES}, {DUPLICATES} SELECT * FROM py_duplicates",
+    "smells": f"WITH {ALL_SMELLS} SELECT * FROM all_smells",
+    "project_json": f"""WITH {DENSITY}
+      SELECT project, 'metrics' AS kind, to_json({{'total_lines': total_lines::BIGINT,
+        'total_functions': total_functions, 'total_classes': total_classes, 'code_lines': code_lines::BIGINT,
+        'blank_lines': blank_lines::BIGINT, 'complexity': density}})::VARCHAR AS json FROM py_density
+      UNION ALL
+      SELECT project, 'smell', to_json({{'type': type, 'file': path, 'line': line, 'message': message,
+        'severity': severity, 'suggestion': suggestion}})::VARCHAR FROM all_smells""",
     "smell_density": f"WITH {DENSITY} SELECT * FROM py_density",
     "report_lines": REPORT,
     "text_chunks": f"WITH RECURSIVE {TEXT_FILES}, {CHUNKS} SELECT path, chunk_no, chunk FROM chunks",
@@ -563,16 +612,12 @@ ORACLE = {
                       "sum(size) OVER (ORDER BY last_ts DESC, key DESC) AS running, "
                       "row_number() OVER (ORDER BY last_ts DESC, key DESC) AS rn FROM last_access) "
                       f"WHERE running <= {catalog.BUDGET_BYTES} OR rn = 1",
-    "ttl_reuse": f"""WITH RECURSIVE {EVENTS},
-      t AS (SELECT key, epoch_us(ts) AS t FROM acc),
-      nxt AS (SELECT a.key, a.t, b.t AS u FROM t a ASOF JOIN t b ON a.key = b.key AND a.t + {_TTL} < b.t),
-      chain AS (
-        SELECT key, min(t) AS t FROM t GROUP BY key
-        UNION ALL
-        SELECT chain.key, nxt.u FROM chain JOIN nxt ON nxt.key = chain.key AND nxt.t = chain.t),
+    "ttl_reuse": f"""WITH RECURSIVE {EVENTS}, {CHAIN},
       c AS (SELECT key, count(*) AS computed FROM chain GROUP BY key)
     SELECT key, computed, n - computed AS reused FROM c JOIN (SELECT key, count(*) AS n FROM t GROUP BY key)
     USING (key)""",
+    "compute_points": f"WITH RECURSIVE {EVENTS}, {CHAIN} SELECT key, t FROM chain",
+    "stream_compute_points": f"WITH RECURSIVE {EVENTS}, {CHAIN} SELECT key, t FROM chain",
     "rate_limited": f"WITH {EVENTS} SELECT event_id, task_name, rn FROM (SELECT *, row_number() OVER ("
                     f"PARTITION BY task_name, date_trunc('{catalog.RATE_WINDOW}', started) ORDER BY started, event_id) "
                     f"AS rn FROM att) WHERE rn <= {catalog.RATE_LIMIT}",
@@ -585,6 +630,40 @@ ORACLE = {
                 ((n * sxy - sx * sy) * (n * ((SELECT max(x) FROM b) + 1) - sx) + sy * (n * sxx - sx * sx))
                 / (n * (n * sxx - sx * sx)) END AS heat FROM s)
     SELECT *, dense_rank() OVER (ORDER BY heat DESC) AS heat_rank FROM h""",
+    "stream_event_fanout": _fanout(),
+    "stream_last_access": f"WITH {EVENTS} SELECT key, last_ts FROM last_access",
+    "stream_minute_counts": f"WITH {EVENTS} SELECT date_trunc('minute', ts) AS minute, cache_type, "
+                            "count(*) AS accesses, count(*) FILTER (hit) AS hits, "
+                            "count(*) FILTER (NOT hit) AS misses FROM acc GROUP BY ALL",
+    "stream_latest_result": f"WITH {EVENTS} SELECT key, data, stored_at FROM latest",
+    "stream_popular_keys": f"WITH {EVENTS} SELECT key, count(*) AS accesses FROM acc GROUP BY key "
+                           f"ORDER BY accesses DESC, key LIMIT {catalog.TOP_KEYS}",
     "popular_keys": f"WITH {EVENTS} SELECT key, count(*) AS accesses FROM acc GROUP BY key "
                     f"ORDER BY accesses DESC, key LIMIT {catalog.TOP_KEYS}",
 }
+
+# Column types as the Spark queries give them, where DuckDB's own differ.
+_LINE_COLUMNS = ["total_lines", "blank_lines", "code_lines"]
+_TYPES = {
+    "file_metrics": dict.fromkeys([*_LINE_COLUMNS, "max_line_length"], "INTEGER"),
+    "line_counts_g1": dict.fromkeys(_LINE_COLUMNS, "INTEGER"),
+    "project_sizes": {"bytes": "BIGINT"},
+    "lines": dict.fromkeys(["line_no", "indent"], "INTEGER"),
+    "code_entities": dict.fromkeys(["start_line", "end_line", "params"], "INTEGER"),
+    "function_complexity": dict.fromkeys(["start_line", "complexity"], "INTEGER"),
+    "class_members": dict.fromkeys(
+        ["start_line", "n_methods", "n_public_methods", "n_attributes"], "INTEGER"),
+    "entity_smells": {"line": "INTEGER"},
+    "duplicate_blocks": {"line": "INTEGER"},
+    "smells": {"line": "INTEGER"},
+    "smell_density": dict.fromkeys(_LINE_COLUMNS, "BIGINT"),
+    "report_lines": {"seq": "INTEGER"},
+    "parse_suggestions_g1": {"record": "INTEGER"},
+    "lint_report": {"warnings_count": "INTEGER"},
+    "review_comments": {"line": "INTEGER"},
+    "recency_budget": {"running": "BIGINT"},
+    "rate_limited": {"rn": "INTEGER"},
+}
+for _name, _columns in _TYPES.items():
+    _casts = ", ".join(f"{c}::{t} AS {c}" for c, t in _columns.items())
+    ORACLE[_name] = f"SELECT * REPLACE ({_casts}) FROM ({ORACLE[_name]})"

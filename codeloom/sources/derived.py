@@ -200,14 +200,22 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
     ).select("project", "f.path", "f.content")
 
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
+def _numbered(events: DataFrame) -> DataFrame:
     number = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long")
-    return table(spark, folder, "events").withColumn("k", number)
+    return events.withColumn("k", number)
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return _numbered(table(spark, folder, "events"))
 
 
 def accesses(spark: SparkSession, folder: str) -> DataFrame:
     """`events` as an access log; the size of a key never changes."""
-    return _events(spark, folder).select(
+    return accesses_of(table(spark, folder, "events"))
+
+
+def accesses_of(events: DataFrame) -> DataFrame:
+    return _numbered(events).select(
         "event_id",
         F.concat(F.lit("k"), F.col("k").cast("string")).alias("key"),
         "ts",
@@ -267,8 +275,12 @@ def partial_results(spark: SparkSession, folder: str) -> DataFrame:
 
 def stored_results(spark: SparkSession, folder: str) -> DataFrame:
     """`events` as writes to the result store, of two key versions."""
+    return stored_results_of(table(spark, folder, "events"))
+
+
+def stored_results_of(events: DataFrame) -> DataFrame:
     path = F.concat(F.lit("/p/"), F.col("k").cast("string"))
-    return _events(spark, folder).select(
+    return _numbered(events).select(
         F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("project"),
         path.alias("path"),
         F.when(F.col("event_type") == "signup", F.lit(1)).otherwise(F.lit(2)).alias("version"),
@@ -279,10 +291,14 @@ def stored_results(spark: SparkSession, folder: str) -> DataFrame:
 
 def domain_events(spark: SparkSession, folder: str) -> DataFrame:
     """`events` as domain events of workspaces."""
+    return domain_events_of(table(spark, folder, "events"))
+
+
+def domain_events_of(events: DataFrame) -> DataFrame:
     kinds = {"signup": "workspace.created", "purchase": "changes.applied", "view": "analysis.started",
              "click": "analysis.completed", "error": "analysis.failed"}
     kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in kinds.items()])
-    return table(spark, folder, "events").select(
+    return events.select(
         "event_id", kind.alias("type"), F.concat(F.lit("ws"), F.col("user_id").cast("string")).alias("workspace_id"),
         F.col("props").alias("payload"), "ts",
     )
