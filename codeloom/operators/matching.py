@@ -49,14 +49,14 @@ def new_keys(requested: DataFrame, seen: DataFrame) -> DataFrame:
     return first.join(seen.select("key").distinct(), "key", "left_anti")
 
 
-def possibly_new_keys(requested: DataFrame, seen: DataFrame, bits: int = 1 << 20) -> DataFrame:
-    """Like `new_keys` with a bit set of `bits` bits in place of the key list.
+def possibly_new_keys(requested: DataFrame, seen: DataFrame, hex_digits: int = 5) -> DataFrame:
+    """Like `new_keys` with a bit set of 16 ** hex_digits bits in place of the key list.
 
     May miss a new key whose bit is taken, never lets a seen one through. The
-    bit set is kept as 64-bit words, so its size is fixed by `bits`.
+    bit set is kept as 64-bit words, so its size is fixed by `hex_digits`.
     """
     def place(key):
-        return F.pmod(F.xxhash64(key), F.lit(bits))
+        return F.conv(F.substring(F.md5(key), 1, hex_digits), 16, 10).cast("long")
 
     words = seen.select(place(F.col("key")).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("mask")

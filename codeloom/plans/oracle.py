@@ -571,6 +571,9 @@ ORACLE = {
     "event_fanout": _fanout(),
     "new_keys": f"SELECT key, min(ts) AS first_ts, count(*) AS requests FROM ({_KEY_EVENTS}'click') "
                 f"WHERE key NOT IN (SELECT key FROM ({_KEY_EVENTS}'purchase')) GROUP BY key",
+    "new_keys_bitset": f"SELECT key, min(ts) AS first_ts, count(*) AS requests FROM ({_KEY_EVENTS}'click') "
+                       f"WHERE substr(md5(key), 1, 5) NOT IN (SELECT substr(md5(key), 1, 5) FROM "
+                       f"({_KEY_EVENTS}'purchase')) GROUP BY key",
     "cohort_assignment": f"WITH {_cohorts()} SELECT * FROM cohorts",
     "cohort_shares": f"WITH {_cohorts()} SELECT cohort, count(*) AS users, "
                      "count(*) / (SELECT count(*) FROM customer) AS share FROM cohorts GROUP BY cohort",
