@@ -15,16 +15,23 @@ from codeloom import settings
 
 # Whitespace as str.strip sees it.
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-WORD = r"\p{L}\p{N}_"
+WORD = r"a-zA-Z0-9_\p{L}\p{N}"
 # Line ends as str.splitlines sees them.
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 
 
 def unicode_regex(pattern: str) -> str:
-    """Spell out `\\w`, `\\s` and `\\b` with Unicode character classes."""
+    """Spell out `\\w`, `\\s` and `\\b` with Unicode character classes.
+
+    In the patterns used here a repeated class is always followed by something
+    outside it, so giving characters back never helps: the repetitions are
+    made possessive, and a leading name is only tried at its first character.
+    """
     boundary = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
-    return (
-        pattern.replace(r"\w", f"[{WORD}]").replace(r"\s", f"[{SPACE}]").replace(r"\b", boundary)
+    head = f"(?<![{WORD}])" if pattern.startswith(r"(\w+)") else ""
+    eager = pattern.replace(r"\w+", r"\w++").replace(r"\s+", r"\s++").replace(r"\s*", r"\s*+")
+    return head + (
+        eager.replace(r"\w", f"[{WORD}]").replace(r"\s", f"[{SPACE}]").replace(r"\b", boundary)
     )
 
 

@@ -82,7 +82,7 @@ def block_table(bodies: DataFrame, n: int) -> DataFrame:
             F.transform(
                 "lines",
                 lambda _, i: F.array_join(
-                    F.filter(F.slice("lines", i + 1, F.lit(n)), lambda line: line != ""), " "
+                    F.array_remove(F.slice("lines", i + 1, F.lit(n)), ""), " "
                 ),
             )
         ).alias("i", "text"),
@@ -103,24 +103,26 @@ def duplicate_lines(files: DataFrame, limits: Thresholds = Thresholds(), tile: i
     # evaluation of the content in a derived not-null filter.
     body = F.coalesce(F.sha2("content", 256), F.lit("")).alias("body")
     keyed = python_files(files).select("project", "path", body, "content")
-    # Both sides of the join read this one exchange. Its key differs from that
-    # of the step before, or the planner would leave it out.
+    # The key differs from that of the step before, or the planner would leave
+    # the exchange out.
     bodies = keyed.select("body", "content").dropDuplicates(["body"]).repartition(parts, F.xxhash64("body"))
     blocks = block_table(bodies, n)
 
-    def tile_of(position: Column) -> Column:
-        return F.floor(position / tile)
-
-    left = blocks.filter(F.col("i") + n <= F.col("last")).select(
-        "*",
-        tile_of(F.col("i")).alias("left_tile"),
-        F.explode(F.sequence(tile_of(F.col("i") + n), tile_of(F.col("last")))).alias("right_tile"),
-    ).repartition(parts, "body", "left_tile", "right_tile").alias("a")
-    right = blocks.filter(F.col("i") >= n).select(
-        "*",
-        tile_of(F.col("i")).alias("right_tile"),
-        F.explode(F.sequence(F.lit(0).cast("long"), tile_of(F.col("i") - n))).alias("left_tile"),
-    ).repartition(parts, "body", "left_tile", "right_tile").alias("b")
+    # A block takes part in every pair of tiles its own tile belongs to. Both
+    # sides of the join are the same exchange, built once and read twice.
+    placed = (
+        blocks.withColumn("tile", F.floor(F.col("i") / tile))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / tile))))
+        .withColumn("first", F.least("tile", "other"))
+        .withColumn("second", F.greatest("tile", "other"))
+        .drop("other", "last")
+        .repartition(parts, "body", "first", "second")
+    )
+    # The optimizer would move the semi join below the repartitioning, back to
+    # the few partitions before it, and push not-null filters below one side
+    # only. The partition number of a row keeps both above the exchange.
+    held = placed.withColumn("at", F.spark_partition_id())
+    left, right = held.alias("a"), held.alias("b")
     longest = F.greatest(F.col("a.len"), F.col("b.len"))
     apart = F.abs(F.col("a.len") - F.col("b.len"))
     allowed = F.floor(longest * (1 - similarity) + 1e-6).cast("int")
@@ -131,14 +133,18 @@ def duplicate_lines(files: DataFrame, limits: Thresholds = Thresholds(), tile: i
     met = left.join(
         right,
         (F.col("a.body") == F.col("b.body"))
-        & (F.col("a.left_tile") == F.col("b.left_tile"))
-        & (F.col("a.right_tile") == F.col("b.right_tile"))
+        & (F.col("a.first") == F.col("b.first"))
+        & (F.col("a.second") == F.col("b.second"))
+        # Left from the first tile of the pair and right from the second.
+        & (F.col("a.tile") - F.col("b.tile") == F.col("a.first") - F.col("b.second"))
         & (F.col("b.i") >= F.col("a.i") + n)
         & (apart <= allowed)
         # An edit that keeps the length changes two counts by one, any other
         # edit changes one.
         & (count_difference("a", "b") + apart <= allowed * 2)
-        & similar,
+        & similar
+        & (F.col("a.at") >= 0)
+        & (F.col("b.at") >= 0),
         "left_semi",
     )
     hits = met.select("body", "i").distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
-from codeloom.sources.tables import table
+from codeloom.sources.tables import spread, table
 
 DIRECTORIES = ["src", "tests", "docs", "vendor", "node_modules", ".git", "venv", "lib",
                ".github/workflows"]
@@ -25,13 +25,17 @@ def _pick(number: Column, entries: list[str]) -> Column:
     return F.element_at(F.array(*[F.lit(e) for e in entries]), (number % len(entries) + 1).cast("int"))
 
 
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+
+
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """`documents` as a mixed source tree: one file per document."""
     doc = F.col("doc_id")
     plain = F.concat(F.lit("doc_"), doc.cast("string"), _pick(doc, EXTENSIONS))
     name = F.coalesce(*[F.when(doc % 13 == k, F.lit(v)) for k, v in NAMES.items()], plain)
     path = F.concat_ws("/", _pick(doc, DIRECTORIES), F.concat(F.lit("d"), doc.cast("string")), name)
-    return table(spark, folder, "documents").select(
+    return _documents(spark, folder).select(
         F.col("source").alias("project"),
         path.alias("path"),
         paths.extension(path).alias("ext"),
@@ -95,7 +99,7 @@ def python_files(spark: SparkSession, folder: str) -> DataFrame:
         F.split("text", r"[.\n]", -1),
         lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z]+", " ")),
     )
-    split = table(spark, folder, "documents").select(
+    split = _documents(spark, folder).select(
         "doc_id", "source", "lang", F.filter(sentences, lambda s: s != "").alias("pieces")
     )
     body = F.flatten(F.transform("pieces", _statement))
@@ -139,7 +143,7 @@ def lint_outputs(spark: SparkSession, folder: str) -> DataFrame:
             (F.length(line) % 100 / 10.0).cast("double").alias("score"),
         ),
     )
-    return table(spark, folder, "documents").select(
+    return _documents(spark, folder).select(
         F.col("source").alias("project"), "doc_id",
         F.when(F.length("text") % 11 == 0, F.lit("[]")).otherwise(F.to_json(message)).alias("raw_json"),
     )
@@ -161,7 +165,7 @@ def model_replies(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("\n  Sugestão: total_"), text, F.lit(" = 0\n"),
         bad, second, F.lit("Fim"),
     )
-    return table(spark, folder, "orders").select(key.alias("doc_id"), reply.alias("response"))
+    return spread(table(spark, folder, "orders"), "o_orderkey").select(key.alias("doc_id"), reply.alias("response"))
 
 
 def python_replies(spark: SparkSession, folder: str) -> DataFrame:
@@ -176,7 +180,7 @@ def python_replies(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 3 == 0, F.concat(F.lit("Explicação: "), F.col("o_orderpriority"), F.lit("\nLinha 1 a 2: fim\n")))
         .otherwise(F.lit("")),
     )
-    return table(spark, folder, "orders").select(key.alias("doc_id"), reply.alias("response"))
+    return spread(table(spark, folder, "orders"), "o_orderkey").select(key.alias("doc_id"), reply.alias("response"))
 
 
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
