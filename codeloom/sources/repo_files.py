@@ -2,33 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import settings
 from codeloom.functions import paths
 
+BATCH_BYTES = 32 * 1024 * 1024
+
 
 def scan_tree(spark: SparkSession, root: str, glob: str | None = None,
               max_bytes: int | None = settings.MAX_FILE_BYTES) -> DataFrame:
     """Read every file below `root`; the first directory is the project.
 
-    Spark's file source drops files by name and size before opening them.
-    Text is UTF-8 with undecodable bytes left out and line ends unified.
+    `root` is a folder all executors mount, or a store URI. Files are dropped
+    by name and size before they are opened. Text is UTF-8 with undecodable
+    bytes left out and line ends unified.
+    """
+    if "://" in root and not root.startswith("file://"):
+        return _scan_store(spark, root, glob, max_bytes)
+    return _scan_folder(spark, root.removeprefix("file://").rstrip("/"), glob, max_bytes)
+
+
+def _shaped(found: DataFrame, content: Column) -> DataFrame:
+    path = F.col("path")
+    return found.select(
+        F.regexp_extract(path, r"^([^/]*)/", 1).alias("project"),
+        "path",
+        paths.extension(path).alias("ext"),
+        "size",
+        F.regexp_replace(content, r"\r\n?", "\n").alias("content"),
+    )
+
+
+def _scan_folder(spark, root, glob, max_bytes) -> DataFrame:
+    """Spark's own file sources skip names such as `__init__.py` and `.env`,
+    so tasks list the projects, then other tasks read the files they found.
+
+    Reading follows a shuffle of the paths, which spreads one huge project.
     """
+    def walk(batches):
+        for batch in batches:
+            for name in batch["name"]:
+                start = os.path.join(root, name)
+                tree = os.walk(start) if os.path.isdir(start) else [(root, [], [name])]
+                for folder, _, names in tree:
+                    files = [os.path.join(folder, n) for n in names]
+                    files = [f for f in files if os.path.isfile(f)]
+                    yield pd.DataFrame({
+                        "path": [os.path.relpath(f, root) for f in files],
+                        "size": [os.path.getsize(f) for f in files],
+                    })
+
+    def read(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for path, size in zip(batch["path"], batch["size"]):
+                with open(os.path.join(root, path), "rb") as file:
+                    rows.append((path, size, file.read().decode("utf-8", "ignore")))
+                held += size
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "size", "text"])
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["path", "size", "text"])
+
+    cores = spark.sparkContext.defaultParallelism
+    tops = spark.createDataFrame([(n,) for n in sorted(os.listdir(root))], "name string")
+    listed = tops.repartition(2 * cores, "name").mapInPandas(walk, "path string, size long")
+    if max_bytes is not None:
+        listed = listed.filter(F.col("size") <= max_bytes)
+    if glob:
+        listed = listed.filter(F.col("path").rlike(paths.glob_regex(glob)))
+    parts = max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = listed.repartition(parts, "path").mapInPandas(read, "path string, size long, text string")
+    return _shaped(texts, F.col("text"))
+
+
+def _scan_store(spark, root, glob, max_bytes) -> DataFrame:
+    """Spark's binary file source; it leaves out names that start with `_` or `.`."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.load(root)
     if max_bytes is not None:
         raw = raw.filter(F.col("length") <= max_bytes)
-    base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
-    relative = F.substring_index(F.concat(F.lit("/"), F.col("path")), f"/{base}/", -1)
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
-    return raw.select(
-        F.regexp_extract(relative, r"^([^/]*)/", 1).alias("project"),
-        relative.alias("path"),
-        paths.extension(relative).alias("ext"),
-        F.col("length").alias("size"),
-        F.regexp_replace(text, r"\r\n?", "\n").alias("content"),
-    )
+    base = root.rstrip("/").split("://", 1)[1]
+    relative = F.substring_index(F.col("path"), f"/{base.split('/', 1)[-1]}/", -1)
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
+    return _shaped(raw.select(relative.alias("path"), F.col("length").alias("size"), text.alias("text")),
+                   F.col("text"))
