@@ -33,6 +33,7 @@ from codeloom.settings import Thresholds
 FREQUENT = "aeinorst_ "
 RARE = "bcdfghlmpu0123456789=()\""
 TILE = 1024
+MAX_TILES = 32
 
 
 def character_counts(block: Column) -> list[Column]:
@@ -110,9 +111,11 @@ def duplicate_lines(files: DataFrame, limits: Thresholds = Thresholds(), tile: i
 
     # A block takes part in every pair of tiles its own tile belongs to. Both
     # sides of the join are the same exchange, built once and read twice.
+    # Tiles grow with the file, so a block is copied MAX_TILES times at most.
+    height = F.greatest(F.lit(tile), F.ceil((F.col("last") + 1) / MAX_TILES))
     placed = (
-        blocks.withColumn("tile", F.floor(F.col("i") / tile))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / tile))))
+        blocks.withColumn("tile", F.floor(F.col("i") / height))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / height))))
         .withColumn("first", F.least("tile", "other"))
         .withColumn("second", F.greatest("tile", "other"))
         .drop("other", "last")
