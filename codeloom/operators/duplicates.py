@@ -20,8 +20,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.functions import text
 from codeloom.operators.entities import python_files
@@ -31,36 +34,55 @@ from codeloom.settings import Thresholds
 # Characters counted, up to 32 of each frequent one and 16 of the rest. Any
 # choice gives a valid bound; this one separates code well.
 FREQUENT = "aeinorst_ "
-RARE = "bcdfghlmpu0123456789=()\""
+RARE = "bcdfghjklmpquvwxyz0123456789=().,:\"'[]"
+WIDTHS = {**dict.fromkeys(FREQUENT, 32), **dict.fromkeys(RARE, 16)}
+LONGS = -(-sum(WIDTHS.values()) // 64)
 TILE = 1024
 MAX_TILES = 32
 
 
-def character_counts(block: Column) -> list[Column]:
-    """Counts per character class as runs of one-bits, packed into longs.
+def block_counts(lines: str, n: int) -> Column:
+    """For each line of a file the character counts of the block starting there.
 
-    The number of bits in which two such longs differ is the sum of the
-    differences of their counts; a run cut at its width can only lower it.
+    A count is a run of one-bits. The number of bits in which two blocks
+    differ is the sum of the differences of their counts; a run cut at its
+    width can only lower it. Spark's string functions count one character per
+    pass over the text, numpy counts all of them in one.
     """
-    size = F.octet_length(block)
-
-    def run(count: Column, width: int) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), F.least(count, F.lit(width))) - 1
-
-    counts = {c: size - F.octet_length(F.replace(block, F.lit(c), F.lit(""))) for c in FREQUENT + RARE}
-    packed = []
-    for width, chars in ((32, FREQUENT), (16, RARE)):
-        per_long = 64 // width
-        for k in range(0, len(chars), per_long):
-            runs = [
-                F.shiftleft(run(counts[c], width), width * j)
-                for j, c in enumerate(chars[k:k + per_long])
-            ]
-            packed.append(F.coalesce(reduce(lambda x, y: x.bitwiseOR(y), runs), F.lit(0).cast("long")))
-    return packed
-
-
-LONGS = -(-len(FREQUENT) // 2) - (-len(RARE) // 4)
+    widths = dict(WIDTHS)
+    longs = LONGS
+
+    # Nested, so that it is shipped by value and executors need no copy of us.
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+    def count(files: pd.Series) -> pd.Series:
+        other, newline = len(widths), len(widths) + 1
+        kind = np.full(256, other, dtype=np.int64)
+        for index, character in enumerate(widths):
+            kind[ord(character)] = index
+        kind[ord("\n")] = newline
+
+        def of_file(file):
+            data = np.frombuffer("\n".join(file).encode("utf-8"), dtype=np.uint8)
+            height = len(file)
+            row = np.cumsum(data == ord("\n")) if len(data) else np.zeros(0, dtype=np.int64)
+            cell = np.bincount(row * (newline + 1) + kind[data], minlength=height * (newline + 1))
+            upto = np.zeros((height + 1, newline + 1), dtype=np.int64)
+            np.cumsum(cell.reshape(height, newline + 1), axis=0, out=upto[1:])
+            first = np.arange(height)
+            counts = upto[np.minimum(first + n, height)] - upto[first]
+            packed = np.zeros((height, longs), dtype=np.uint64)
+            word, used = 0, 0
+            for index, width in enumerate(widths.values()):
+                if used + width > 64:
+                    word, used = word + 1, 0
+                run = (np.uint64(1) << np.minimum(counts[:, index], width).astype(np.uint64)) - np.uint64(1)
+                packed[:, word] |= run << np.uint64(used)
+                used += width
+            return packed.view(np.int64).tolist()
+
+        return files.map(of_file)
+
+    return count(lines)
 
 
 def count_difference(a: str, b: str) -> Column:
@@ -76,21 +98,23 @@ def block_table(bodies: DataFrame, n: int) -> DataFrame:
         "body",
         F.transform(text.lines_of(F.col("content")), lambda line: text.normalised_line(line)).alias("lines"),
     )
-    starts = lines.select(
+    counted = lines.withColumn("counts", block_counts("lines", n))
+    starts = counted.select(
         "body",
         (F.size("lines") - 1).alias("last"),
         F.posexplode(
             F.transform(
                 "lines",
-                lambda _, i: F.array_join(
-                    F.array_remove(F.slice("lines", i + 1, F.lit(n)), ""), " "
+                lambda _, i: F.struct(
+                    F.array_join(F.array_remove(F.slice("lines", i + 1, F.lit(n)), ""), " ").alias("text"),
+                    F.get("counts", i).alias("counts"),
                 ),
             )
-        ).alias("i", "text"),
-    ).filter(F.col("text") != "")
+        ).alias("i", "block"),
+    ).select("body", "last", "i", "block.*").filter(F.col("text") != "")
     return starts.select(
         "body", "last", "i", "text", F.length("text").alias("len"),
-        *[c.alias(f"c{k}") for k, c in enumerate(character_counts(F.col("text")))],
+        *[F.coalesce(F.col("counts")[k], F.lit(0).cast("long")).alias(f"c{k}") for k in range(LONGS)],
     )
 
 
