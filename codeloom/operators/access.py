@@ -104,7 +104,8 @@ def _hot_points(rows: DataFrame, ttl: int, known: DataFrame | None) -> DataFrame
     """
     spark = rows.sparkSession
     sliced = cut_lineage(
-        rows.withColumn("slice", F.floor(F.col("t") / ttl)).repartitionByRange("slice", "t"), "slices"
+        rows.withColumn("slice", F.floor(F.col("t") / ttl)).repartitionByRange("slice", "t"), "slices",
+        partition_by="slice",
     )
     slices = sorted(r["slice"] for r in sliced.select("slice").distinct().collect())
     empty = spark.createDataFrame([], "key string, t long")

@@ -85,8 +85,9 @@ _PYTHON_HEADER = r"^(?:Linha |Line )"
 _PYTHON_FIELD = r"(?mdiu)^(?:original|sugestão|explicação):"
 
 
-def parse_suggestions(replies: DataFrame, repeat_on_bad_header: bool = False) -> DataFrame:
-    """Suggestions in `- Linha N: message` replies.
+def parse_suggestions(replies: DataFrame, repeat_on_bad_header: bool = False,
+                      ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Suggestions in `- Linha N: message` replies, told apart by the columns `ids`.
 
     A header without a number starts no record: the open one goes on. With
     `repeat_on_bad_header` the open record also comes out once more for each
@@ -98,7 +99,7 @@ def parse_suggestions(replies: DataFrame, repeat_on_bad_header: bool = False) ->
     # One part per record: cut the joined lines in front of each good header.
     cut = rf"(?:^|\n)(?={_HEADER.removeprefix('^')})"
     records = F.filter(F.split(F.array_join(lines, "\n"), cut, -1), lambda part: part.rlike(_HEADER))
-    parts = replies.select("doc_id", F.posexplode(records).alias("record", "part"))
+    parts = replies.select(*ids, F.posexplode(records).alias("record", "part"))
 
     def field(name: str) -> Column:
         found = F.regexp_extract_all("part", F.lit(rf"(?md)^{name}:([^\n]*)"), F.lit(1))
@@ -106,7 +107,7 @@ def parse_suggestions(replies: DataFrame, repeat_on_bad_header: bool = False) ->
 
     bad = F.size(F.regexp_extract_all("part", F.lit(r"(?md)^- Linha"), F.lit(0))) - 1
     parsed = parts.select(
-        "doc_id",
+        *ids,
         "record",
         F.regexp_extract("part", _HEADER, 1).cast("long").alias("line"),
         text.strip(F.regexp_extract("part", r"^[^:]*:([^\n]*)", 1)).alias("message"),
@@ -119,6 +120,14 @@ def parse_suggestions(replies: DataFrame, repeat_on_bad_header: bool = False) ->
     return parsed.drop("bad_headers")
 
 
+def file_suggestions(attached: DataFrame) -> DataFrame:
+    """Suggestions of each file in the order of its chunks and their records."""
+    answered = attached.filter((F.col("kind") == "code") & F.col("response").isNotNull())
+    parsed = parse_suggestions(answered, ids=("path", "chunk_no"))
+    place = F.col("chunk_no").cast("long") * 100_000 + F.col("record")
+    return parsed.withColumn("place", place).drop("chunk_no", "record")
+
+
 def parse_python_suggestions(replies: DataFrame) -> DataFrame:
     """Suggestions in the older format: `Linha N` or `Line N`, then labelled fields.
 

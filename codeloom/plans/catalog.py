@@ -187,6 +187,19 @@ def report_lines(spark, folder):
     return report.report_lines(analyses).orderBy("project", "section", "path", "seq")
 
 
+@query
+def report_with_replies(spark, folder):
+    """The whole path: files, analysis, prompts, responses, suggestions, report."""
+    files = file_ops.eligible_files(derived.text_files(spark, folder))
+    analyses = cut_lineage(file_ops.analyse_files(files), "analyses")
+    asked = cut_lineage(replies.prompts(files), "prompts")
+    answers = derived.prompt_answers(spark, folder, asked)
+    attached = cut_lineage(replies.attach_responses(asked, answers), "responses")
+    summaries = attached.filter(F.col("kind") == "summary").select("path", F.col("response").alias("summary"))
+    lines = report.report_lines(analyses, summaries, replies.file_suggestions(attached))
+    return lines.orderBy("project", "section", "path", "seq")
+
+
 # ---- prompts, replies, lint ----
 
 @query
@@ -200,6 +213,13 @@ def prompts(spark, folder):
     return replies.prompts(files).drop("prompt_hash")
 
 
+@query
+def prompts_g1(spark, folder):
+    return derived.python_files(spark, folder).select(
+        "path", replies.python_code_prompt(F.col("content")).alias("prompt")
+    )
+
+
 @query
 def attach_responses(spark, folder):
     """Responses exist for the summaries of labelled documents."""

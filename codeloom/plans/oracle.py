@@ -418,10 +418,8 @@ comments AS (SELECT pr, commit_id, path, line, 'RIGHT' AS side, """ + _BODY + r"
              FROM py_smells JOIN changed USING (path))
 """
 
-REPORT = f"WITH {PY_LINES}, {TEXT_FILES}, {ELIGIBLE}," + rf"""
-every AS (
-  SELECT project, path, ext, content FROM py_files
-  UNION ALL SELECT project, path, ext, content FROM eligible),
+_REPORT = f"{PY_LINES}, {TEXT_FILES}, {ELIGIBLE}," + rf"""
+every AS (@EVERY@),
 measured AS (
   SELECT project, path, ext, content, {_language('ext')} AS language, {_METRICS}
   FROM (SELECT *, string_split(content, chr(10)) AS l FROM every)),
@@ -470,9 +468,39 @@ blocks AS (
     '- Tamanho médio de linha: ' || printf('%.1f', avg_line_length)]
     || CASE WHEN language IN {_in(settings.TEXT_LANGUAGES)} THEN []
        ELSE ['- Complexidade: ' || printf('%.1f', complexity)] END
-  FROM analysed)
-SELECT project, section, path, generate_subscripts(b, 1) - 1 AS seq, unnest(b) AS line FROM blocks
+  FROM analysed),
+report AS (
+  SELECT project, section, path, generate_subscripts(b, 1) - 1 AS seq, unnest(b) AS line FROM blocks)
 """
+_ELIGIBLE_ROWS = "SELECT project, path, ext, content FROM eligible"
+REPORT = "WITH " + _REPORT.replace(
+    "@EVERY@", f"SELECT project, path, ext, content FROM py_files UNION ALL {_ELIGIBLE_ROWS}"
+) + "SELECT * FROM report"
+_REPLY = (
+    "CASE WHEN kind = 'summary' THEN 'resumo ' || quality ELSE '- Linha ' || (chunk_no + 1) || ': trecho de ' "
+    "|| length(prompt) || E' letras\\n  Explicação: nota ' || quality END"
+)
+FULL_REPORT = PROMPTS + "," + _REPORT.replace("@EVERY@", _ELIGIBLE_ROWS).replace(
+    f"{TEXT_FILES}, {ELIGIBLE},", "", 1) + rf""",
+answers AS (
+  SELECT prompt, max({_REPLY}) AS response
+  FROM asked JOIN labels ON doc_id = regexp_extract(path, '/d([0-9]+)/', 1)::BIGINT GROUP BY prompt),
+attached AS (SELECT a.*, response, project FROM asked a LEFT JOIN answers USING (prompt) JOIN eligible USING (path)),
+noted AS (SELECT * FROM attached WHERE kind = 'code' AND response IS NOT NULL)
+SELECT * FROM report
+UNION ALL
+SELECT project, 3, path, unnest([100, 101, 102]),
+       unnest(['', '#### Resumo do Arquivo', coalesce(response, {_quote(settings.NO_SUMMARY_TEXT)})])
+FROM attached WHERE kind = 'summary'
+UNION ALL
+SELECT project, 3, path, unnest([200, 201]), unnest(['', '#### Sugestões de Melhoria'])
+FROM (SELECT DISTINCT project, path FROM noted)
+UNION ALL
+SELECT project, 3, path, 1000 + chunk_no * 1000000 + unnest([0, 1]),
+       unnest([substr(split_part(response, chr(10), 1), 1), split_part(response, chr(10), 2)])
+FROM noted
+"""
+
 
 ORACLE = {
     "files_scan": f"WITH {TEXT_FILES} SELECT project, path, ext, size, md5(content) AS body FROM text_files",
@@ -532,6 +560,9 @@ ORACLE = {
         'severity': severity, 'suggestion': suggestion}})::VARCHAR FROM all_smells""",
     "smell_density": f"WITH {DENSITY} SELECT * FROM py_density",
     "report_lines": REPORT,
+    "report_with_replies": FULL_REPORT,
+    "prompts_g1": f"WITH {PY_FILES} SELECT path, {_sql_text(settings.PYTHON_CODE_PROMPT[0])} || content || "
+                  f"{_sql_text(settings.PYTHON_CODE_PROMPT[1])} AS prompt FROM py_files",
     "text_chunks": f"WITH RECURSIVE {TEXT_FILES}, {CHUNKS} SELECT path, chunk_no, chunk FROM chunks",
     "prompts": PROMPTS + "SELECT path, kind, chunk_no, prompt FROM asked",
     "attach_responses": PROMPTS + rf""", answered AS (
@@ -660,7 +691,8 @@ _TYPES = {
     "duplicate_blocks": {"line": "INTEGER"},
     "smells": {"line": "INTEGER"},
     "smell_density": dict.fromkeys(_LINE_COLUMNS, "BIGINT"),
-    "report_lines": {"seq": "INTEGER"},
+    "report_lines": {"seq": "BIGINT"},
+    "report_with_replies": {"seq": "BIGINT"},
     "parse_suggestions_g1": {"record": "INTEGER"},
     "lint_report": {"warnings_count": "INTEGER"},
     "review_comments": {"line": "INTEGER"},

@@ -23,8 +23,8 @@ def report_lines(analyses: DataFrame, summaries: DataFrame | None = None,
 
     Sorted by those columns the lines are the Markdown text. Sections are 1
     overview, 2 languages, 3 files. `summaries` (path, summary) and
-    `suggestions` (path, line, message, suggested_code, explanation) are
-    optional. `compat` repeats an old slip: total lines show the code lines
+    `suggestions` (path, place, line, message, suggested_code, explanation),
+    listed by place, are optional. `compat` repeats an old slip: total lines show the code lines
     and blank lines show 0.
     """
     totals = file_ops.project_totals(analyses)
@@ -88,16 +88,16 @@ def report_lines(analyses: DataFrame, summaries: DataFrame | None = None,
             F.when(F.col("explanation") != "", F.concat(F.lit("  Explicação: "), F.col("explanation"))),
         ), lambda line: line.isNotNull())
         rows = given.select(
-            "project", F.lit(3).alias("section"), "path", "line", F.posexplode(entry).alias("k", "text")
+            "project", F.lit(3).alias("section"), "path", "place", F.posexplode(entry).alias("k", "text")
         )
         parts.append(rows.select(
             "project", "section", "path",
-            (F.lit(1000) + F.col("line") * 10 + F.col("k")).cast("int").alias("seq"), F.col("text").alias("line"),
+            (F.lit(1000) + F.col("place") * 10 + F.col("k")).alias("seq"), F.col("text").alias("line"),
         ))
     lines = parts[0]
     for part in parts[1:]:
         lines = lines.unionByName(part)
-    return lines
+    return lines.withColumn("seq", F.col("seq").cast("long"))
 
 
 def project_documents(metrics: DataFrame, smells: DataFrame) -> DataFrame:

@@ -52,12 +52,12 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, label: str) -> DataFrame:
+def cut_lineage(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write `df` once to the shared folder and go on from the written table.
 
     Unlike a cache this survives executor loss, and values such as
     `spark_partition_id()` stay what they were when the table was written.
     """
     path = fresh_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -325,3 +325,14 @@ def changed_files(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("pkg/doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
         F.md5(F.concat(F.lit("commit"), number.cast("string"))).alias("commit_id"),
     )
+
+
+def prompt_answers(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
+    """Answers to the prompts of labelled documents, one per distinct prompt."""
+    quality = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    numbered = asked.withColumn("doc_id", F.regexp_extract("path", r"/d(\d+)/", 1).cast("long"))
+    answer = F.when(F.col("kind") == "summary", F.concat(F.lit("resumo "), F.col("quality"))).otherwise(
+        F.concat(F.lit("- Linha "), (F.col("chunk_no") + 1).cast("string"), F.lit(": trecho de "),
+                 F.length("prompt").cast("string"), F.lit(" letras\n  Explicação: nota "), F.col("quality"))
+    )
+    return numbered.join(quality, "doc_id").groupBy("prompt_hash").agg(F.max(answer).alias("response"))

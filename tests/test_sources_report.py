@@ -58,8 +58,8 @@ def test_report_text(spark, files, tmp_path):
     analyses = file_ops.analyse_files(df)
     summaries = spark.createDataFrame([("b.md", "resumo")], "path string, summary string")
     suggestions = spark.createDataFrame(
-        [("a.py", 2, "nome", "g", None), ("a.py", 1, "doc", None, "clareza")],
-        "path string, line long, message string, suggested_code string, explanation string")
+        [("a.py", 1, 2, "nome", "g", None), ("a.py", 0, 1, "doc", None, "clareza")],
+        "path string, place long, line long, message string, suggested_code string, explanation string")
     lines = report.report_lines(analyses, summaries, suggestions)
     out = str(tmp_path / "report")
     sinks.write_report(lines, out)
