@@ -1,4 +1,4 @@
-"""Python entities straight from source text, without a parser.
+"""Python entities straight from source text, by expressions.
 
 The text is first masked so that indentation alone tells the structure:
 
@@ -15,8 +15,10 @@ long files cannot overflow its stack.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.functions.text import WORD
 
@@ -57,6 +59,31 @@ def _rebuild(content: Column, pattern: str, mask) -> Column:
     return F.array_join(F.zip_with(between, masked, lambda a, b: F.concat(a, b)), "")
 
 
+def parses(content: Column) -> Column:
+    """Whether Python accepts the text; nothing is accepted for a null.
+
+    The grammar itself is the one thing expressions cannot state.
+    """
+    # Nested, so that it is shipped by value and executors need no copy of us.
+    @F.pandas_udf(T.BooleanType())
+    def accepted(texts: pd.Series) -> pd.Series:
+        import ast
+        import warnings
+
+        def one(text):
+            try:
+                ast.parse(text)
+                return True
+            except Exception:
+                return False
+
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return texts.map(lambda text: text is not None and one(text)).astype(bool)
+
+    return accepted(content)
+
+
 def masked(content: Column) -> Column:
     quiet = _rebuild(
         content,

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions import text
-from codeloom.operators.entities import python_files
+from codeloom.functions.python_source import parses
 from codeloom.operators.smells import SMELL_COLUMNS, smell_struct
 from codeloom.settings import Thresholds
 
@@ -127,11 +127,11 @@ def duplicate_lines(files: DataFrame, limits: Thresholds = Thresholds(), tile: i
     # `coalesce` marks the key as never null, which spares a second
     # evaluation of the content in a derived not-null filter.
     body = F.coalesce(F.sha2("content", 256), F.lit("")).alias("body")
-    keyed = python_files(files).select("project", "path", body, "content")
+    keyed = files.filter(F.col("ext") == ".py").select("project", "path", body, "content")
     # The key differs from that of the step before, or the planner would leave
     # the exchange out.
     bodies = keyed.select("body", "content").dropDuplicates(["body"]).repartition(parts, F.xxhash64("body"))
-    blocks = block_table(bodies, n)
+    blocks = block_table(bodies.filter(parses(F.col("content"))), n)
 
     # A block takes part in every pair of tiles its own tile belongs to. Both
     # sides of the join are the same exchange, built once and read twice.

@@ -14,7 +14,8 @@ from codeloom.functions import text
 
 
 def python_files(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("ext") == ".py")
+    """Python files that Python accepts; the others have no entities and no smells."""
+    return files.filter(F.col("ext") == ".py").filter(py.parses(F.col("content")))
 
 
 def line_table(files: DataFrame) -> DataFrame:
@@ -84,7 +85,8 @@ def class_members(entities: DataFrame) -> DataFrame:
 
 
 def python_complexity(files: DataFrame) -> DataFrame:
-    """Per-file complexity of the Python files, base one."""
-    return python_files(files).select(
-        "path", py.file_complexity(py.masked(F.col("content"))).alias("complexity")
-    )
+    """Per-file complexity of the Python files, by keywords where Python rejects one."""
+    content = F.col("content")
+    judged = files.filter(F.col("ext") == ".py").withColumn("parsed", py.parses(content))
+    complexity = F.when(F.col("parsed"), py.file_complexity(py.masked(content)))
+    return judged.select("path", F.coalesce(complexity, text.keyword_complexity(content)).alias("complexity"))

@@ -56,16 +56,17 @@ def analyse_files(files: DataFrame, languages=None) -> DataFrame:
     """Metrics, complexity and entity names of every file, by language.
 
     Python is read by its block structure, text has no complexity or names,
-    all other files are judged by keyword and name patterns.
+    all other files, and Python that does not parse, are judged by keyword
+    and name patterns.
     """
     content = F.col("content")
     lang = paths.language(F.col("ext"), languages or settings.LANGUAGE_OF_EXTENSION)
-    is_python = F.col("language") == "Python"
+    is_python = F.col("parsed")
     is_text = paths.is_text_language(F.col("language"))
     none = F.array().cast("array<string>")
-    staged = line_metrics(files).withColumn("language", lang).withColumn(
-        "mask", F.when(is_python, py.masked(content))
-    )
+    staged = line_metrics(files).withColumn("language", lang)
+    staged = staged.withColumn("parsed", py.parses(F.when(F.col("language") == "Python", content)))
+    staged = staged.withColumn("mask", F.when(is_python, py.masked(content)))
     mask = F.col("mask")
 
     def heads(word: str):

@@ -423,25 +423,16 @@ every AS (@EVERY@),
 measured AS (
   SELECT project, path, ext, content, {_language('ext')} AS language, {_METRICS}
   FROM (SELECT *, string_split(content, chr(10)) AS l FROM every)),
-prose_py AS (
-  SELECT path, unnest(string_split(content, chr(10))) AS t FROM eligible WHERE ext = '.py'),
-masked_py AS (
-  SELECT path, bools, branch2, t FROM py_lines
-  UNION ALL
-  SELECT path, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) - len(list_filter(
-           regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+'), lambda w: w NOT IN ('and', 'or'))),
-         list_contains(['if', 'elif', 'for', 'while', 'except'],
-                       regexp_extract(t, '^[ \t]*([\p{{L}}\p{{N}}_]+)', 1))::INT, t
-  FROM (SELECT path, regexp_replace(t, '#.*$', '') AS t FROM prose_py)),
-py_complexity AS (SELECT path, 1 + sum(bools + branch2) AS complexity FROM masked_py GROUP BY path),
+py_complexity AS (SELECT path, 1 + sum(bools + branch2) AS complexity FROM py_lines GROUP BY path),
 py_names AS (
-  SELECT path, count(*) FILTER (regexp_matches(t, '^[ \t]*def[ \t]+[\p{{L}}\p{{N}}_]')) AS functions,
-         count(*) FILTER (regexp_matches(t, '^[ \t]*class[ \t]+[\p{{L}}\p{{N}}_]')) AS classes
-  FROM masked_py GROUP BY path),
+  SELECT path, count(*) FILTER (regexp_matches(t, '^[ \t]*def[ \t]+\w')) AS functions,
+         count(*) FILTER (regexp_matches(t, '^[ \t]*class[ \t]+\w')) AS classes
+  FROM py_lines GROUP BY path),
 generic AS (
   SELECT path, {KEYWORD_COUNT} AS complexity, len(list_distinct({_FUNCTIONS})) AS functions,
          len(list_distinct({_CLASSES})) AS classes
-  FROM eligible WHERE {_language('ext')} NOT IN ('Python', 'Text', 'Markdown', 'reStructuredText')),
+  -- Prose in a .py file is no Python and falls back to the patterns as well.
+  FROM eligible WHERE {_language('ext')} NOT IN ('Text', 'Markdown', 'reStructuredText')),
 analysed AS (
   SELECT m.*, coalesce(c.complexity, g.complexity, 0.0)::DOUBLE AS complexity,
          coalesce(n.functions, g.functions, 0) AS functions, coalesce(n.classes, g.classes, 0) AS classes

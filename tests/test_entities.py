@@ -164,12 +164,19 @@ def test_known_difference_operators_inside_format_strings(files):
     assert found(files({"f.py": source}))["f.py"][1][4] == 0
 
 
-def test_known_difference_broken_file(files):
-    """A file the parser rejects still has the entities its layout shows."""
-    source = "def f(:\n    pass\n"
+def test_broken_file_falls_back(files):
+    """No entities, and complexity and names by pattern."""
+    from codeloom.operators import files as file_ops
+
+    source = "def f(:\n    if a and b else c\n"
     with pytest.raises(SyntaxError):
         ast.parse(source)
-    assert found(files({"f.py": source}))["f.py"][1][1] == "f"
+    df = files({"f.py": source, "nul.py": "x = 1\0", "ok.py": "if a: pass\n"})
+    assert found(df) == {}
+    complexity = {r.path: r.complexity for r in entities.python_complexity(df).collect()}
+    assert complexity == {"f.py": 3.0, "nul.py": 1.0, "ok.py": 2.0}
+    analysed = {r.path: (r.complexity, r.functions) for r in file_ops.analyse_files(df).collect()}
+    assert analysed == {"f.py": (3.0, ["f"]), "nul.py": (1.0, []), "ok.py": (2.0, [])}
 
 
 def test_long_function_does_not_overflow(files):
