@@ -13,11 +13,6 @@ from codeloom.functions import python_source as py
 from codeloom.functions import text
 
 
-def python_files(files: DataFrame) -> DataFrame:
-    """Python files that Python accepts; the others have no entities and no smells."""
-    return files.filter(F.col("ext") == ".py").filter(py.parses(F.col("content")))
-
-
 def line_table(files: DataFrame) -> DataFrame:
     """One row per line: number, indentation width, text."""
     exploded = files.select("path", F.posexplode(text.lines_of(F.col("content"))).alias("pos", "text"))
@@ -30,18 +25,20 @@ def line_table(files: DataFrame) -> DataFrame:
 
 
 def entity_blocks(files: DataFrame) -> DataFrame:
-    """One row per def or class of a Python file, with the text of its block."""
-    masked = python_files(files).select("project", "path", py.masked(F.col("content")).alias("mask"))
-    paired = masked.select(
-        "project",
-        "path",
-        F.explode(
-            F.arrays_zip(
-                py.head_lines(F.col("mask")).alias("line"), py.blocks(F.col("mask")).alias("block")
-            )
-        ).alias("e"),
+    """One row per def or class of a Python file, with the text of its block.
+
+    A file Python does not accept has none. That test is a column, not a
+    filter: a filter would be pushed below whatever computes the content and
+    compute it twice.
+    """
+    content = F.col("content")
+    masked = files.filter(F.col("ext") == ".py").select(
+        "project", "path", py.parses(content).alias("parsed"), py.masked(content).alias("mask")
     )
-    return paired.select("project", "path", F.col("e.line").alias("start_line"), F.col("e.block").alias("block"))
+    heads, blocks = py.head_lines(F.col("mask")), py.blocks(F.col("mask"))
+    paired = F.arrays_zip(heads.alias("line"), blocks.alias("block"))
+    exploded = masked.select("project", "path", F.explode(F.when(F.col("parsed"), paired)).alias("e"))
+    return exploded.select("project", "path", F.col("e.line").alias("start_line"), F.col("e.block").alias("block"))
 
 
 def code_entities(files: DataFrame) -> DataFrame:

@@ -91,3 +91,16 @@ def test_shared_dir_is_the_named_one(spark):
     kept = session.cut_lineage(spark.range(5).withColumn("part", F.spark_partition_id()), "t")
     assert kept.count() == 5
     assert all(session.shared_dir(spark) in name for name in kept.inputFiles())
+
+
+def test_only_local_sessions_get_a_folder_of_their_own():
+    from types import SimpleNamespace
+
+    def unset(master):
+        context = SimpleNamespace(master=master, applicationId="app-" + master)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    local = unset("local[2]")
+    assert session.shared_dir(local) == session.shared_dir(local)
+    with pytest.raises(ValueError):
+        session.shared_dir(unset("spark://host:7077"))
