@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom import settings
 from codeloom.operators.ordering import ranked
-from codeloom.session import cut_lineage
+from codeloom.session import cut_lineage, fresh_dir
 
 HOT_KEY_ROWS = 100_000
 MICROS = 1_000_000
@@ -93,14 +93,17 @@ def compute_points(accesses: DataFrame, ttl_seconds: int = settings.RESULT_TTL_S
         return fold(timed)
     hot = counted.filter(F.col("n") > hot_rows).select("key")
     cold_points = fold(timed.join(hot, "key", "left_anti"))
-    return cold_points.unionByName(_hot_points(timed.join(hot, "key", "left_semi"), ttl, known))
+    begin = hot.withColumn("last", F.lit(None).cast("long")) if known is None else hot.join(known, "key", "left")
+    return cold_points.unionByName(_hot_points(timed.join(hot, "key", "left_semi"), begin, ttl))
 
 
-def _hot_points(rows: DataFrame, ttl: int, known: DataFrame | None) -> DataFrame:
+def _hot_points(rows: DataFrame, begin: DataFrame, ttl: int) -> DataFrame:
     """Slice-by-slice search for keys with very many accesses.
 
+    `begin` holds every such key with the last computing access known so far.
     The loop runs over time slices, whose number is the covered time by the
-    TTL and does not grow with the rows.
+    TTL and does not grow with the rows. Each step writes the state it ends
+    with, one row per key, and the next one reads it.
     """
     spark = rows.sparkSession
     sliced = cut_lineage(
@@ -108,23 +111,24 @@ def _hot_points(rows: DataFrame, ttl: int, known: DataFrame | None) -> DataFrame
         partition_by="slice",
     )
     slices = sorted(r["slice"] for r in sliced.select("slice").distinct().collect())
-    empty = spark.createDataFrame([], "key string, t long")
-    last = known if known is not None else spark.createDataFrame([], "key string, last long")
-    points = empty
-    for n, at in enumerate(slices):
+    base, schema = fresh_dir(spark, "steps"), "key string, last long, t long"
+
+    def keep(step: int, state: DataFrame) -> DataFrame:
+        state.write.parquet(f"{base}/step={step}")
+        return spark.read.schema(schema).parquet(f"{base}/step={step}")
+
+    state = keep(0, begin.withColumn("t", F.lit(None).cast("long")))
+    for step, at in enumerate(slices, 1):
+        before = state.select("key", "last")
         found = (
-            sliced.filter(F.col("slice") == at).join(last, "key", "left")
+            sliced.filter(F.col("slice") == at).join(before, "key")
             .filter(F.col("last").isNull() | (F.col("t") > F.col("last") + ttl))
             .groupBy("key").agg(F.min("t").alias("t"))
         )
-        found = cut_lineage(found, "points")
-        points = points.unionByName(found)
-        last = last.unionByName(found.select("key", F.col("t").alias("last"))).groupBy("key").agg(
-            F.max("last").alias("last")
-        )
-        if n % 16 == 15:
-            last, points = cut_lineage(last, "last"), cut_lineage(points, "points")
-    return points
+        after = before.join(found, "key", "left")
+        state = keep(step, after.select("key", F.coalesce("t", "last").alias("last"), "t"))
+    steps = spark.read.schema(f"{schema}, step int").parquet(base)
+    return steps.filter(F.col("t").isNotNull()).select("key", "t")
 
 
 def ttl_reuse(accesses: DataFrame, ttl_seconds: int = settings.RESULT_TTL_SECONDS,
