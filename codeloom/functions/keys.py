@@ -25,7 +25,7 @@ def result_key(path: Column, project: Column | None = None,
 
 
 def key_version(key: Column) -> Column:
-    return F.regexp_extract(key, r"^analysis_v(\d+):", 1).cast("int")
+    return F.regexp_extract(key, r"^analysis_v(\d+):", 1).try_cast("int")
 
 
 def key_project(key: Column) -> Column:

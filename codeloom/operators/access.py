@@ -163,21 +163,20 @@ def key_heat(accesses: DataFrame, bucket_days: int = 1) -> DataFrame:
     not depend on the order in which partitions are merged.
     """
     bucket = F.floor(_micros(F.col("ts")) / (MICROS * 86_400 * bucket_days)).alias("x")
+    ahead = accesses.agg((F.max(bucket) + 1).alias("x")).first()["x"]
     counts = accesses.groupBy("key", bucket).agg(F.count("*").alias("y"))
-    ahead = accesses.agg(F.max(bucket).alias("x")).first()["x"]
-    if ahead is None:
-        ahead = 0
-    x, y = F.col("x"), F.col("y")
+    # Buckets are counted back from the forecast one, so that it has number 0.
+    x, y = F.col("x") - F.lit(0 if ahead is None else ahead), F.col("y")
     sums = counts.groupBy("key").agg(
         F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
         F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"),
     )
-    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    spread = n * F.col("sxx") - sx * sx
-    slope = n * F.col("sxy") - sx * sy
-    trend = (slope * (n * F.lit(ahead + 1) - sx) + sy * spread) / (n * spread)
-    heat = F.when(spread == 0, sy / n).otherwise(trend)
-    forecast = sums.select("key", F.col("n").alias("buckets"), sy.alias("accesses"), heat.alias("heat"))
+    n, sx, sy, sxx, sxy = (F.col(c).cast("decimal(19,0)") for c in ("n", "sx", "sy", "sxx", "sxy"))
+    spread = n * sxx - sx * sx
+    slope = n * sxy - sx * sy
+    trend = (sy * spread - slope * sx).cast("double") / (n * spread).cast("double")
+    heat = F.when(spread == 0, F.col("sy") / F.col("n")).otherwise(trend)
+    forecast = sums.select("key", F.col("n").alias("buckets"), F.col("sy").alias("accesses"), heat.alias("heat"))
     levels = ranked(forecast.select("heat").distinct(), [F.col("heat").desc()])
     return forecast.join(levels.select("heat", F.col("rn").alias("heat_rank")), "heat").select(
         "key", "buckets", "accesses", "heat", "heat_rank"

@@ -109,7 +109,11 @@ def request_status(requests: DataFrame, projects: DataFrame) -> DataFrame:
 
 def invalidate_projects(stored: DataFrame, projects: list[str]) -> DataFrame:
     """Keys left after all keys of the given projects are dropped."""
-    return stored.filter(~keys.key_project(F.col("key")).isin(projects))
+    project = keys.key_project(F.col("key"))
+    if len(projects) <= MAX_LITERAL_ROWS:
+        return stored.filter(~project.isin(projects))
+    dropped = stored.sparkSession.createDataFrame([(p,) for p in set(projects)], "dropped string")
+    return stored.join(dropped, project == F.col("dropped"), "left_anti")
 
 
 def review_comments(smells: DataFrame, changed: DataFrame) -> DataFrame:

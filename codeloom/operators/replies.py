@@ -154,7 +154,7 @@ def parse_python_suggestions(replies: DataFrame) -> DataFrame:
               (("original_code", "original"), ("suggested_code", "sugestão"), ("explanation", "explicação"))}
     return parts.select(
         "doc_id", "record",
-        F.when(headed & (digits != ""), digits.cast("long")).otherwise(F.lit(0).cast("long")).alias("line"),
+        F.coalesce(F.when(headed, digits.try_cast("long")), F.lit(0).cast("long")).alias("line"),
         *[F.coalesce(c, F.lit("")).alias(n) for n, c in fields.items()],
         F.lit(settings.CONFIDENCE).alias("confidence"),
     )

@@ -205,7 +205,7 @@ def manifests(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _numbered(events: DataFrame) -> DataFrame:
-    number = F.regexp_extract("props", r'"k": (\d+)', 1).cast("long")
+    number = F.regexp_extract("props", r'"k": (\d+)', 1).try_cast("long")
     return events.withColumn("k", number)
 
 
@@ -330,7 +330,7 @@ def changed_files(spark: SparkSession, folder: str) -> DataFrame:
 def prompt_answers(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
     """Answers to the prompts of labelled documents, one per distinct prompt."""
     quality = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
-    numbered = asked.withColumn("doc_id", F.regexp_extract("path", r"/d(\d+)/", 1).cast("long"))
+    numbered = asked.withColumn("doc_id", F.regexp_extract("path", r"/d(\d+)/", 1).try_cast("long"))
     answer = F.when(F.col("kind") == "summary", F.concat(F.lit("resumo "), F.col("quality"))).otherwise(
         F.concat(F.lit("- Linha "), (F.col("chunk_no") + 1).cast("string"), F.lit(": trecho de "),
                  F.length("prompt").cast("string"), F.lit(" letras\n  Explicação: nota "), F.col("quality"))

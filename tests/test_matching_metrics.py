@@ -52,7 +52,7 @@ def test_config():
     assert given.languages == {".x": "X"} and given.ignore_patterns == ("*.min.js", "vendor/*")
 
 
-def test_keys(spark):
+def test_keys(spark, monkeypatch):
     df = spark.createDataFrame([("a/b", "p"), ("", "p"), ("a/b", ""), ("é", "x:y")], "path string, project string")
     rows = df.select(keys.result_key(F.col("path"), F.col("project")).alias("k")).withColumn(
         "p", keys.key_project(F.col("k"))).withColumn("v", keys.key_version(F.col("k"))).collect()
@@ -63,6 +63,10 @@ def test_keys(spark):
     assert [r.p for r in rows] == ["p", "p", "", "x:y"] and {r.v for r in rows} == {2}
     left = matching.invalidate_projects(df.select(keys.result_key(F.col("path"), F.col("project")).alias("key")), ["p"])
     assert left.count() == 2
+    monkeypatch.setattr(matching, "MAX_LITERAL_ROWS", 0)
+    keyed = df.select(keys.result_key(F.col("path"), F.col("project")).alias("key"))
+    assert sorted(matching.invalidate_projects(keyed, ["p"]).collect()) == sorted(left.collect())
+    assert df.select(keys.key_version(F.col("path"))).first()[0] is None
 
 
 def test_sizes(spark):

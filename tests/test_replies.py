@@ -35,12 +35,12 @@ def test_suggestions(spark):
 def test_python_suggestions(spark):
     df = table(spark, [
         "Olá\nLinha 12:\nOriginal: a\nSUGESTÃO: b:c\nExplicação: d\nLine x\nLinha 1 a 3: q\noriginal: z",
-        "sugestão: early\nLinha 4", "nothing here",
+        "sugestão: early\nLinha 4", "nothing here", "Linha 123456789012345678901234567890: x",
     ])
     got = [tuple(r) for r in replies.parse_python_suggestions(df).orderBy("doc_id", "record").collect()]
     assert got == [
         (0, 0, 12, "a", "b:c", "d", 0.8), (0, 1, 0, "", "", "", 0.8), (0, 2, 13, "z", "", "", 0.8),
-        (1, 0, 0, "", "early", "", 0.8), (1, 1, 4, "", "", "", 0.8),
+        (1, 0, 0, "", "early", "", 0.8), (1, 1, 4, "", "", "", 0.8), (3, 0, 0, "", "", "", 0.8),
     ]
 
 
