@@ -157,10 +157,19 @@ def boolean_operators(mask: Column) -> Column:
     return F.regexp_count(mask, F.lit(rf"(?<![{WORD}])(?:and|or)(?![{WORD}])"))
 
 
+_GROUP_TRY = (
+    r"(?md)^(?=([ \t]*+)try[ \t]*+:[^\n]*+"
+    r"(?:\n(?:\1[ \t]++[^ \t\n][^\n]*+|[ \t\f\r]*+(?=\n|\z)))*+\n\1except[ \t]*+\*)"
+)
+
+
 def function_complexity(block: Column) -> Column:
-    """Branches and loops in a block plus its boolean operators."""
+    """Branches and loops in a block plus its boolean operators.
+
+    A `try` whose handlers are `except*` is another statement and not counted.
+    """
     heads = F.regexp_count(block, F.lit(rf"(?md)^[ \t]*+(?:if|elif|for|while|try)(?![{WORD}])"))
-    return heads + boolean_operators(block)
+    return heads - F.regexp_count(block, F.lit(_GROUP_TRY)) + boolean_operators(block)
 
 
 def file_complexity(mask: Column) -> Column:

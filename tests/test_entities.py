@@ -116,6 +116,23 @@ HARD = {
                 async with a: pass
             with open("x") as f, g: pass
         ''',
+    "groups.py": '''
+        def f():
+            try:
+                try:
+                    pass
+
+                except ValueError: pass
+            except* OSError:
+                pass
+            try: pass
+            except* (KeyError,
+        TypeError): pass
+            try:
+                x = 1
+            finally:
+                pass
+        ''',
     "tabs.py": "class T:\n\tdef a(self):\n\t\tif 1:\n\t\t\treturn\n\n\tdef b(self): pass\n\n\nx = 1\n",
     "unicode.py": "def ação(número, ß):\n    andé = 1\n    return número and ß\n",
     "empty.py": "",

@@ -80,6 +80,16 @@ def test_report_text(spark, files, tmp_path):
     assert "- Linhas totais: 3" in quirk and "- Linhas em branco: 1" not in quirk
 
 
+def test_stored_corpus(spark, files, tmp_path):
+    from codeloom.sources.tables import corpus
+
+    path = str(tmp_path / "corpus")
+    files({"a.py": "x = 1", "b.js": "y"}).write.parquet(path)
+    sizes = corpus(spark, path).filter(F.col("ext") == ".py").select("path", "size")
+    assert [tuple(r) for r in sizes.collect()] == [("a.py", 5)]
+    assert "content" not in sizes._jdf.queryExecution().executedPlan().toString()
+
+
 def test_documents_sink(spark, tmp_path):
     df = spark.createDataFrame([("p", "{}"), ("q", '{"a":1}')], "project string, json string")
     sinks.write_documents(df, str(tmp_path / "docs"))
