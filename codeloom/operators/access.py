@@ -10,6 +10,8 @@ from codeloom.operators.ordering import ranked
 from codeloom.session import cut_lineage, fresh_dir
 
 HOT_KEY_ROWS = 100_000
+BROADCAST_KEYS = 100_000
+SALTS = 64
 MICROS = 1_000_000
 
 
@@ -78,7 +80,8 @@ def compute_points(accesses: DataFrame, ttl_seconds: int = settings.RESULT_TTL_S
     ttl = int(ttl_seconds * MICROS)
     timed = accesses.select("key", _micros(F.col("ts")).alias("t"))
     counted = timed.groupBy("key").agg(F.count("*").alias("n"))
-    hot_keys = [r["key"] for r in counted.filter(F.col("n") > hot_rows).limit(1).collect()]
+    hot = counted.filter(F.col("n") > hot_rows).select("key")
+    hot_keys = hot.count()
     known = state.select("key", F.col("last").cast("long").alias("last")) if state is not None else None
 
     def fold(rows: DataFrame) -> DataFrame:
@@ -91,10 +94,22 @@ def compute_points(accesses: DataFrame, ttl_seconds: int = settings.RESULT_TTL_S
 
     if not hot_keys:
         return fold(timed)
-    hot = counted.filter(F.col("n") > hot_rows).select("key")
-    cold_points = fold(timed.join(hot, "key", "left_anti"))
+    cold_points = fold(_by_key(timed, hot, hot_keys, "left_anti"))
     begin = hot.withColumn("last", F.lit(None).cast("long")) if known is None else hot.join(known, "key", "left")
-    return cold_points.unionByName(_hot_points(timed.join(hot, "key", "left_semi"), begin, ttl))
+    return cold_points.unionByName(_hot_points(_by_key(timed, hot, hot_keys, "left_semi"), begin, ttl))
+
+
+def _by_key(timed: DataFrame, hot: DataFrame, hot_keys: int, how: str) -> DataFrame:
+    """Rows of hot keys, or all others, without gathering a key in one task.
+
+    The counted list of hot keys is broadcast while it is short, else rows
+    and salted copies of the list are spread over the salts of each key.
+    """
+    if hot_keys <= BROADCAST_KEYS:
+        return timed.join(F.broadcast(hot), "key", how)
+    salted = timed.withColumn("salt", F.pmod(F.col("t"), F.lit(SALTS)))
+    copies = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, ["key", "salt"], how).drop("salt")
 
 
 def _hot_points(rows: DataFrame, begin: DataFrame, ttl: int) -> DataFrame:

@@ -78,6 +78,14 @@ def test_compute_points(spark, hot_rows):
     assert sorted(got) == sorted(computing(rows, 600))
 
 
+def test_compute_points_with_a_long_list_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(access, "BROADCAST_KEYS", 0)
+    rows, df = random_log(spark, n=150, span=3000)
+    plain = access.compute_points(df, 600)
+    salted = access.compute_points(df, 600, hot_rows=10)
+    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
+
+
 @pytest.mark.parametrize("hot_rows", [100_000, 0])
 def test_compute_points_go_on_from_state(spark, hot_rows):
     rows, df = random_log(spark)
