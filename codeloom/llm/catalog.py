@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, language, pii, quality
+from codeloom.llm import bpe, chat, decontam, language, lines, pii, quality
 from codeloom.llm.text import documents, residue
 
 
@@ -49,11 +49,31 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), vocabulary_path())
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.perspectives(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = lines.line_dedup(documents(spark, folder).select("doc_id", "source", "text"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
+    "op6_decontamination": op6_decontamination,
+    "op8_chat": op8_chat,
+    "op9_lines": op9_lines,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_decontamination": decontam.SQL,
+    "op8_chat": chat.SQL,
+    "op9_lines": lines.SQL,
+}
