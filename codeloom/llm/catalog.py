@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, decontam, language, lines, pii, quality
+from codeloom.llm import bpe, chat, decontam, language, lines, neardup, pii, quality, toxicity
 from codeloom.llm.text import documents, residue
 
 
@@ -38,7 +38,9 @@ def language_profiles(docs: DataFrame, keep=None) -> language.Profiles:
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder)
     profiles = language_profiles(docs, residue(3) != 1)
-    return language.identify(docs, profiles, F.coalesce(residue(3) == 1, F.lit(False)))
+    held_out = F.coalesce(residue(3) == 1, F.lit(False)).alias("held_out")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, "text")
+    return language.identify(rows, profiles).select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,6 +55,13 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    lexicon = toxicity.learn(docs, labels.where(residue(3) != 1))
+    return toxicity.toxicity(docs, lexicon, F.coalesce(residue(3) == 1, F.lit(False)))
+
+
 def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.perspectives(spark.read.parquet(f"{folder}/conversations.parquet"))
 
@@ -62,14 +71,20 @@ def op9_lines(spark: SparkSession, folder: str) -> DataFrame:
     return cleaned.select("doc_id", "text", "n_lines", "n_dropped")
 
 
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
     "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op8_chat": op8_chat,
     "op9_lines": op9_lines,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE: dict[str, str] = {

@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from codeloom.llm.text import row_wise
 
-SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 UNDETERMINED = "und"
 SIZES = (1, 2, 3)
 PIECE = 1 << 20  # code points counted at once
@@ -143,21 +143,30 @@ def _by_language(batch: pa.RecordBatch) -> list[tuple[str, list[str | None]]]:
     return sorted(groups.items())
 
 
-def identify(docs: DataFrame, profiles: Profiles, held_out) -> DataFrame:
-    """Predicted language and score (0 to 1) for every row of `docs` (doc_id, text).
+def identify(rows: DataFrame, profiles: Profiles) -> DataFrame:
+    """Predicted language and score (0 to 1) of the text of every row: row, lang_pred, score.
 
-    `held_out` is a column carried to the result. A null text, or one without a
-    letter, is `und` with score 0, as is everything when no language was
-    learned. Equal distances go to the language that sorts first. Rows are
-    independent, so repeated rows and null ids are answered as they come; an
-    empty table gives an empty result; other columns are ignored.
+    `row` is the whole row as a struct, so no column can clash. A null text, or
+    one without a letter, is `und` with score 0, as is everything when no
+    language was learned. Equal distances go to the language that sorts first.
+    Rows are independent, so repeated rows and null ids are answered as they
+    come; an empty table gives an empty result.
     """
     def predict(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [profiles.predict(t) for t in batch.column("text").to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array([f[0] for f in found], pa.string()),
-             pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            [batch.column("row"), pa.array([f[0] for f in found], pa.string()),
+             pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"),
+    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
                          F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(row_wise(predict), SCHEMA)
+    schema = StructType([packed.schema["row"], StructField("lang_pred", StringType()),
+                         StructField("score", DoubleType())])
+    return packed.mapInArrow(row_wise(predict), schema)
+
+
+def speaking(docs: DataFrame, profiles: Profiles, least_score: float = 0.1) -> DataFrame:
+    """`docs` without the rows that have no language: `und`, or nothing like any profile."""
+    found = identify(docs, profiles)
+    kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
