@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, decontam, language, lines, neardup, pii, quality, toxicity
+from codeloom.llm import bpe, chat, decontam, language, lines, lm, neardup, pii, quality, toxicity
 from codeloom.llm.text import documents, residue
 
 
@@ -51,6 +51,11 @@ def op4_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), vocabulary_path())
 
 
+def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    rest = residue(7)
+    return lm.scores(documents(spark, folder), rest != 2, F.coalesce(rest == 2, F.lit(False)))
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_pii": op3_pii,
     "op4_bpe": op4_bpe,
+    "op5_language_model": op5_language_model,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_chat": op8_chat,
