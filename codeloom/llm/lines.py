@@ -23,9 +23,6 @@ def digest(line: Column) -> Column:
     return F.unhex(F.md5(F.btrim(line, F.lit(BLANKS))))
 
 
-EMPTY = F.unhex(F.md5(F.lit("")))
-
-
 def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
     """Digests of the boilerplate lines of each host, for pages (host, text).
 
@@ -35,7 +32,7 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
     named = pages.where(F.col("host").isNotNull())
     totals = named.groupBy("host").agg(F.count("*").alias("total"))
     lines = named.select("host", F.explode(F.array_distinct(
-        F.transform(F.split("text", "\n"), digest))).alias("line")).where(F.col("line") != EMPTY)
+        F.transform(F.split("text", "\n"), digest))).alias("line")).where(F.col("line") != digest(F.lit("")))
     counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     return counted.join(totals, "host").where(F.col("n") > ratio * F.col("total")).select("host", "line")
 
