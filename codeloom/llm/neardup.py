@@ -37,19 +37,22 @@ class Plan:
     """Parameters of the search.
 
     With 50 bands of 5 rows a pair at similarity 0.75 shares no band with a
-    chance of about 1e-6. `slack` is how many standard deviations the agreement
-    of two signatures may fall below the threshold before a pair is dropped.
+    chance of about 1e-6. Signatures have more minima than the bands use, so that
+    few pairs below the threshold are left to the exact check. `slack` is how
+    many standard deviations the agreement of two signatures may fall below the
+    threshold before a pair is dropped.
     """
 
     width: int = 5
     percent: int = 75
     bands: int = 50
     rows: int = 5
+    hashes: int = 512
     slack: float = 4.5
     seed: int = 20250
 
     @property
-    def hashes(self) -> int:
+    def banded(self) -> int:
         return self.bands * self.rows
 
     @property
@@ -168,7 +171,7 @@ def _block_pairs(plan: Plan):
             near = same.sum(axis=1) >= plan.least_agreement
             other, same = other[near], same[near]
             # The first band in which a pair agrees is the one bucket that emits it.
-            shared = same.reshape(len(other), plan.bands, plan.rows).all(axis=2)
+            shared = same[:, :plan.banded].reshape(len(other), plan.bands, plan.rows).all(axis=2)
             other = other[shared.argmax(axis=1) == band]
             found_a += [int(ids[left])] * len(other)
             found_b += ids[other].tolist()
