@@ -4,8 +4,8 @@ The text is first masked so that indentation alone tells the structure:
 
 1. comments are dropped and string literals emptied;
 2. line breaks inside strings, brackets and after a backslash are kept (line
-   numbers stay right) but the continuation is pushed to a deep indentation,
-   so it can neither start a statement nor end a block.
+   numbers stay right) but the continuation starts with a mark that no line of
+   Python can start with, so it can neither start a statement nor end a block.
 
 A block then is its head line plus every following line that is blank or
 indented deeper, which one regular expression with a back-reference states.
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from codeloom.functions.text import WORD
 
-PAD = " " * 200
+MARK = "\x01"
 NAME = f"[{WORD}]++"
 
 _TOKEN = (
@@ -41,13 +41,13 @@ def _brackets(depth: int) -> str:
     return group
 
 
-BRACKETS = _brackets(8)
+BRACKETS = _brackets(16)
 
 HEAD = rf"[ \t]*+(?:(?:async[ \t]++)?+def|class)[ \t]++{NAME}"
 # Indentation first, so that it can be referred to; group 1 is the whole block.
 _BLOCK = (
     rf"(?md)^(?=(([ \t]*+)(?:(?:async[ \t]++)?+def|class)[ \t]++{NAME}[^\n]*+"
-    rf"(?:\n(?:\2[ \t]++[^ \t\n][^\n]*+|[ \t\f\r]*+(?=\n|\z)))*+))"
+    rf"(?:\n(?:\2[ \t]++[^ \t\n][^\n]*+|{MARK}[^\n]*+|[ \t\f\r]*+(?=\n|\z)))*+))"
 )
 
 
@@ -91,12 +91,12 @@ def masked(content: Column) -> Column:
         lambda t: F.when(t.startswith("#"), F.lit("")).otherwise(
             F.concat(
                 F.lit("''"),
-                F.repeat(F.lit("\n" + PAD + "''"), F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))),
+                F.repeat(F.lit("\n" + MARK + "''"), F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))),
             )
         ),
     )
-    joined = F.regexp_replace(quiet, r"\\\n[ \t]*+", "\\\\\\\\\n" + PAD + "_ ")
-    return _rebuild(joined, BRACKETS, lambda t: F.regexp_replace(t, r"\n[ \t]*+", "\n" + PAD + "_ "))
+    joined = F.regexp_replace(quiet, r"\\\n[ \t]*+", "\\\\\\\\\n" + MARK + "_ ")
+    return _rebuild(joined, BRACKETS, lambda t: F.regexp_replace(t, r"\n[ \t]*+", "\n" + MARK + "_ "))
 
 
 def blocks(mask: Column) -> Column:
@@ -141,7 +141,7 @@ def parameter_count(block: Column) -> Column:
         rf"^[ \t]*+(?:async[ \t]++)?+def[ \t]++{NAME}[ \t]*+(?:\[(?:[^\[\]]++|{BRACKETS})*+\][ \t]*+)?+({BRACKETS})",
         1,
     )
-    flat = F.regexp_replace(signature, r"\n[ \t]*+_ ", "")
+    flat = F.regexp_replace(signature, rf"\n{MARK}_ ", "")
     inner = F.regexp_replace(F.regexp_extract(flat, r"^\(([\s\S]*)\)$", 1), BRACKETS, "")
     plain = F.regexp_replace(inner, rf"(?<![{WORD}])lambda(?![{WORD}])[^:]*+:", "")
     items = F.filter(F.transform(F.split(plain, ",", -1), lambda p: F.trim(p)), lambda p: p != "")
@@ -159,7 +159,7 @@ def boolean_operators(mask: Column) -> Column:
 
 _GROUP_TRY = (
     r"(?md)^(?=([ \t]*+)try[ \t]*+:[^\n]*+"
-    r"(?:\n(?:\1[ \t]++[^ \t\n][^\n]*+|[ \t\f\r]*+(?=\n|\z)))*+\n\1except[ \t]*+\*)"
+    rf"(?:\n(?:\1[ \t]++[^ \t\n][^\n]*+|{MARK}[^\n]*+|[ \t\f\r]*+(?=\n|\z)))*+\n\1except[ \t]*+\*)"
 )
 
 
@@ -186,7 +186,7 @@ def file_complexity(mask: Column) -> Column:
 
 def child_indent(block: Column) -> Column:
     """Indentation of the statements standing directly in a block."""
-    return F.regexp_extract(block, r"\n([ \t]{1,199}+)(?![ \t\n\f\r])", 1)
+    return F.regexp_extract(block, r"\n([ \t]++)(?![\n\f\r])", 1)
 
 
 def direct_statements(block: Column, indent: Column) -> Column:

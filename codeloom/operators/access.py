@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom import settings
-from codeloom.operators.ordering import ranked
-from codeloom.session import cut_lineage, fresh_dir
+from codeloom.operators.ordering import dense_ranked, ranked
+from codeloom.session import cut_lineage
 
-HOT_KEY_ROWS = 100_000
-BROADCAST_KEYS = 100_000
-SALTS = 64
 MICROS = 1_000_000
 
 
 def last_access(accesses: DataFrame) -> DataFrame:
-    """Newest access of each key, and its size."""
-    return accesses.groupBy("key").agg(F.max("ts").alias("last_ts"), F.max("size").alias("size"))
+    """Newest access of each key, and the size the key had then."""
+    when = F.struct("ts", "event_id")
+    return accesses.groupBy("key").agg(F.max("ts").alias("last_ts"), F.max_by("size", when).alias("size"))
 
 
 def evict_oldest(accesses: DataFrame, max_memory: int) -> DataFrame:
@@ -44,112 +44,102 @@ def recency_budget(accesses: DataFrame, budget: int) -> DataFrame:
 
 
 def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since 1970 of a time without zone; the session's zone plays no part."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
 
-def _chain(times: Column, ttl: int, last: Column) -> Column:
-    """Computing accesses among sorted times, going on from `last`."""
-    start = F.struct(
-        last.cast("long").alias("last"), F.array().cast("array<bigint>").alias("points")
-    )
-
-    def step(state: Column, t: Column) -> Column:
-        fresh = state["last"].isNull() | (t > state["last"] + ttl)
-        return F.struct(
-            F.when(fresh, t).otherwise(state["last"]).alias("last"),
-            F.when(fresh, F.array_append(state["points"], t)).otherwise(state["points"]).alias("points"),
-        )
+def _exits(times: Column, ttl: int) -> Column:
+    """What a run of sorted times makes of the computing access before it.
 
-    return F.aggregate(times, start, step, lambda s: s["points"])
+    Entry i says: if the life of the result before ends ahead of `bound`, the
+    last computing access of the run is `leave`. The first entry that holds
+    counts; if none does, the run computes nothing. Only the accesses up to one
+    TTL after the first can come first, and entries with one outcome are merged.
+    """
+    # Nested, so that it is shipped by value and executors need no copy of us.
+    @F.pandas_udf("array<struct<bound:bigint,leave:bigint>>")
+    def exits(runs: pd.Series) -> pd.Series:
+        def of_run(run):
+            run = np.asarray(run, dtype=np.int64)
+            following = np.searchsorted(run, run + ttl, side="right").tolist()
+            last = list(range(len(run)))
+            for i in range(len(run) - 1, -1, -1):
+                if following[i] < len(run):
+                    last[i] = last[following[i]]
+            found = []
+            for i in range(min(following[0], len(run) - 1) + 1):
+                entry = {"bound": int(run[i]), "leave": int(run[last[i]])}
+                if found and found[-1]["leave"] == entry["leave"]:
+                    found[-1] = entry
+                else:
+                    found.append(entry)
+            return found
+
+        return runs.map(of_run)
+
+    return exits(times)
+
+
+def _points(times: Column, last: Column, ttl: int) -> Column:
+    """Computing accesses of a run of sorted times, going on from `last`."""
+    @F.pandas_udf("array<bigint>")
+    def points(runs: pd.Series, lasts: pd.Series) -> pd.Series:
+        def of_run(run, last):
+            run = np.asarray(run, dtype=np.int64)
+            at = 0 if pd.isna(last) else int(np.searchsorted(run, int(last) + ttl, side="right"))
+            found = []
+            while at < len(run):
+                found.append(int(run[at]))
+                at = int(np.searchsorted(run, run[at] + ttl, side="right"))
+            return found
+
+        return pd.Series([of_run(run, last) for run, last in zip(runs, lasts)], dtype=object)
+
+    return points(times, last)
 
 
 def compute_points(accesses: DataFrame, ttl_seconds: int = settings.RESULT_TTL_SECONDS,
-                   state: DataFrame | None = None, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+                   state: DataFrame | None = None) -> DataFrame:
     """Accesses that have to compute: key and time in microseconds.
 
     The first access of a key computes and its result lives for the TTL; an
     access inside that span reuses it and does not extend it. `state` (key,
     last) carries the last computing access of earlier data.
 
-    A key with at most `hot_rows` accesses is folded as one sorted array. The
-    few others would make arrays without bound, so they advance through time
-    in slices as long as the TTL: in one slice a key computes at most once, at
-    the earliest access after its last result ended, and that is a minimum
-    which pre-aggregates however many accesses the slice holds.
+    Accesses are cut into ranges of like size by key and time, so a busy key is
+    spread over several. Each range first says what it makes of any state
+    before it, which is a short list as chains of different beginnings soon
+    meet; per key these lists are gone through in order, and then every range
+    knows its state and gives its points.
     """
     ttl = int(ttl_seconds * MICROS)
     timed = accesses.select("key", _micros(F.col("ts")).alias("t"))
-    counted = timed.groupBy("key").agg(F.count("*").alias("n"))
-    hot = counted.filter(F.col("n") > hot_rows).select("key")
-    hot_keys = hot.count()
-    known = state.select("key", F.col("last").cast("long").alias("last")) if state is not None else None
-
-    def fold(rows: DataFrame) -> DataFrame:
-        arrays = rows.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("times"))
-        if known is not None:
-            arrays = arrays.join(known, "key", "left")
-        else:
-            arrays = arrays.withColumn("last", F.lit(None).cast("long"))
-        return arrays.select("key", F.explode(_chain(F.col("times"), ttl, F.col("last"))).alias("t"))
-
-    if not hot_keys:
-        return fold(timed)
-    cold_points = fold(_by_key(timed, hot, hot_keys, "left_anti"))
-    begin = hot.withColumn("last", F.lit(None).cast("long")) if known is None else hot.join(known, "key", "left")
-    return cold_points.unionByName(_hot_points(_by_key(timed, hot, hot_keys, "left_semi"), begin, ttl))
-
-
-def _by_key(timed: DataFrame, hot: DataFrame, hot_keys: int, how: str) -> DataFrame:
-    """Rows of hot keys, or all others, without gathering a key in one task.
-
-    The counted list of hot keys is broadcast while it is short, else rows
-    and salted copies of the list are spread over the salts of each key.
-    """
-    if hot_keys <= BROADCAST_KEYS:
-        return timed.join(F.broadcast(hot), "key", how)
-    salted = timed.withColumn("salt", F.pmod(F.col("t"), F.lit(SALTS)))
-    copies = hot.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(copies, ["key", "salt"], how).drop("salt")
-
-
-def _hot_points(rows: DataFrame, begin: DataFrame, ttl: int) -> DataFrame:
-    """Slice-by-slice search for keys with very many accesses.
-
-    `begin` holds every such key with the last computing access known so far.
-    The loop runs over time slices, whose number is the covered time by the
-    TTL and does not grow with the rows. Each step writes the state it ends
-    with, one row per key, and the next one reads it.
-    """
-    spark = rows.sparkSession
-    sliced = cut_lineage(
-        rows.withColumn("slice", F.floor(F.col("t") / ttl)).repartitionByRange("slice", "t"), "slices",
-        partition_by="slice",
-    )
-    slices = sorted(r["slice"] for r in sliced.select("slice").distinct().collect())
-    base, schema = fresh_dir(spark, "steps"), "key string, last long, t long"
-
-    def keep(step: int, state: DataFrame) -> DataFrame:
-        state.write.parquet(f"{base}/step={step}")
-        return spark.read.schema(schema).parquet(f"{base}/step={step}")
-
-    state = keep(0, begin.withColumn("t", F.lit(None).cast("long")))
-    for step, at in enumerate(slices, 1):
-        before = state.select("key", "last")
-        found = (
-            sliced.filter(F.col("slice") == at).join(before, "key")
-            .filter(F.col("last").isNull() | (F.col("t") > F.col("last") + ttl))
-            .groupBy("key").agg(F.min("t").alias("t"))
-        )
-        after = before.join(found, "key", "left")
-        state = keep(step, after.select("key", F.coalesce("t", "last").alias("last"), "t"))
-    steps = spark.read.schema(f"{schema}, step int").parquet(base)
-    return steps.filter(F.col("t").isNotNull()).select("key", "t")
-
-
-def ttl_reuse(accesses: DataFrame, ttl_seconds: int = settings.RESULT_TTL_SECONDS,
-              hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+    ranged = timed.repartitionByRange("key", "t").withColumn("range_id", F.spark_partition_id())
+    # The least time orders the runs of a key however the ranges are numbered.
+    runs = cut_lineage(ranged.groupBy("key", "range_id").agg(
+        F.sort_array(F.collect_set("t")).alias("times"), F.min("t").alias("begin")), "runs")
+    steps = runs.select("key", "begin", _exits(F.col("times"), ttl).alias("exits"))
+    chains = steps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("begin", "exits"))).alias("steps"))
+    if state is None:
+        chains = chains.withColumn("last", F.lit(None).cast("long"))
+    else:
+        chains = chains.join(state.select("key", F.col("last").cast("long").alias("last")), "key", "left")
+
+    def step(seen: Column, run: Column) -> Column:
+        last = F.element_at(seen, -1)
+        fits = F.filter(run["exits"], lambda e: last.isNull() | (last + ttl < e["bound"]))
+        return F.array_append(seen, F.coalesce(F.get(fits, F.lit(0))["leave"], last))
+
+    lasts = F.aggregate("steps", F.array("last"), step)
+    known = chains.select("key", F.explode(F.arrays_zip(
+        F.col("steps.begin").alias("begin"), F.slice(lasts, F.lit(1), F.size("steps")).alias("last"))).alias("s"))
+    found = runs.join(known.select("key", "s.begin", "s.last"), ["key", "begin"])
+    return found.select("key", F.explode(_points(F.col("times"), F.col("last"), ttl)).alias("t"))
+
+
+def ttl_reuse(accesses: DataFrame, ttl_seconds: int = settings.RESULT_TTL_SECONDS) -> DataFrame:
     """Computed and reused accesses per key."""
-    points = compute_points(accesses, ttl_seconds, hot_rows=hot_rows)
+    points = compute_points(accesses, ttl_seconds)
     computed = points.groupBy("key").agg(F.count("*").alias("computed"))
     total = accesses.groupBy("key").agg(F.count("*").alias("n"))
     return total.join(computed, "key").select(
@@ -178,10 +168,11 @@ def key_heat(accesses: DataFrame, bucket_days: int = 1) -> DataFrame:
     not depend on the order in which partitions are merged.
     """
     bucket = F.floor(_micros(F.col("ts")) / (MICROS * 86_400 * bucket_days)).alias("x")
-    ahead = accesses.agg((F.max(bucket) + 1).alias("x")).first()["x"]
-    counts = accesses.groupBy("key", bucket).agg(F.count("*").alias("y"))
+    counts = cut_lineage(accesses.groupBy("key", bucket).agg(F.count("*").alias("y")), "buckets")
     # Buckets are counted back from the forecast one, so that it has number 0.
-    x, y = F.col("x") - F.lit(0 if ahead is None else ahead), F.col("y")
+    x, y = F.col("x") - counts.agg(F.max("x") + 1).scalar(), F.col("y")
+    counts = counts.withColumn("x", x)
+    x = F.col("x")
     sums = counts.groupBy("key").agg(
         F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
         F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"),
@@ -192,8 +183,7 @@ def key_heat(accesses: DataFrame, bucket_days: int = 1) -> DataFrame:
     trend = (sy * spread - slope * sx).cast("double") / (n * spread).cast("double")
     heat = F.when(spread == 0, F.col("sy") / F.col("n")).otherwise(trend)
     forecast = sums.select("key", F.col("n").alias("buckets"), F.col("sy").alias("accesses"), heat.alias("heat"))
-    levels = ranked(forecast.select("heat").distinct(), [F.col("heat").desc()])
-    return forecast.join(levels.select("heat", F.col("rn").alias("heat_rank")), "heat").select(
+    return dense_ranked(forecast, "heat", "key", "heat_rank").select(
         "key", "buckets", "accesses", "heat", "heat_rank"
     )
 

@@ -15,8 +15,9 @@ from codeloom.functions import text
 
 def line_table(files: DataFrame) -> DataFrame:
     """One row per line: number, indentation width, text."""
-    exploded = files.select("path", F.posexplode(text.lines_of(F.col("content"))).alias("pos", "text"))
+    exploded = files.select("project", "path", F.posexplode(text.lines_of(F.col("content"))).alias("pos", "text"))
     return exploded.select(
+        "project",
         "path",
         (F.col("pos") + 1).alias("line_no"),
         F.length(F.regexp_extract("text", r"^([ \t]*)", 1)).alias("indent"),
@@ -86,4 +87,4 @@ def python_complexity(files: DataFrame) -> DataFrame:
     content = F.col("content")
     judged = files.filter(F.col("ext") == ".py").withColumn("parsed", py.parses(content))
     complexity = F.when(F.col("parsed"), py.file_complexity(py.masked(content)))
-    return judged.select("path", F.coalesce(complexity, text.keyword_complexity(content)).alias("complexity"))
+    return judged.select("project", "path", F.coalesce(complexity, text.keyword_complexity(content)).alias("complexity"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import settings
@@ -10,11 +10,18 @@ from codeloom.functions import keys, paths, text
 from codeloom.functions import python_source as py
 
 
+def is_binary_name(ext: Column) -> Column:
+    return ext.isin(settings.BINARY_EXTENSIONS)
+
+
+def in_repository_data(path: Column) -> Column:
+    return F.contains(F.concat(F.lit("/"), path), F.lit("/.git/"))
+
+
 def eligible_files(files: DataFrame, max_bytes: int = settings.MAX_FILE_BYTES) -> DataFrame:
     """Files worth analysing: not binary by name, not repository data, not huge."""
-    in_git = F.contains(F.concat(F.lit("/"), F.col("path")), F.lit("/.git/"))
     return files.filter(
-        ~F.col("ext").isin(settings.BINARY_EXTENSIONS) & ~in_git & (F.col("size") <= max_bytes)
+        ~is_binary_name(F.col("ext")) & ~in_repository_data(F.col("path")) & (F.col("size") <= max_bytes)
     )
 
 

@@ -2,45 +2,35 @@
 
 No side is broadcast by hint. Spark broadcasts a side it knows to be below
 its size threshold and otherwise shuffles both, splitting skewed partitions.
-Small configuration (cohorts, subscriptions) comes as Python lists of checked
-length and is planned as literals.
+Small configuration (cohorts, subscriptions) comes as Python lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import settings
 from codeloom.functions import keys
+from codeloom.session import cut_lineage
 
-MAX_LITERAL_ROWS = 1_000
+SALTS = 64
 
 
 def event_fanout(events: DataFrame, subscriptions: list[dict]) -> DataFrame:
     """One row per event and subscription that lists its type.
 
     Event types are few, so a join on the type alone could not be spread over
-    many tasks. A short list of subscriptions turns into a literal lookup on
-    each event; a longer one is spread over salted copies of each type.
+    many tasks: events carry a salt, and each listed type has a copy for every
+    salt. Spark sends the list to all executors as long as it is short.
     """
-    pairs = [(t, s["url"]) for s in subscriptions for t in sorted(set(s["event_types"]))]
-    if len(pairs) <= MAX_LITERAL_ROWS:
-        urls: dict[str, list[str]] = {}
-        for kind, url in pairs:
-            urls.setdefault(kind, []).append(url)
-        choice = F.array().cast("array<string>")
-        if urls:
-            cases = [F.when(F.col("type") == k, F.array(*[F.lit(u) for u in v])) for k, v in urls.items()]
-            choice = F.coalesce(*cases, choice)
-        return events.withColumn("url", F.explode(choice))
-    spark = events.sparkSession
-    salts = 64
-    listed = spark.createDataFrame(pairs, "type string, url string").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    pairs = sorted({(t, s["url"]) for s in subscriptions for t in s["event_types"]})
+    listed = events.sparkSession.createDataFrame(pairs, "type string, url string").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    salted = events.withColumn("salt", F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int"))
-    return salted.join(listed, ["type", "salt"]).drop("salt")
+    salted = events.withColumn("salt", F.pmod(F.xxhash64(*events.columns), F.lit(SALTS)).cast("int"))
+    joined = salted.join(listed, ["type", "salt"])
+    return joined.select(*events.columns, "url")
 
 
 def new_keys(requested: DataFrame, seen: DataFrame) -> DataFrame:
@@ -53,24 +43,29 @@ def new_keys(requested: DataFrame, seen: DataFrame) -> DataFrame:
     return left.filter(F.col("at") >= 0).drop("at")
 
 
-def possibly_new_keys(requested: DataFrame, seen: DataFrame, hex_digits: int = 5) -> DataFrame:
-    """Like `new_keys` with a bit set of 16 ** hex_digits bits in place of the key list.
+def new_keys_by_bits(requested: DataFrame, seen: DataFrame, expected: int = 1 << 24) -> DataFrame:
+    """The same as `new_keys`, with a bit set that spares most keys the join with `seen`.
 
-    May miss a new key whose bit is taken, never lets a seen one through. The
-    bit set is kept as 64-bit words, so its size is fixed by `hex_digits`.
+    The set has 16 bits per `expected` seen key, kept as 64-bit words. A free
+    bit proves a key new; a taken one proves nothing, and those keys are looked
+    up in `seen` itself. More seen keys than expected cost time, not results.
     """
+    bits = 16 * expected
+
     def place(key):
-        return F.conv(F.substring(F.md5(key), 1, hex_digits), 16, 10).cast("long")
+        return F.pmod(F.xxhash64(key), F.lit(bits))
 
     words = seen.select(place(F.col("key")).alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("mask")
     )
     asked = requested.groupBy("key").agg(F.min("ts").alias("first_ts"), F.count("*").alias("requests"))
     placed = asked.withColumn("p", place(F.col("key"))).withColumn("word", F.floor(F.col("p") / 64))
-    taken = F.call_function("shiftright", F.coalesce("mask", F.lit(0).cast("long")), (F.col("p") % 64).cast("int"))
-    return placed.join(words, "word", "left").filter(taken.bitwiseAND(F.lit(1).cast("long")) == 0).select(
-        "key", "first_ts", "requests"
-    )
+    bit = F.call_function("shiftright", F.coalesce("mask", F.lit(0).cast("long")), (F.col("p") % 64).cast("int"))
+    marked = cut_lineage(placed.join(words, "word", "left").select(
+        "key", "first_ts", "requests", (bit.bitwiseAND(F.lit(1).cast("long")) == 1).alias("taken")), "marked")
+    free = marked.filter(~F.col("taken")).drop("taken")
+    unsure = marked.filter("taken").drop("taken")
+    return free.unionByName(unsure.join(seen.select("key").distinct(), "key", "left_anti"))
 
 
 def cohort_assignment(users: DataFrame, cohorts: list[settings.Cohort], user: str = "user_id") -> DataFrame:
@@ -98,33 +93,36 @@ def cohort_shares(assigned: DataFrame) -> DataFrame:
 
 def request_status(requests: DataFrame, projects: DataFrame) -> DataFrame:
     """Answer to each request: error for an empty or unknown path, else done."""
-    known = projects.select("path").distinct().withColumn("known", F.lit(True))
-    joined = requests.join(known, "path", "left")
     empty = F.coalesce(F.col("path"), F.lit("")) == ""
-    return joined.select(
-        "event_id",
-        "path",
-        F.when(empty | F.col("known").isNull(), F.lit("ERROR")).otherwise(F.lit("COMPLETED")).alias("status"),
-        F.when(empty, F.lit(settings.EMPTY_PATH_MESSAGE))
-        .when(F.col("known").isNull(), F.concat(F.lit(settings.MISSING_PATH_MESSAGE), F.col("path")))
-        .otherwise(F.lit(settings.DONE_MESSAGE)).alias("message"),
-    )
+
+    def answer(rows: DataFrame, status: str, message: Column) -> DataFrame:
+        return rows.select("event_id", "path", F.lit(status).alias("status"), message.alias("message"))
+
+    # An empty path needs no lookup, and all of them would meet in one task.
+    blank = answer(requests.filter(empty), "ERROR", F.lit(settings.EMPTY_PATH_MESSAGE))
+    known = projects.select("path").distinct().withColumn("known", F.lit(True))
+    asked = requests.filter(~empty).join(known, "path", "left")
+    found = F.col("known").isNotNull()
+    return blank.unionByName(asked.select(
+        "event_id", "path",
+        F.when(found, F.lit("COMPLETED")).otherwise(F.lit("ERROR")).alias("status"),
+        F.when(found, F.lit(settings.DONE_MESSAGE))
+        .otherwise(F.concat(F.lit(settings.MISSING_PATH_MESSAGE), F.col("path"))).alias("message"),
+    ))
 
 
 def invalidate_projects(stored: DataFrame, projects: list[str]) -> DataFrame:
-    """Keys left after all keys of the given projects are dropped."""
-    project = keys.key_project(F.col("key"))
-    if len(projects) <= MAX_LITERAL_ROWS:
-        return stored.filter(~project.isin(projects))
-    dropped = stored.sparkSession.createDataFrame([(p,) for p in set(projects)], "dropped string")
-    return stored.join(dropped, project == F.col("dropped"), "left_anti")
+    """Keys left after all keys of the given projects are dropped; a null key stays."""
+    dropped = stored.sparkSession.createDataFrame([(p,) for p in sorted(set(projects))], "dropped string")
+    return stored.join(dropped, keys.key_project(F.col("key")) == F.col("dropped"), "left_anti")
 
 
 def review_comments(smells: DataFrame, changed: DataFrame) -> DataFrame:
     """Smells in the files of a pull request, shaped as review comments."""
     body = F.concat_ws("\n", "message", "suggestion")
-    return smells.join(changed.select("pr", "path", "commit_id").distinct(), "path").select(
-        "pr", "commit_id", "path", "line", F.lit("RIGHT").alias("side"), body.alias("body")
+    touched = changed.select("pr", "project", "path", "commit_id").distinct()
+    return smells.join(touched, ["project", "path"]).select(
+        "pr", "commit_id", "project", "path", "line", F.lit("RIGHT").alias("side"), body.alias("body")
     )
 
 
@@ -133,7 +131,7 @@ def review_headers(comments: DataFrame, event: str = "COMMENT") -> DataFrame:
 
     The comments stay a table of their own: a review may have any number.
     """
-    first = F.struct("path", "line", "commit_id")
+    first = F.struct("project", "path", "line", "commit_id")
     return comments.groupBy("pr").agg(
         F.min(first)["commit_id"].alias("commit_id"),
         F.count("*").alias("comments"),

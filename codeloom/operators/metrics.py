@@ -10,7 +10,10 @@ from codeloom.functions.keys import deadline_class
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum of doubles that does not depend on the order of addition."""
+    """Sum of durations that does not depend on the order of addition.
+
+    Durations are differences of clocks that count microseconds.
+    """
     return F.sum(value.cast("decimal(28,6)")).cast("double")
 
 
@@ -129,9 +132,17 @@ def merge_results(partials: DataFrame, ok_statuses=("SUCCESS", "COMPLETED")) ->
 
 
 def latest_results(stored: DataFrame, current_version: int = settings.CACHE_VERSION) -> DataFrame:
-    """Last written value per key; keys of other versions are not visible."""
+    """Last written value per key; keys of other versions are not visible.
+
+    `stored_at` and `event_id` name the write that won.
+    """
     visible = stored.filter(F.col("version") == current_version)
     when = F.struct("ts", "event_id")
-    return visible.groupBy("key").agg(
-        F.max_by("data", when).alias("data"), F.max("ts").alias("stored_at")
-    )
+    won = visible.groupBy("key").agg(F.max_by(F.struct("data", "ts", "event_id"), when).alias("w"))
+    return won.select("key", "w.data", F.col("w.ts").alias("stored_at"), "w.event_id")
+
+
+def live_results(results: DataFrame, now: Column, ttl_seconds: int = settings.RESULT_TTL_SECONDS) -> DataFrame:
+    """Stored results whose life has not ended at `now`."""
+    ends = F.timestamp_add("SECOND", F.lit(ttl_seconds), F.col("stored_at"))
+    return results.filter(ends >= now)

@@ -46,3 +46,28 @@ def ranked(df: DataFrame, order: list[Column], amount: str | None = None) -> Dat
         result = result.withColumn("running", F.col("local_sum") + F.col("amount_before"))
     dropped = ["range_id", "local_rn", "rows_before", "amount_before"]
     return result.drop(*dropped, *(["local_sum"] if amount else ["total_amount"]))
+
+
+def dense_ranked(df: DataFrame, value: str, unique: str, name: str) -> DataFrame:
+    """Add the dense rank of `value`, largest first, as `name`.
+
+    Rows are cut into ranges by (value, unique), so rows of one value may fill
+    several ranges. Each range counts its distinct values; a range that starts
+    with the value the one before ended with shares that rank.
+    """
+    stored = cut_lineage(
+        df.repartitionByRange(F.col(value).desc(), F.col(unique)).withColumn("range_id", F.spark_partition_id()),
+        "dense_ranges",
+    )
+    ranges = stored.groupBy("range_id").agg(
+        F.count_distinct(value).alias("n"), F.max(value).alias("top"), F.min(value).alias("low")
+    )
+    order = Window.orderBy("range_id")
+    stepped = ranges.withColumn("shared", (F.col("top") == F.lag("low").over(order)).cast("long"))
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shared = F.coalesce(F.sum("shared").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    offsets = stepped.select("range_id", (before - shared).alias("offset"))
+    inside = F.dense_rank().over(Window.partitionBy("range_id").orderBy(F.col(value).desc()))
+    return (stored.withColumn("local_rank", inside).join(offsets, "range_id")
+            .withColumn(name, (F.col("local_rank") + F.col("offset")).cast("long"))
+            .drop("range_id", "local_rank", "offset"))

@@ -12,7 +12,7 @@ from codeloom.functions import paths, text
 def text_chunks(files: DataFrame, chunk_size: int = settings.CHUNK_SIZE) -> DataFrame:
     """Files cut into chunks of whole lines."""
     chunks = text.chunks_of(F.col("content"), chunk_size)
-    return files.select("path", "ext", F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return files.select("project", "path", "ext", F.posexplode(chunks).alias("chunk_no", "chunk"))
 
 
 def code_prompt(chunk: Column, language: Column) -> Column:
@@ -44,7 +44,7 @@ def prompts(files: DataFrame, chunk_size: int = settings.CHUNK_SIZE, typed: bool
     language = paths.language(F.col("ext"))
     kind = paths.language(F.col("ext"), wide) if typed else F.lit(settings.UNKNOWN_LANGUAGE)
     staged = files.select(
-        "path", "content", language.alias("language"), kind.alias("file_type"),
+        "project", "path", "content", language.alias("language"), kind.alias("file_type"),
         F.when(~paths.is_text_language(language), text.chunks_of(F.col("content"), chunk_size))
         .otherwise(F.array().cast("array<string>")).alias("chunks"),
     )
@@ -59,9 +59,9 @@ def prompts(files: DataFrame, chunk_size: int = settings.CHUNK_SIZE, typed: bool
             code_prompt(chunk, F.col("language")).alias("prompt"),
         ),
     )
-    rows = staged.select("path", F.explode(F.concat(F.array(summary), code)).alias("p"))
+    rows = staged.select("project", "path", F.explode(F.concat(F.array(summary), code)).alias("p"))
     return rows.select(
-        "path", "p.kind", "p.chunk_no", "p.prompt", F.sha2("p.prompt", 256).alias("prompt_hash")
+        "project", "path", "p.kind", "p.chunk_no", "p.prompt", F.sha2("p.prompt", 256).alias("prompt_hash")
     )
 
 
@@ -73,14 +73,14 @@ def complete(prompt_rows: DataFrame, completion) -> DataFrame:
 
 def attach_responses(prompt_rows: DataFrame, responses: DataFrame) -> DataFrame:
     """Each prompt with its response; a missing summary gets the fixed text, missing code none."""
-    joined = prompt_rows.select("path", "kind", "chunk_no", "prompt_hash").join(
+    joined = prompt_rows.select("project", "path", "kind", "chunk_no", "prompt_hash").join(
         responses.select("prompt_hash", "response"), "prompt_hash", "left"
     )
     fallback = F.when(F.col("kind") == "summary", F.lit(settings.NO_SUMMARY_TEXT))
     return joined.withColumn("response", F.coalesce("response", fallback))
 
 
-_HEADER = r"^- Linha[^:\n]*[\t\x0b-\r\x1c-\x20]([+-]?[0-9]{1,18})[\t\x0b-\r\x1c-\x20]*:"
+_HEADER = r"^- Linha[^:\n]*[\t\x0b-\r\x1c-\x20]([+-]?[0-9]+)[\t\x0b-\r\x1c-\x20]*:"
 _PYTHON_HEADER = r"^(?:Linha |Line )"
 _PYTHON_FIELD = r"(?mdiu)^(?:original|sugestão|explicação):"
 
@@ -89,7 +89,8 @@ def parse_suggestions(replies: DataFrame, repeat_on_bad_header: bool = False,
                       ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Suggestions in `- Linha N: message` replies, told apart by the columns `ids`.
 
-    A header without a number starts no record: the open one goes on. With
+    A header without a number starts no record: the open one goes on; a number
+    beyond 64 bits starts one without a line. With
     `repeat_on_bad_header` the open record also comes out once more for each
     such header, as it did originally.
     """
@@ -109,7 +110,7 @@ def parse_suggestions(replies: DataFrame, repeat_on_bad_header: bool = False,
     parsed = parts.select(
         *ids,
         "record",
-        F.regexp_extract("part", _HEADER, 1).cast("long").alias("line"),
+        F.regexp_extract("part", _HEADER, 1).try_cast("long").alias("line"),
         text.strip(F.regexp_extract("part", r"^[^:]*:([^\n]*)", 1)).alias("message"),
         field("Sugestão").alias("suggested_code"),
         field("Explicação").alias("explanation"),
@@ -123,8 +124,9 @@ def parse_suggestions(replies: DataFrame, repeat_on_bad_header: bool = False,
 def file_suggestions(attached: DataFrame) -> DataFrame:
     """Suggestions of each file in the order of its chunks and their records."""
     answered = attached.filter((F.col("kind") == "code") & F.col("response").isNotNull())
-    parsed = parse_suggestions(answered, ids=("path", "chunk_no"))
-    place = F.col("chunk_no").cast("long") * 100_000 + F.col("record")
+    parsed = parse_suggestions(answered, ids=("project", "path", "chunk_no"))
+    # Both numbers are 32 bits wide.
+    place = F.shiftleft(F.col("chunk_no").cast("long"), 32) + F.col("record")
     return parsed.withColumn("place", place).drop("chunk_no", "record")
 
 

@@ -47,7 +47,7 @@ def all_smells(entity_rows: DataFrame, duplicate_rows: DataFrame) -> DataFrame:
 
 
 def project_metrics(files: DataFrame, entities: DataFrame, smells: DataFrame) -> DataFrame:
-    """Per-project totals with smell density (severity per code line).
+    """Per-project totals of the Python files with smell density (severity per code line).
 
     The three inputs are brought to one shape and summed once, so a project
     that holds most of the corpus is pre-aggregated before the only shuffle.
@@ -58,7 +58,7 @@ def project_metrics(files: DataFrame, entities: DataFrame, smells: DataFrame) ->
     def part(df: DataFrame, **given: Column) -> DataFrame:
         return df.select("project", *[given.get(n, zero).cast("long").alias(n) for n in names])
 
-    counted = script_line_counts(files)
+    counted = script_line_counts(files.filter(F.col("ext") == ".py"))
     rows = (
         part(counted, **{n: F.col(n) for n in names[:3]})
         .unionByName(part(entities, total_functions=(F.col("kind") == "function").cast("long"),

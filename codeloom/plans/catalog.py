@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ BUDGET_BYTES = 50_000
 RATE_LIMIT, RATE_WINDOW = 2, "hour"
 DROPPED_PROJECTS = ["src3", "src7"]
 TOP_KEYS = 10
+LIVE_SECONDS = 3 * 86_400
+FOCUS = ["src/", "docs/"]
 COHORTS = [
     settings.Cohort("off", 0.0), settings.Cohort("control", 0.3), settings.Cohort("adaptive", 0.7),
 ]
@@ -53,6 +56,11 @@ def ignored_files(spark, folder):
     return file_ops.ignored_files(derived.text_files(spark, folder)).select("project", "path")
 
 
+@query
+def focused_files(spark, folder):
+    return file_ops.focused_files(derived.text_files(spark, folder), FOCUS).select("project", "path")
+
+
 @query
 def file_roles(spark, folder):
     return file_ops.file_roles(derived.text_files(spark, folder))
@@ -195,7 +203,8 @@ def report_with_replies(spark, folder):
     asked = cut_lineage(replies.prompts(files), "prompts")
     answers = derived.prompt_answers(spark, folder, asked)
     attached = cut_lineage(replies.attach_responses(asked, answers), "responses")
-    summaries = attached.filter(F.col("kind") == "summary").select("path", F.col("response").alias("summary"))
+    summaries = attached.filter(F.col("kind") == "summary").select(
+        "project", "path", F.col("response").alias("summary"))
     lines = report.report_lines(analyses, summaries, replies.file_suggestions(attached))
     return lines.orderBy("project", "section", "path", "seq")
 
@@ -232,6 +241,18 @@ def attach_responses(spark, folder):
     return replies.attach_responses(asked, answered)
 
 
+@query
+def completed_prompts(spark, folder):
+    """Each distinct prompt asked once of a completion that answers with its length."""
+    asked = replies.prompts(file_ops.eligible_files(derived.text_files(spark, folder)))
+
+    @F.pandas_udf("string")
+    def echo(prompts: pd.Series) -> pd.Series:
+        return "letras: " + prompts.str.len().astype("string")
+
+    return replies.complete(asked, echo)
+
+
 @query
 def parse_suggestions(spark, folder):
     return replies.parse_suggestions(derived.model_replies(spark, folder))
@@ -275,8 +296,7 @@ def request_status(spark, folder):
 
 @query
 def review_comments(spark, folder):
-    found = entity_smells(spark, folder)
-    return matching.review_comments(found, derived.changed_files(spark, folder))
+    return matching.review_comments(smells_found(spark, folder), derived.changed_files(spark, folder))
 
 
 @query
@@ -301,7 +321,7 @@ def new_keys(spark, folder):
 
 @query
 def new_keys_bitset(spark, folder):
-    return matching.possibly_new_keys(_user_keys(spark, folder, "click"), _user_keys(spark, folder, "purchase"))
+    return matching.new_keys_by_bits(_user_keys(spark, folder, "click"), _user_keys(spark, folder, "purchase"))
 
 
 @query
@@ -326,7 +346,15 @@ def _stored(spark, folder):
 
 @query
 def latest_result(spark, folder):
-    return metrics.latest_results(_stored(spark, folder))
+    return metrics.latest_results(_stored(spark, folder)).drop("event_id")
+
+
+@query
+def live_results(spark, folder):
+    """Results still alive at the time of the newest write."""
+    stored = _stored(spark, folder)
+    now = stored.agg(F.max("ts")).scalar()
+    return metrics.live_results(metrics.latest_results(stored), now, ttl_seconds=LIVE_SECONDS).drop("event_id")
 
 
 @query
@@ -377,7 +405,7 @@ def cache_hit_counts(spark, folder):
 
 @query
 def attempt_rollup(spark, folder):
-    return metrics.attempt_rollup(derived.task_attempts(spark, folder), max_retries=2)
+    return metrics.attempt_rollup(derived.task_attempts(spark, folder))
 
 
 # ---- access log ----
@@ -458,7 +486,7 @@ def stream_compute_points(spark, folder):
 def stream_latest_result(spark, folder):
     out = fresh_dir(spark, "results")
     streams.latest_results(_keyed(_streamed(spark, folder, derived.stored_results_of)), out).awaitTermination()
-    return streams.latest_results_snapshot(spark, out)
+    return streams.latest_results_snapshot(spark, out).drop("event_id")
 
 
 @query

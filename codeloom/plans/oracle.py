@@ -244,20 +244,20 @@ _METRICS = r"""
 # Greedy packing, one line at a time.
 CHUNKS = r"""
 chunk_lines AS (
-  SELECT path, unnest(string_split(content, chr(10))) AS line,
+  SELECT project, path, unnest(string_split(content, chr(10))) AS line,
          generate_subscripts(string_split(content, chr(10)), 1) AS ln FROM text_files),
 packed AS (
-  SELECT path, ln, line, length(line) AS size, (length(line) > 1000)::INT AS chunk_no
+  SELECT project, path, ln, line, length(line) AS size, (length(line) > 1000)::INT AS chunk_no
   FROM chunk_lines WHERE ln = 1
   UNION ALL
-  SELECT c.path, c.ln, c.line,
+  SELECT c.project, c.path, c.ln, c.line,
          CASE WHEN p.size + length(c.line) > 1000 THEN length(c.line) ELSE p.size + length(c.line) END,
          p.chunk_no + (p.size + length(c.line) > 1000)::INT
-  FROM packed p JOIN chunk_lines c ON c.path = p.path AND c.ln = p.ln + 1),
+  FROM packed p JOIN chunk_lines c ON c.project = p.project AND c.path = p.path AND c.ln = p.ln + 1),
 chunks AS (
-  SELECT path, chunk_no, string_agg(line, chr(10) ORDER BY ln) AS chunk FROM packed GROUP BY ALL
+  SELECT project, path, chunk_no, string_agg(line, chr(10) ORDER BY ln) AS chunk FROM packed GROUP BY ALL
   UNION ALL
-  SELECT path, 0, '' FROM packed WHERE ln = 1 AND chunk_no = 1)
+  SELECT project, path, 0, '' FROM packed WHERE ln = 1 AND chunk_no = 1)
 """
 
 
@@ -269,13 +269,13 @@ _SUMMARY_HEAD, _SUMMARY_TAIL = settings.DEFAULT_SUMMARY_PROMPT
 _CODE_HEAD, _CODE_MIDDLE, _CODE_TAIL = settings.CODE_PROMPT
 PROMPTS = f"WITH RECURSIVE {TEXT_FILES}, {ELIGIBLE}, {CHUNKS}," + f"""
 asked AS (
-  SELECT path, 'summary' AS kind, -1 AS chunk_no,
+  SELECT project, path, 'summary' AS kind, -1 AS chunk_no,
          {_sql_text(_SUMMARY_HEAD)} || content || {_sql_text(_SUMMARY_TAIL)} AS prompt
   FROM eligible
   UNION ALL
-  SELECT path, 'code', chunk_no,
+  SELECT project, path, 'code', chunk_no,
          {_sql_text(_CODE_HEAD)} || {_language('ext')} || {_sql_text(_CODE_MIDDLE)} || chunk || {_sql_text(_CODE_TAIL)}
-  FROM chunks JOIN eligible USING (path)
+  FROM chunks JOIN eligible USING (project, path)
   WHERE {_language('ext')} NOT IN {_in(settings.TEXT_LANGUAGES)})
 """
 
@@ -348,7 +348,7 @@ lint AS (
 
 EVENTS = r"""
 ev AS (SELECT *, (props::JSON ->> '$.k')::BIGINT AS k FROM events),
-acc AS (SELECT event_id, 'k' || k AS key, ts, k * 37 + 100 AS size, event_type = 'view' AS hit,
+acc AS (SELECT event_id, 'k' || k AS key, ts, k * 37 + event_id % 7 * 10 + 100 AS size, event_type = 'view' AS hit,
                event_type AS cache_type FROM ev),
 att AS (SELECT event_id // 4 AS task, event_id % 4 AS attempt, event_type AS task_name,
                CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
@@ -360,7 +360,7 @@ stored AS (
          value AS data, ts, event_id FROM ev),
 latest AS (SELECT key, any_value(project) AS project, arg_max(data, (ts, event_id)) AS data, max(ts) AS stored_at
            FROM stored WHERE version = 2 GROUP BY key),
-last_access AS (SELECT key, max(ts) AS last_ts, max(size) AS size FROM acc GROUP BY key)
+last_access AS (SELECT key, max(ts) AS last_ts, arg_max(size, (ts, event_id)) AS size FROM acc GROUP BY key)
 """
 
 _POINT = "(('0x' || substr(md5(c_custkey::VARCHAR), 1, 8))::UBIGINT / 4294967296.0)"
@@ -411,11 +411,11 @@ CHAIN = f"""
 """
 _KEY_EVENTS = "SELECT user_id || ':' || props AS key, ts FROM events WHERE event_type = "
 _BODY = "message || E'\\n' || suggestion"
-_COMMENTS = SMELLS + r""",
-changed AS (SELECT DISTINCT quality * 2 + toxic AS pr, 'pkg/doc_' || doc_id || '.py' AS path,
-                   md5('commit' || (quality * 2 + toxic)) AS commit_id FROM labels),
-comments AS (SELECT pr, commit_id, path, line, 'RIGHT' AS side, """ + _BODY + r""" AS body
-             FROM py_smells JOIN changed USING (path))
+_COMMENTS = ALL_SMELLS + r""",
+changed AS (SELECT DISTINCT quality * 2 + toxic AS pr, source AS project, 'pkg/doc_' || doc_id || '.py' AS path,
+                   md5('commit' || (quality * 2 + toxic)) AS commit_id FROM labels JOIN documents USING (doc_id)),
+comments AS (SELECT pr, commit_id, project, path, line, 'RIGHT' AS side, """ + _BODY + r""" AS body
+             FROM all_smells JOIN changed USING (project, path))
 """
 
 _REPORT = f"{PY_LINES}, {TEXT_FILES}, {ELIGIBLE}," + rf"""
@@ -476,7 +476,7 @@ FULL_REPORT = PROMPTS + "," + _REPORT.replace("@EVERY@", _ELIGIBLE_ROWS).replace
 answers AS (
   SELECT prompt, max({_REPLY}) AS response
   FROM asked JOIN labels ON doc_id = regexp_extract(path, '/d([0-9]+)/', 1)::BIGINT GROUP BY prompt),
-attached AS (SELECT a.*, response, project FROM asked a LEFT JOIN answers USING (prompt) JOIN eligible USING (path)),
+attached AS (SELECT a.*, response FROM asked a LEFT JOIN answers USING (prompt)),
 noted AS (SELECT * FROM attached WHERE kind = 'code' AND response IS NOT NULL)
 SELECT * FROM report
 UNION ALL
@@ -487,7 +487,7 @@ UNION ALL
 SELECT project, 3, path, unnest([200, 201]), unnest(['', '#### Sugestões de Melhoria'])
 FROM (SELECT DISTINCT project, path FROM noted)
 UNION ALL
-SELECT project, 3, path, 1000 + chunk_no * 1000000 + unnest([0, 1]),
+SELECT project, 3, path, 1000 + chunk_no::BIGINT * 42949672960 + unnest([0, 1]),
        unnest([substr(split_part(response, chr(10), 1), 1), split_part(response, chr(10), 2)])
 FROM noted
 """
@@ -527,15 +527,15 @@ ORACLE = {
                     "split_part(p_name, ' ', 1) || '>=' || p_size || '.0', split_part(p_name, ' ', 2) || '==' || p_size"
                     "]) AS dependency FROM part UNION ALL SELECT 'part' || p_partkey, 'JavaScript', "
                     "unnest([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2) || '-js']) FROM part",
-    "lines": f"WITH {TEXT_FILES} SELECT path, generate_subscripts(l, 1) AS line_no, "
+    "lines": f"WITH {TEXT_FILES} SELECT project, path, generate_subscripts(l, 1) AS line_no, "
              "unnest(list_transform(l, lambda x: length(x) - length(ltrim(x, E' \\t')))) AS indent, unnest(l) AS text "
-             "FROM (SELECT path, string_split(content, chr(10)) AS l FROM text_files)",
+             "FROM (SELECT project, path, string_split(content, chr(10)) AS l FROM text_files)",
     "code_entities": f"WITH {PY_LINES} SELECT path, kind, name, start_line, end_line, is_async, params "
                      "FROM py_entities",
     "function_complexity": f"WITH {PY_LINES} SELECT path, name, start_line, complexity FROM py_entities "
                            "WHERE kind = 'function'",
-    "file_complexity_py": f"WITH {PY_LINES} SELECT path, (1 + sum(bools + branch2))::DOUBLE AS complexity "
-                          "FROM py_lines GROUP BY path",
+    "file_complexity_py": f"WITH {PY_LINES} SELECT project, path, (1 + sum(bools + branch2))::DOUBLE AS complexity "
+                          "FROM py_lines GROUP BY project, path",
     "class_members": f"WITH {PY_LINES} SELECT project, path, name, start_line, n_methods, "
                      "n_public AS n_public_methods, n_attributes, coalesce(methods, '') AS methods "
                      "FROM py_entities WHERE kind = 'class'",
@@ -554,13 +554,13 @@ ORACLE = {
     "report_with_replies": FULL_REPORT,
     "prompts_g1": f"WITH {PY_FILES} SELECT path, {_sql_text(settings.PYTHON_CODE_PROMPT[0])} || content || "
                   f"{_sql_text(settings.PYTHON_CODE_PROMPT[1])} AS prompt FROM py_files",
-    "text_chunks": f"WITH RECURSIVE {TEXT_FILES}, {CHUNKS} SELECT path, chunk_no, chunk FROM chunks",
-    "prompts": PROMPTS + "SELECT path, kind, chunk_no, prompt FROM asked",
+    "text_chunks": f"WITH RECURSIVE {TEXT_FILES}, {CHUNKS} SELECT project, path, chunk_no, chunk FROM chunks",
+    "prompts": PROMPTS + "SELECT project, path, kind, chunk_no, prompt FROM asked",
     "attach_responses": PROMPTS + rf""", answered AS (
       SELECT {_sql_text(_SUMMARY_HEAD)} || text || {_sql_text(_SUMMARY_TAIL)} AS prompt,
              'resumo ' || max(quality) AS response
       FROM labels JOIN documents USING (doc_id) GROUP BY ALL)
-    SELECT path, kind, chunk_no, sha256(prompt) AS prompt_hash,
+    SELECT project, path, kind, chunk_no, sha256(prompt) AS prompt_hash,
            coalesce(response, CASE WHEN kind = 'summary' THEN {_quote(settings.NO_SUMMARY_TEXT)} END) AS response
     FROM asked LEFT JOIN answered USING (prompt)""",
     "parse_suggestions": f"WITH {REPLIES} SELECT * EXCLUDE (bad) FROM suggestions",
@@ -587,19 +587,24 @@ ORACLE = {
                 WHEN path NOT IN (SELECT source FROM documents) THEN {_quote(settings.MISSING_PATH_MESSAGE)} || path
                 ELSE {_quote(settings.DONE_MESSAGE)} END AS message FROM r""",
     "review_comments": f"WITH {_COMMENTS} SELECT * FROM comments",
-    "review_headers": f"WITH {_COMMENTS} SELECT pr, arg_min(commit_id, (path, line)) AS commit_id, "
+    "review_headers": f"WITH {_COMMENTS} SELECT pr, arg_min(commit_id, (project, path, line)) AS commit_id, "
                       f"{_quote(settings.REVIEW_BODY)} AS body, 'COMMENT' AS event, count(*) AS comments "
                       "FROM comments GROUP BY pr",
     "event_fanout": _fanout(),
     "new_keys": f"SELECT key, min(ts) AS first_ts, count(*) AS requests FROM ({_KEY_EVENTS}'click') "
                 f"WHERE key NOT IN (SELECT key FROM ({_KEY_EVENTS}'purchase')) GROUP BY key",
-    "new_keys_bitset": f"SELECT key, min(ts) AS first_ts, count(*) AS requests FROM ({_KEY_EVENTS}'click') "
-                       f"WHERE substr(md5(key), 1, 5) NOT IN (SELECT substr(md5(key), 1, 5) FROM "
-                       f"({_KEY_EVENTS}'purchase')) GROUP BY key",
+    "new_keys_bitset": f"SELECT key, min(c.ts) AS first_ts, count(*) AS requests FROM ({_KEY_EVENTS}'click') c "
+                       f"ANTI JOIN ({_KEY_EVENTS}'purchase') s USING (key) GROUP BY key",
     "cohort_assignment": f"WITH {_cohorts()} SELECT * FROM cohorts",
     "cohort_shares": f"WITH {_cohorts()} SELECT cohort, count(*) AS users, "
                      "count(*) / (SELECT count(*) FROM customer) AS share FROM cohorts GROUP BY cohort",
     "latest_result": f"WITH {EVENTS} SELECT key, data, stored_at FROM latest",
+    "live_results": f"WITH {EVENTS} SELECT key, data, stored_at FROM latest WHERE stored_at + INTERVAL "
+                    f"{catalog.LIVE_SECONDS} SECOND >= (SELECT max(ts) FROM stored)",
+    "focused_files": f"WITH {TEXT_FILES} SELECT project, path FROM text_files WHERE "
+                     + " OR ".join(f"starts_with(path, '{d}')" for d in catalog.FOCUS),
+    "completed_prompts": PROMPTS + "SELECT DISTINCT sha256(prompt) AS prompt_hash, "
+                                   "'letras: ' || length(prompt) AS response FROM asked",
     "invalidate_project": f"WITH {EVENTS} SELECT key, data FROM latest "
                           f"WHERE project NOT IN {_in(catalog.DROPPED_PROJECTS)}",
     "merge_results": f"WITH {EVENTS} SELECT 'src' || (user_id % 20) AS project, 'result' AS kind, 'k' || k AS key, "
@@ -628,7 +633,7 @@ ORACLE = {
     "cache_hit_counts": f"WITH {EVENTS} SELECT cache_type, count(*) FILTER (hit) AS hits, "
                         "count(*) FILTER (NOT hit) AS misses FROM acc GROUP BY ALL",
     "attempt_rollup": f"WITH {EVENTS} SELECT task, arg_max(status, attempt) AS status, count(*) - 1 AS retries "
-                      "FROM att WHERE attempt <= 2 GROUP BY task",
+                      "FROM att WHERE attempt <= 3 GROUP BY task",
     "evict_oldest": f"WITH {EVENTS} SELECT key, last_ts, size, rn FROM (SELECT *, "
                     "row_number() OVER (ORDER BY last_ts, key) AS rn, count(*) OVER () AS n, "
                     "sum(size) OVER () AS used FROM last_access) "

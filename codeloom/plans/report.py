@@ -22,8 +22,8 @@ def report_lines(analyses: DataFrame, summaries: DataFrame | None = None,
     """Report of every project: project, section, path, seq, line.
 
     Sorted by those columns the lines are the Markdown text. Sections are 1
-    overview, 2 languages, 3 files. `summaries` (path, summary) and
-    `suggestions` (path, place, line, message, suggested_code, explanation),
+    overview, 2 languages, 3 files. `summaries` (project, path, summary) and
+    `suggestions` (project, path, place, line, message, suggested_code, explanation),
     listed by place, are optional. `compat` repeats an old slip: total lines show the code lines
     and blank lines show 0.
     """
@@ -72,12 +72,12 @@ def report_lines(analyses: DataFrame, summaries: DataFrame | None = None,
     parts = [overview, languages, heading, body]
     located = analyses.select("project", "path")
     if summaries is not None:
-        parts.append(located.join(summaries, "path").select(
+        parts.append(located.join(summaries, ["project", "path"]).select(
             "project", F.lit(3).alias("section"), "path",
             F.posexplode(_array("", "#### Resumo do Arquivo", F.col("summary"))).alias("seq", "line"),
         ).withColumn("seq", F.col("seq") + 100))
     if suggestions is not None:
-        given = located.join(suggestions, "path")
+        given = located.join(suggestions, ["project", "path"])
         parts.append(given.select("project", "path").distinct().select(
             "project", F.lit(3).alias("section"), "path",
             F.posexplode(_array("", "#### Sugestões de Melhoria")).alias("seq", "line"),

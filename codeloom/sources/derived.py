@@ -214,7 +214,7 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def accesses(spark: SparkSession, folder: str) -> DataFrame:
-    """`events` as an access log; the size of a key never changes."""
+    """`events` as an access log; the size of a key changes from access to access."""
     return accesses_of(table(spark, folder, "events"))
 
 
@@ -223,7 +223,7 @@ def accesses_of(events: DataFrame) -> DataFrame:
         "event_id",
         F.concat(F.lit("k"), F.col("k").cast("string")).alias("key"),
         "ts",
-        (F.col("k") * 37 + 100).alias("size"),
+        (F.col("k") * 37 + F.col("event_id") % 7 * 10 + 100).alias("size"),
         (F.col("event_type") == "view").alias("hit"),
         F.col("event_type").alias("cache_type"),
     )
@@ -320,8 +320,9 @@ SUBSCRIPTIONS = [
 def changed_files(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents as the files touched by pull requests."""
     number = F.col("quality") * 2 + F.col("toxic")
-    return table(spark, folder, "labels").select(
-        number.alias("pr"),
+    sources = table(spark, folder, "documents").select("doc_id", F.col("source").alias("project"))
+    return table(spark, folder, "labels").join(sources, "doc_id").select(
+        number.alias("pr"), "project",
         F.concat(F.lit("pkg/doc_"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"),
         F.md5(F.concat(F.lit("commit"), number.cast("string"))).alias("commit_id"),
     )

@@ -1,96 +1,96 @@
-"""Source trees on a file system, read as one row per file."""
+"""Source trees on a file system or in a store, read as one row per file."""
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom import settings
 from codeloom.functions import paths
+from codeloom.operators.files import in_repository_data, is_binary_name
+from codeloom.session import cut_lineage
 
 BATCH_BYTES = 32 * 1024 * 1024
+LISTED = "path string, size long, folder boolean"
 
 
-def scan_tree(spark: SparkSession, root: str, glob: str | None = None,
-              max_bytes: int | None = settings.MAX_FILE_BYTES) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int | None = None,
+              binaries: bool = False) -> DataFrame:
     """Read every file below `root`; the first directory is the project.
 
-    `root` is a folder all executors mount, or a store URI. Files are dropped
-    by name and size before they are opened. Text is UTF-8 with undecodable
+    `root` is a folder all executors mount, or the URI of a store that the
+    installed Arrow file systems reach (s3, gs, abfss, hdfs, file). Names that
+    start with `_` or `.` are read like all others. Files are dropped before they
+    are opened: by `glob`, above `max_bytes`, and, unless `binaries`, by a binary
+    extension or a place in repository data. Text is UTF-8 with undecodable
     bytes left out and line ends unified.
     """
-    if "://" in root and not root.startswith("file://"):
-        return _scan_store(spark, root, glob, max_bytes)
-    return _scan_folder(spark, root.removeprefix("file://").rstrip("/"), glob, max_bytes)
-
-
-def _shaped(found: DataFrame, content: Column) -> DataFrame:
+    uri = root if "://" in root else f"file://{root}"
+    found = _listing(spark, uri.rstrip("/"))
     path = F.col("path")
-    return found.select(
-        F.regexp_extract(path, r"^([^/]*)/", 1).alias("project"),
-        "path",
-        paths.extension(path).alias("ext"),
-        "size",
-        F.regexp_replace(content, r"\r\n?", "\n").alias("content"),
+    found = found.withColumn("ext", paths.extension(path))
+    if max_bytes is not None:
+        found = found.filter(F.col("size") <= max_bytes)
+    if glob:
+        found = found.filter(path.rlike(paths.glob_regex(glob)))
+    if not binaries:
+        found = found.filter(~is_binary_name(F.col("ext")) & ~in_repository_data(path))
+    texts = _read(found.select("path", "size"), uri.rstrip("/"))
+    return texts.select(
+        F.regexp_extract(path, r"^([^/]*)/", 1).alias("project"), "path", paths.extension(path).alias("ext"), "size",
+        F.regexp_replace("text", r"\r\n?", "\n").alias("content"),
     )
 
 
-def _scan_folder(spark, root, glob, max_bytes) -> DataFrame:
-    """Spark's own file sources skip names such as `__init__.py` and `.env`,
-    so tasks list the projects, then other tasks read the files they found.
+def _listing(spark: SparkSession, uri: str) -> DataFrame:
+    """All files below a root, with their size.
 
-    Reading follows a shuffle of the paths, which spreads one huge project.
+    Directories are listed level by level: those of one level are dealt out
+    over the tasks, so one project with most of the directories is spread.
+    There are as many rounds as the tree is deep.
     """
-    def walk(batches):
-        for batch in batches:
-            for name in batch["name"]:
-                start = os.path.join(root, name)
-                tree = os.walk(start) if os.path.isdir(start) else [(root, [], [name])]
-                for folder, _, names in tree:
-                    files = [os.path.join(folder, n) for n in names]
-                    files = [f for f in files if os.path.isfile(f)]
-                    yield pd.DataFrame({
-                        "path": [os.path.relpath(f, root) for f in files],
-                        "size": [os.path.getsize(f) for f in files],
-                    })
+    def listed(batches):
+        from pyarrow import fs
 
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder in batch["path"]:
+                start = f"{base}/{folder}".rstrip("/")
+                infos = system.get_file_info(fs.FileSelector(start, recursive=False))
+                names = [i.path[len(base):].lstrip("/") for i in infos]
+                if not names:
+                    continue
+                yield pd.DataFrame({
+                    "path": names, "size": [i.size or 0 for i in infos],
+                    "folder": [i.type == fs.FileType.Directory for i in infos],
+                })
+
+    files = spark.createDataFrame([], "path string, size long")
+    level = spark.createDataFrame([("",)], "path string")
+    while True:
+        found = cut_lineage(level.repartition("path").mapInPandas(listed, LISTED), "listing")
+        files = files.unionByName(found.filter(~F.col("folder")).select("path", "size"))
+        level = found.filter("folder").select("path")
+        if level.isEmpty():
+            return files
+
+
+def _read(found: DataFrame, uri: str) -> DataFrame:
+    """Contents of the listed files; the list is dealt out by path, so one huge project is spread."""
     def read(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(uri)
         for batch in batches:
             rows, held = [], 0
             for path, size in zip(batch["path"], batch["size"]):
-                with open(os.path.join(root, path), "rb") as file:
+                with system.open_input_stream(f"{base}/{path}") as file:
                     rows.append((path, size, file.read().decode("utf-8", "ignore")))
                 held += size
                 if held >= BATCH_BYTES:
                     yield pd.DataFrame(rows, columns=["path", "size", "text"])
                     rows, held = [], 0
-            yield pd.DataFrame(rows, columns=["path", "size", "text"])
-
-    cores = spark.sparkContext.defaultParallelism
-    tops = spark.createDataFrame([(n,) for n in sorted(os.listdir(root))], "name string")
-    listed = tops.repartition(2 * cores, "name").mapInPandas(walk, "path string, size long")
-    if max_bytes is not None:
-        listed = listed.filter(F.col("size") <= max_bytes)
-    if glob:
-        listed = listed.filter(F.col("path").rlike(paths.glob_regex(glob)))
-    parts = max(2 * cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    texts = listed.repartition(parts, "path").mapInPandas(read, "path string, size long, text string")
-    return _shaped(texts, F.col("text"))
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "size", "text"])
 
-
-def _scan_store(spark, root, glob, max_bytes) -> DataFrame:
-    """Spark's binary file source; it leaves out names that start with `_` or `.`."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    raw = reader.load(root)
-    if max_bytes is not None:
-        raw = raw.filter(F.col("length") <= max_bytes)
-    base = root.rstrip("/").split("://", 1)[1]
-    relative = F.substring_index(F.col("path"), f"/{base.split('/', 1)[-1]}/", -1)
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return _shaped(raw.select(relative.alias("path"), F.col("length").alias("size"), text.alias("text")),
-                   F.col("text"))
+    return found.repartition("path").mapInPandas(read, "path string, size long, text string")

@@ -2,9 +2,11 @@
 
 Every stream runs with `availableNow`: an outside scheduler starts it as often
 as wanted, and it goes on where it stopped. Output and checkpoint live below
-one folder. Aggregates are written per micro-batch into `batch=<id>`, so a
-batch that is run again after a failure overwrites its own files only; a
-snapshot function reads the newest state of each key from them.
+one folder. Every micro-batch writes what it alone says of each key into
+`batch=<id>`, so a batch that is run again after a failure overwrites its own
+files only, no state grows in the stream, and the order of files plays no part.
+A snapshot function merges the parts; `compact` merges those of old batches into
+one, so that a snapshot does not read every batch there ever was.
 """
 
 from __future__ import annotations
@@ -40,18 +42,39 @@ def _start(df: DataFrame, out: str, mode: str, each: Callable[[DataFrame, int],
     )
 
 
-def _keep_batch(out: str) -> Callable[[DataFrame, int], None]:
+def _keep_parts(out: str, part: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+        part(batch).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
     return write
 
 
-def _newest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """Of every key the row of the last batch that has it."""
+def _parts(spark: SparkSession, out: str) -> DataFrame:
+    """The newest compacted part and those of the batches after it."""
     rows = spark.read.parquet(f"{out}/data")
-    values = [c for c in rows.columns if c not in {*keys, "batch"}]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+    upto, files = _compacted(spark, out)
+    if upto is None:
+        return rows.drop("batch")
+    later = rows.filter(F.col("batch") > upto).drop("batch")
+    return later.unionByName(spark.read.schema(later.schema).parquet(files))
+
+
+def _compacted(spark: SparkSession, out: str) -> tuple[int | None, str]:
+    """The last batch in the newest finished compaction, and its folder."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/compacted")
+    system = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(base):
+        return None, ""
+    done = [int(x.getPath().getName().removeprefix("upto=")) for x in system.listStatus(base)
+            if system.exists(spark._jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS"))]
+    return (max(done), f"{out}/compacted/upto={max(done)}") if done else (None, "")
+
+
+def compact(spark: SparkSession, out: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+    """Merge all parts so far into one; `merge` is the stream's own merge. Run it between two runs of the stream."""
+    newest = spark.read.parquet(f"{out}/data").agg(F.max("batch")).first()[0]
+    if newest is not None:
+        merge(_parts(spark, out)).write.mode("overwrite").parquet(f"{out}/compacted/upto={newest}")
 
 
 def event_fanout(events: DataFrame, subscriptions: list[dict], out: str) -> StreamingQuery:
@@ -63,14 +86,20 @@ def event_fanout(events: DataFrame, subscriptions: list[dict], out: str) -> Stre
     )
 
 
+def merge_last_access(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("key").agg(F.max("last_ts").alias("last_ts"))
+
+
 def last_access(accesses: DataFrame, out: str) -> StreamingQuery:
-    """Newest access per key, as running state."""
-    state = accesses.groupBy("key").agg(F.max("ts").alias("last_ts"))
-    return _start(state, out, "update", _keep_batch(out))
+    """Newest access per key."""
+    def part(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("key").agg(F.max("ts").alias("last_ts"))
+
+    return _start(accesses, out, "append", _keep_parts(out, part))
 
 
 def last_access_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    return _newest(spark, out, ["key"])
+    return merge_last_access(_parts(spark, out))
 
 
 def minute_counts(accesses: DataFrame, out: str, lateness: str = LATENESS) -> StreamingQuery:
@@ -84,67 +113,71 @@ def minute_counts(accesses: DataFrame, out: str, lateness: str = LATENESS) -> St
     flat = counts.select(
         F.col("window.start").cast("timestamp_ntz").alias("minute"), "cache_type", "accesses", "hits", "misses"
     )
-    return _start(flat, out, "update", _keep_batch(out))
+    return _start(flat, out, "update", _keep_parts(out, lambda batch: batch))
 
 
 def minute_counts_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    return _newest(spark, out, ["minute", "cache_type"])
+    """Of every minute the row of the last batch that updated it."""
+    rows = spark.read.parquet(f"{out}/data")
+    keys = ["minute", "cache_type"]
+    values = [c for c in rows.columns if c not in {*keys, "batch"}]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+
+
+def merge_counts(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("key").agg(F.sum("accesses").alias("accesses"))
 
 
 def access_counts(accesses: DataFrame, out: str) -> StreamingQuery:
-    """Accesses per key, as running state."""
-    return _start(accesses.groupBy("key").agg(F.count("*").alias("accesses")), out, "update", _keep_batch(out))
+    """Accesses per key."""
+    def part(batch: DataFrame) -> DataFrame:
+        return batch.groupBy("key").agg(F.count("*").alias("accesses"))
+
+    return _start(accesses, out, "append", _keep_parts(out, part))
 
 
 def popular_snapshot(spark: SparkSession, out: str, k: int) -> DataFrame:
     """The list an hourly refresh would warm up: the k most accessed keys."""
-    return _newest(spark, out, ["key"]).orderBy(F.col("accesses").desc(), "key").limit(k)
+    return merge_counts(_parts(spark, out)).orderBy(F.col("accesses").desc(), "key").limit(k)
 
 
-def compute_points(accesses: DataFrame, out: str,
-                   ttl_seconds: int = settings.RESULT_TTL_SECONDS) -> StreamingQuery:
-    """Accesses that have to compute; the end of a result's life carries over.
+def compute_points(accesses: DataFrame, out: str) -> StreamingQuery:
+    """Accesses by key and time, for `compute_points_snapshot`.
 
-    The last computing access per key is written next to each batch, and the
-    following batch starts from it.
+    Which access computes depends on all before it, and files may come in any
+    order, so it is decided when it is asked for, over all of them.
     """
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = None
-        if batch_id > 0:
-            state = spark.read.parquet(f"{out}/state/batch={batch_id - 1}")
-        batch.persist()
-        points = access.compute_points(batch, ttl_seconds, state=state)
-        points.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
-        written = spark.read.schema(points.schema).parquet(f"{out}/data/batch={batch_id}")
-        last = written.select("key", F.col("t").alias("last"))
-        if state is not None:
-            last = last.unionByName(state)
-        last.groupBy("key").agg(F.max("last").alias("last")).write.mode("overwrite").parquet(
-            f"{out}/state/batch={batch_id}"
-        )
-        batch.unpersist()
-
-    return _start(accesses, out, "append", each)
-
-
-def compute_points_snapshot(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/data").drop("batch")
+    def part(batch: DataFrame) -> DataFrame:
+        return batch.select("key", "ts").distinct()
+
+    return _start(accesses, out, "append", _keep_parts(out, part))
+
+
+def merge_accesses(parts: DataFrame) -> DataFrame:
+    return parts.distinct()
+
+
+def compute_points_snapshot(spark: SparkSession, out: str,
+                            ttl_seconds: int = settings.RESULT_TTL_SECONDS) -> DataFrame:
+    """Accesses that have to compute, as the batch operator finds them."""
+    return access.compute_points(_parts(spark, out), ttl_seconds)
 
 
 def latest_results(stored: DataFrame, out: str,
                    current_version: int = settings.CACHE_VERSION) -> StreamingQuery:
     """Last written value per key: each batch adds its own winners."""
-    def each(batch: DataFrame, batch_id: int) -> None:
-        won = metrics.latest_results(batch, current_version)
-        won.write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+    def part(batch: DataFrame) -> DataFrame:
+        return metrics.latest_results(batch, current_version)
+
+    return _start(stored, out, "append", _keep_parts(out, part))
 
-    return _start(stored, out, "append", each)
+
+def merge_latest(parts: DataFrame) -> DataFrame:
+    when = F.struct("stored_at", "event_id")
+    won = parts.groupBy("key").agg(F.max_by(F.struct("data", "stored_at", "event_id"), when).alias("w"))
+    return won.select("key", "w.*")
 
 
 def latest_results_snapshot(spark: SparkSession, out: str) -> DataFrame:
     """The newest winner of each key over all batches."""
-    rows = spark.read.parquet(f"{out}/data")
-    return rows.groupBy("key").agg(
-        F.max_by("data", F.struct("stored_at", "batch")).alias("data"), F.max("stored_at").alias("stored_at")
-    )
+    return merge_latest(_parts(spark, out))

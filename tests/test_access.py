@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import access
-from codeloom.operators.ordering import ranked
+from codeloom.operators.ordering import dense_ranked, ranked
 
 START = dt.datetime(2024, 1, 1)
 
@@ -50,8 +50,9 @@ def test_evict_oldest(spark, keys, gone):
 def test_recency_budget_is_what_a_cache_keeps(spark, budget):
     rows, df = random_log(spark)
     cache, used = OrderedDict(), 0
-    for key, _, _ in rows:
-        size = 10 + 7 * int(key[1:])
+    sizes = {(k, s): 10 + 7 * int(k[1:]) for k, s, _ in rows}
+    for key, second, _ in rows:
+        size = sizes[key, second]
         used -= cache.pop(key, 0)
         while cache and used + size > budget:
             used -= cache.popitem(last=False)[1]
@@ -69,32 +70,70 @@ def computing(rows, ttl, ends=None):
     return out
 
 
-@pytest.mark.parametrize("hot_rows", [100_000, 30, 0])
-def test_compute_points(spark, hot_rows):
-    """The fold and the slice-by-slice search for hot keys agree with a loop."""
+@pytest.mark.parametrize("ranges", [1, 4, 40])
+def test_compute_points(spark, ranges):
+    """A loop agrees, whether a key is in one range or spread over many."""
     rows, df = random_log(spark)
     base = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1e6)
-    got = [(r.key, (r.t - base) / 1e6) for r in access.compute_points(df, 600, hot_rows=hot_rows).collect()]
+    with_ranges(spark, ranges)
+    try:
+        got = [(r.key, (r.t - base) / 1e6) for r in access.compute_points(df, 600).collect()]
+    finally:
+        with_ranges(spark, None)
     assert sorted(got) == sorted(computing(rows, 600))
 
 
-def test_compute_points_with_a_long_list_of_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(access, "BROADCAST_KEYS", 0)
-    rows, df = random_log(spark, n=150, span=3000)
-    plain = access.compute_points(df, 600)
-    salted = access.compute_points(df, 600, hot_rows=10)
-    assert sorted(map(tuple, salted.collect())) == sorted(map(tuple, plain.collect()))
-
-
-@pytest.mark.parametrize("hot_rows", [100_000, 0])
-def test_compute_points_go_on_from_state(spark, hot_rows):
+@pytest.mark.parametrize("ranges", [1, 30])
+def test_compute_points_go_on_from_state(spark, ranges):
     rows, df = random_log(spark)
     cut = START + dt.timedelta(seconds=4000)
+    whole = sorted(map(tuple, access.compute_points(df, 600).collect()))
     first = access.compute_points(df.filter(F.col("ts") < F.lit(cut)), 600)
     state = first.groupBy("key").agg(F.max("t").alias("last"))
-    second = access.compute_points(df.filter(F.col("ts") >= F.lit(cut)), 600, state=state, hot_rows=hot_rows)
-    whole = access.compute_points(df, 600)
-    assert sorted(map(tuple, first.unionByName(second).collect())) == sorted(map(tuple, whole.collect()))
+    with_ranges(spark, ranges)
+    try:
+        second = access.compute_points(df.filter(F.col("ts") >= F.lit(cut)), 600, state=state).collect()
+    finally:
+        with_ranges(spark, None)
+    assert sorted(map(tuple, first.collect() + second)) == whole
+
+
+def with_ranges(spark, number):
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false",
+                "spark.sql.shuffle.partitions": str(number)}
+    for key, value in settings.items():
+        if number:
+            spark.conf.set(key, value)
+    if not number:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_size_is_that_of_the_last_access(spark):
+    df = log(spark, [("a", 1, 100), ("a", 2, 10), ("b", 3, 10)])
+    assert {(r.key, r.size) for r in access.recency_budget(df, 50).collect()} == {("a", 10), ("b", 10)}
+
+
+def test_times_do_not_depend_on_the_zone(spark):
+    df = log(spark, [("a", 0, 1)])
+    want = access.compute_points(df, 60).collect()
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        assert access.compute_points(df, 60).collect() == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_dense_ranks_over_many_ranges(spark):
+    df = spark.range(500).select("id", (F.col("id") % 7 * F.col("id") % 3).cast("double").alias("v"))
+    with_ranges(spark, 20)
+    try:
+        got = {r.id: r.place for r in dense_ranked(df, "v", "id", "place").collect()}
+    finally:
+        with_ranges(spark, None)
+    values = sorted({r.v for r in df.collect()}, reverse=True)
+    assert got == {r.id: values.index(r.v) + 1 for r in df.collect()}
 
 
 def test_reuse_does_not_extend_the_life(spark):

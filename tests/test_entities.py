@@ -199,3 +199,14 @@ def test_broken_file_falls_back(files):
 def test_long_function_does_not_overflow(files):
     source = "def f():\n" + "    x = (1,\n  2)\n" * 60_000
     assert found(files({"f.py": source}))["f.py"][1][2] == 120_001
+
+
+def test_deep_indentation_and_nesting(files):
+    """A body indented by 200 blanks, and brackets nested eleven deep over lines."""
+    deep = " " * 200
+    nested = "def f(a):\n    x = " + "".join(f"{'(' if i % 2 else '['}\n" for i in range(11)) + "a and a\n"
+    nested += "".join(f"{')' if i % 2 else ']'}\n" for i in reversed(range(11))) + "    return x\n"
+    df = files({"deep.py": f"class C:\n{deep}def m(self):\n{deep}    pass\n", "nested.py": nested})
+    found = {(r.path, r.name): r for r in entities.code_entities(df).collect()}
+    assert found["deep.py", "C"].methods == ["m"]
+    assert (found["nested.py", "f"].end_line, found["nested.py", "f"].complexity) == (nested.count("\n"), 1)

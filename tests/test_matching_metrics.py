@@ -9,16 +9,14 @@ from codeloom.operators import matching, metrics
 from codeloom.settings import Cohort
 
 
-def test_fanout_short_and_long_lists_agree(spark, monkeypatch):
+def test_fanout(spark):
     events = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "a")], "event_id long, type string")
     subs = [{"url": "u1", "event_types": ["a", "b", "a"]}, {"url": "u2", "event_types": ["a"]},
             {"url": "u3", "event_types": []}]
     expected = [(1, "u1"), (1, "u2"), (2, "u1"), (4, "u1"), (4, "u2")]
-    short = matching.event_fanout(events, subs)
-    assert sorted((r.event_id, r.url) for r in short.collect()) == expected
-    monkeypatch.setattr(matching, "MAX_LITERAL_ROWS", 0)
     assert sorted((r.event_id, r.url) for r in matching.event_fanout(events, subs).collect()) == expected
-    monkeypatch.undo()
+    many = [{"url": f"u{i}", "event_types": ["a"]} for i in range(2000)]
+    assert matching.event_fanout(events, many).count() == 4000
     assert matching.event_fanout(events, []).count() == 0
 
 
@@ -52,7 +50,7 @@ def test_config():
     assert given.languages == {".x": "X"} and given.ignore_patterns == ("*.min.js", "vendor/*")
 
 
-def test_keys(spark, monkeypatch):
+def test_keys(spark):
     df = spark.createDataFrame([("a/b", "p"), ("", "p"), ("a/b", ""), ("é", "x:y")], "path string, project string")
     rows = df.select(keys.result_key(F.col("path"), F.col("project")).alias("k")).withColumn(
         "p", keys.key_project(F.col("k"))).withColumn("v", keys.key_version(F.col("k"))).collect()
@@ -63,9 +61,9 @@ def test_keys(spark, monkeypatch):
     assert [r.p for r in rows] == ["p", "p", "", "x:y"] and {r.v for r in rows} == {2}
     left = matching.invalidate_projects(df.select(keys.result_key(F.col("path"), F.col("project")).alias("key")), ["p"])
     assert left.count() == 2
-    monkeypatch.setattr(matching, "MAX_LITERAL_ROWS", 0)
-    keyed = df.select(keys.result_key(F.col("path"), F.col("project")).alias("key"))
-    assert sorted(matching.invalidate_projects(keyed, ["p"]).collect()) == sorted(left.collect())
+    nulls = spark.createDataFrame([(None,)], "key string")
+    for dropped in (["p"], [f"x{i}" for i in range(2000)], []):
+        assert matching.invalidate_projects(nulls, dropped).count() == 1
     assert df.select(keys.key_version(F.col("path"))).first()[0] is None
 
 
@@ -107,22 +105,31 @@ def test_attempts(spark):
 
 
 def test_reviews(spark):
-    smells = spark.createDataFrame([("b.py", 3, "m", "s"), ("a.py", 9, "m", "s"), ("z.py", 1, "m", "s")],
-                                   "path string, line int, message string, suggestion string")
-    changed = spark.createDataFrame([(7, "a.py", "c1"), (7, "b.py", "c2"), (8, "b.py", "c3"), (8, "b.py", "c3")],
-                                    "pr long, path string, commit_id string")
+    smells = spark.createDataFrame(
+        [("p", "b.py", 3, "m", "s"), ("p", "a.py", 9, "m", "s"), ("p", "z.py", 1, "m", "s"), ("q", "a.py", 5, "m", "s")],
+        "project string, path string, line int, message string, suggestion string")
+    changed = spark.createDataFrame(
+        [(7, "p", "a.py", "c1"), (7, "p", "b.py", "c2"), (8, "p", "b.py", "c3"), (8, "p", "b.py", "c3")],
+        "pr long, project string, path string, commit_id string")
     comments = matching.review_comments(smells, changed)
-    assert sorted((r.pr, r.path, r.side) for r in comments.collect()) == [
-        (7, "a.py", "RIGHT"), (7, "b.py", "RIGHT"), (8, "b.py", "RIGHT")]
+    assert sorted((r.pr, r.path, r.line, r.side) for r in comments.collect()) == [
+        (7, "a.py", 9, "RIGHT"), (7, "b.py", 3, "RIGHT"), (8, "b.py", 3, "RIGHT")]
     heads = sorted((r.pr, r.commit_id, r.comments) for r in matching.review_headers(comments).collect())
     assert heads == [(7, "c1", 2), (8, "c3", 1)]
 
 
-def test_new_keys_bitset_never_passes_a_seen_key(spark):
+@pytest.mark.parametrize("expected", [1, 20, 10_000])
+def test_a_bit_set_of_any_size_gives_the_exact_keys(spark, expected):
     ts = F.timestamp_seconds(F.col("id"))
     asked = spark.range(500).select(F.col("id").cast("string").alias("key"), ts.alias("ts"))
     seen = spark.range(250).select(F.col("id").cast("string").alias("key"))
-    exact = {r.key for r in matching.new_keys(asked, seen).collect()}
-    loose = {r.key for r in matching.possibly_new_keys(asked, seen, hex_digits=3).collect()}
-    assert exact == {str(i) for i in range(250, 500)}
-    assert loose < exact and len(loose) > 200
+    exact = sorted(map(tuple, matching.new_keys(asked, seen).collect()))
+    assert {k for k, *_ in exact} == {str(i) for i in range(250, 500)}
+    assert sorted(map(tuple, matching.new_keys_by_bits(asked, seen, expected).collect())) == exact
+
+
+def test_results_expire(spark):
+    df = spark.createDataFrame([("a", 1.0, 0), ("b", 2.0, 100)], "key string, data double, at long").select(
+        "key", "data", F.timestamp_seconds("at").cast("timestamp_ntz").alias("stored_at"))
+    now = F.timestamp_seconds(F.lit(160)).cast("timestamp_ntz")
+    assert [r.key for r in metrics.live_results(df, now, 60).collect()] == ["b"]

@@ -86,3 +86,20 @@ def test_dependencies(spark):
     ], "project string, path string, content string")
     got = sorted((r.language, r.dependency) for r in file_ops.dependencies(df).collect())
     assert got == [("JavaScript", "express"), ("Python", "pytest>=7.0.0"), ("Python", "requests>=2.0.0")]
+
+
+def test_long_numbers_still_start_a_record(spark):
+    reply = "- Linha 123456789012345678901: big\n- Linha 7: small"
+    df = spark.createDataFrame([(1, reply)], "doc_id long, response string")
+    got = [(r.record, r.line, r.message) for r in replies.parse_suggestions(df).orderBy("record").collect()]
+    assert got == [(0, None, "big"), (1, 7, "small")]
+
+
+def test_projects_with_the_same_path_stay_apart(files, spark):
+    df = files({"m.py": "x = 1"}).unionByName(files({"m.py": "y = 2"}, project="q"))
+    asked = replies.prompts(df)
+    assert {(r.project, r.path) for r in asked.collect()} == {("p", "m.py"), ("q", "m.py")}
+    answers = asked.select("prompt_hash", F.concat(F.lit("- Linha 1: in "), "project").alias("response"))
+    attached = replies.attach_responses(asked, answers)
+    found = {(r.project, r.message) for r in replies.file_suggestions(attached).collect()}
+    assert found == {("p", "in p"), ("q", "in q")}

@@ -85,6 +85,9 @@ def sources():
         tail = [line.replace("a", "o") if random.random() < 0.3 else line for line in lines[:15]]
         made[f"f{k}.py"] = "\n".join(lines + tail)
     made["same_a.py"] = made["same_b.py"] = made["f0.py"]
+    call = "( a, b, c, d )"
+    made["split_call.py"] = "\n".join([f"f{call}"] + [""] * 5 + ["f(", "a,", "b,", "c,", "d", ")"])
+    made["blanks.py"] = "\n".join(["(a, b, c, d, e, f)"] + [""] * 5 + ["(a,", "b,", "c,", "d,", "e,", "f)"])
     made["comments.py"] = "# a\n" * 20
     made["exact.py"] = "\n".join(["abcde"] + ["#"] * 5 + ["abcdx"])
     made["below.py"] = "\n".join(["abcd"] + ["#"] * 5 + ["abcx"])
@@ -102,6 +105,7 @@ def test_duplicates_equal_brute_force(files, sources, tile):
     expected = {path: brute_force(text) for path, text in sources.items() if path != "broken.py"}
     assert got == {path: lines for path, lines in expected.items() if lines}
     assert 1 in got["exact.py"] and "below.py" not in got
+    assert 1 in got["split_call.py"] and 1 in got["blanks.py"]
 
 
 def test_project_documents(files):

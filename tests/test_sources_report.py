@@ -25,7 +25,7 @@ def tree(tmp_path):
 
 
 def test_scan(spark, tree):
-    got = {r.path: r for r in scan_tree(spark, tree, max_bytes=100).collect()}
+    got = {r.path: r for r in scan_tree(spark, tree, max_bytes=100, binaries=True).collect()}
     assert set(got) == {"one/src/main.py", "one/a b+c.js", "one/.env", "one/.git/HEAD", "one/pic.png", "one/pkg/__init__.py",
                         "two/bad.txt", "top.py"}
     main = got["one/src/main.py"]
@@ -36,13 +36,21 @@ def test_scan(spark, tree):
     assert scan_tree(spark, tree, glob="*.py").count() == 3
 
 
-def test_scan_of_a_store(spark, tree):
-    """The other reader, on the same folder: hidden names are missing there."""
-    from codeloom.sources import repo_files
+def test_scan_by_uri_is_the_same(spark, tree):
+    assert sorted(scan_tree(spark, "file://" + tree).collect()) == sorted(scan_tree(spark, tree).collect())
 
-    got = {r.path: r for r in repo_files._scan_store(spark, "file://" + tree, None, 100).collect()}
-    assert set(got) == {"one/src/main.py", "one/a b+c.js", "one/pic.png", "two/bad.txt", "top.py"}
-    assert got["two/bad.txt"].content == "ol\nx" and got["one/src/main.py"].project == "one"
+
+def test_scan_opens_no_binary(spark, tree):
+    import os
+
+    os.chmod(f"{tree}/one/pic.png", 0)
+    found = {r.path for r in scan_tree(spark, tree).collect()}
+    assert "one/pic.png" not in found and "one/.git/HEAD" not in found
+    assert {"one/pkg/__init__.py", "one/.env", "two/big.txt"} <= found
+
+
+def test_scan_of_nothing(spark, tmp_path):
+    assert scan_tree(spark, str(tmp_path)).count() == 0
 
 
 def test_eligible(spark, tree):
@@ -56,10 +64,11 @@ def test_eligible(spark, tree):
 def test_report_text(spark, files, tmp_path):
     df = files({"b.md": "# Projeto\n\nabc", "a.py": "class A:\n    def f(self):\n        return 1 or 2\n"})
     analyses = file_ops.analyse_files(df)
-    summaries = spark.createDataFrame([("b.md", "resumo")], "path string, summary string")
+    summaries = spark.createDataFrame([("p", "b.md", "resumo")], "project string, path string, summary string")
     suggestions = spark.createDataFrame(
-        [("a.py", 1, 2, "nome", "g", None), ("a.py", 0, 1, "doc", None, "clareza")],
-        "path string, place long, line long, message string, suggested_code string, explanation string")
+        [("p", "a.py", 1, 2, "nome", "g", None), ("p", "a.py", 0, 1, "doc", None, "clareza"),
+         ("q", "a.py", 0, 1, "elsewhere", None, None)],
+        "project string, path string, place long, line long, message string, suggested_code string, explanation string")
     lines = report.report_lines(analyses, summaries, suggestions)
     out = str(tmp_path / "report")
     sinks.write_report(lines, out)

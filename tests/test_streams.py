@@ -1,5 +1,7 @@
 """Each stream over several micro-batches and runs equals its batch twin."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,9 +51,33 @@ def test_compute_points(spark, parts, tmp_path):
     out = str(tmp_path)
     stream = derived.accesses_of(source(spark, parts))
     for _ in range(2):
-        streams.compute_points(stream, out, 7200).awaitTermination()
+        streams.compute_points(stream, out).awaitTermination()
+    batch = rows(access.compute_points(derived.accesses_of(parts[1]), 7200))
+    assert rows(streams.compute_points_snapshot(spark, out, 7200)) == batch
+    streams.compact(spark, out, streams.merge_accesses)
+    assert rows(streams.compute_points_snapshot(spark, out, 7200)) == batch
+
+
+def test_files_out_of_order_make_no_difference(spark, parts, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (F.col("event_id") >= 500, F.col("event_id") < 500):
+        parts[1].filter(part).coalesce(1).write.mode("append").parquet(folder)
+        stream = derived.accesses_of(streams.folder_stream(spark, folder, parts[1].schema))
+        streams.compute_points(stream, out).awaitTermination()
     batch = access.compute_points(derived.accesses_of(parts[1]), 7200)
-    assert rows(streams.compute_points_snapshot(spark, out)) == rows(batch)
+    assert rows(streams.compute_points_snapshot(spark, out, 7200)) == rows(batch)
+
+
+def test_equal_times_are_settled_by_the_event(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "key string, version int, project string, data double, ts timestamp_ntz, event_id long"
+    when = dt.datetime(2024, 1, 1)
+    for event in (9, 3):
+        spark.createDataFrame([("a", 2, "p", float(event), when, event)], schema).write.mode("append").parquet(folder)
+        stream = streams.folder_stream(spark, folder, spark.read.parquet(folder).schema)
+        streams.latest_results(stream, out).awaitTermination()
+        streams.compact(spark, out, streams.merge_latest)
+    assert [r.data for r in streams.latest_results_snapshot(spark, out).collect()] == [9.0]
 
 
 def test_minute_counts(spark, parts, tmp_path):
@@ -87,4 +113,7 @@ def test_latest_results(spark, parts, tmp_path):
 def test_popular_refresh(spark, parts, tmp_path):
     out = str(tmp_path)
     streams.access_counts(derived.accesses_of(source(spark, parts)), out).awaitTermination()
-    assert rows(streams.popular_snapshot(spark, out, 5)) == rows(access.popular_keys(derived.accesses_of(parts[1]), 5))
+    want = rows(access.popular_keys(derived.accesses_of(parts[1]), 5))
+    assert rows(streams.popular_snapshot(spark, out, 5)) == want
+    streams.compact(spark, out, streams.merge_counts)
+    assert rows(streams.popular_snapshot(spark, out, 5)) == want
