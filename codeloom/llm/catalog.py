@@ -94,7 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_quality": quality.SQL,
     "op6_decontamination": decontam.SQL,
     "op8_chat": chat.SQL,
     "op9_lines": lines.SQL,
+    "op10_near_duplicates": neardup.SQL,
 }

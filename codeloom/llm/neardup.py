@@ -234,3 +234,28 @@ def _links(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     crossing = cut_lineage(crossing_pairs(members, classes, labels, plan).distinct(), "crossing")
     second = similar_pairs(crossing, docs, plan)
     return labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(second)
+
+
+SQL = r"""
+WITH RECURSIVE cut AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM cut WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = s.a JOIN sizes y ON y.doc_id = s.b
+  WHERE 100 * s.n >= 75 * (x.n + y.n - s.n)),
+reached AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION
+  SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.r)
+SELECT r.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, r.doc_id = min(r) AS kept
+FROM reached r LEFT JOIN sizes USING (doc_id) GROUP BY r.doc_id
+"""

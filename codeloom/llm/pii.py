@@ -142,10 +142,16 @@ _BARE_DOT = r"\x20(?:dot|punkt|punto|point)\x20"
 _BARE_AT = rf"(?<=[a-z0-9])\x20(?:at|arroba|arobase)\x20(?={_LABEL}(?:{_BARE_DOT}|{_DOT}){_LABEL})"
 _DIGIT_WORD = "|".join(sorted(SPELLED, key=len, reverse=True))
 _DIGITS = rf"\b(?:{_DIGIT_WORD})(?:[\x20-]{{1,2}}(?:{_DIGIT_WORD}|[0-9]{{1,4}})){{2,40}}\b"
+# A local part that ends in a digit is no word of prose, so a plain domain is enough behind it.
+_AT_DOMAIN = rf"(?<=[0-9])\x20(?:at|arroba|arobase)\x20(?={_LABEL}(?:\.{_LABEL})+)"
+_AT_AFTER_DIGIT = re.compile(r"[0-9]\x20(?:at|arroba|arobase)\x20")
 _BRACKETED = re.compile(r"[\[({<]\x20?(?:at|@|ät|arroba|arobase|dot|punkt|punto|point|\.)\x20?[\])}>]")
 _DOT_WORDS = (" dot ", " punkt ", " punto ", " point ")
-_RULES = re.compile(rf"(?P<at>{_AT}|{_BARE_AT})|(?P<dot>{_DOT}|(?<=[a-z0-9]){_BARE_DOT}(?={_LABEL}))|(?P<digits>{_DIGITS})",
+_RULES = re.compile(rf"(?P<at>{_AT}|{_BARE_AT}|{_AT_DOMAIN})|(?P<dot>{_DOT}|(?<=[a-z0-9]){_BARE_DOT}(?={_LABEL}))|(?P<digits>{_DIGITS})",
                     re.I)
+# Letters between digits, at most one separator away, that are written for digits.
+_LETTER_DIGITS = re.compile(r"[0-9][\x20.-]?([OoIl]+)(?=[\x20.-]?[0-9])")
+_DIGIT_LETTERS = str.maketrans("OoIl", "0011")
 _WORD_OR_NUMBER = re.compile(r"[^\x20-]+")
 
 
@@ -191,13 +197,14 @@ def _rebuild(text: str, edits: list[tuple[int, int, str]]) -> Rewritten:
 
 
 def rewrite_characters(text: str) -> Rewritten:
-    """Look-alikes, digits of other scripts, wide forms, characters without width."""
-    edits = []
+    """Look-alikes, letters for digits, digits of other scripts, wide forms, characters without width."""
+    edits = [(*m.span(1), m[1].translate(_DIGIT_LETTERS)) for m in _LETTER_DIGITS.finditer(text)]
     if not text.isascii():
         for m in _ODD.finditer(text):
             new = _passes_for(m[0])
             if new is not None:
                 edits.append((m.start(), m.end(), new))
+        edits.sort()
     return _rebuild(text, edits)
 
 
@@ -205,6 +212,7 @@ def may_hide(text: str) -> bool:
     """Whether any rule for words can apply; far cheaper than trying them all."""
     low = text.lower()
     return (any(w in low for w in _DOT_WORDS) or _BRACKETED.search(low) is not None
+            or _AT_AFTER_DIGIT.search(low) is not None
             or not SPELLED.keys().isdisjoint(low.replace("-", " ").split()))
 
 

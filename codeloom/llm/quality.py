@@ -171,3 +171,33 @@ def quality(docs: DataFrame, rules: list[Rule] | None = None, sample_rows: int =
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(row_wise(judge), SCHEMA)
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+windows AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+often AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM windows),
+inside AS (SELECT doc_id, count(*) AS n_repeat_words
+           FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS p FROM often WHERE n > 1) GROUP BY doc_id),
+most AS (SELECT doc_id, max(n) AS top FROM (
+           SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x FROM d) GROUP BY doc_id, x)
+         GROUP BY doc_id),
+counted AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(ls) AS n_lines, coalesce(top, 0) AS top, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS upper_letters,
+         length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS letters
+  FROM d LEFT JOIN inside USING (doc_id) LEFT JOIN most USING (doc_id)),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed
+         AND NOT n_symbols > 0.3::DOUBLE * n_words AND NOT upper_letters > 0.6::DOUBLE * letters
+         AND NOT n_dup_lines > 0.5::DOUBLE * n_lines AND NOT top > 0.4::DOUBLE * n_words
+         AND word_chars / n_words BETWEEN 2 AND 20 AS kept
+FROM based
+"""

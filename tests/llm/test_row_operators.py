@@ -134,6 +134,8 @@ def test_pii_random_strings_equal_the_patterns():
     ("host 97 dot 51 dot 17 dot 173 up", "ip", "97 dot 51 dot 17 dot 173"),
     ("pay four one one one-one one one one one one one one one one one one", "card",
      "four one one one-one one one one one one one one one one one one"),
+    ("mail und.34 at mail7.example.com today", "email", "und.34 at mail7.example.com"),
+    ("dial +1 (5O5) 555-l234 now", "phone", "+1 (5O5) 555-l234"),
     ("z​ero a​b@c​.de", "email", "a​b@c​.de"),
 ])
 def test_pii_disguises_map_back(text, kind, found):
