@@ -16,7 +16,7 @@ long files cannot overflow its stack.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +84,11 @@ def parses(content: Column) -> Column:
     return accepted(content)
 
 
+def parsed(files: DataFrame) -> Column:
+    """The answer of `parses` for each file, taken from the table if it is there."""
+    return F.col("parsed") if "parsed" in files.columns else parses(F.col("content"))
+
+
 def masked(content: Column) -> Column:
     quiet = _rebuild(
         content,

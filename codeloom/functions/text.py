@@ -134,24 +134,31 @@ def chunks_of(content: Column, chunk_size: int) -> Column:
     """Pack lines greedily into chunks of at most `chunk_size` characters.
 
     Newlines are not counted. A first line that is too long closes an empty
-    chunk before its own one, as in the behaviour we reproduce.
+    chunk before its own one, as in the behaviour we reproduce. Only the places
+    of the cuts are carried from line to line, and the lines are joined once.
     """
-    start = F.struct(
-        F.array().cast("array<string>").alias("done"),
-        F.lit(None).cast("string").alias("open"),
-        F.lit(0).alias("size"),
-    )
-
-    def add(state: Column, line: Column) -> Column:
-        full = state["size"] + F.length(line) > chunk_size
-        return F.struct(
-            F.when(full, F.array_append(state["done"], F.coalesce(state["open"], F.lit(""))))
-            .otherwise(state["done"]).alias("done"),
-            F.when(full | state["open"].isNull(), line)
-            .otherwise(F.concat(state["open"], F.lit("\n"), line)).alias("open"),
-            F.when(full, F.length(line)).otherwise(state["size"] + F.length(line)).alias("size"),
+    def packed(lines: Column) -> Column:
+        sized = F.transform(lines, lambda line, i: F.struct(F.length(line).alias("n"), i.alias("i")))
+        start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("size"))
+
+        def add(state: Column, line: Column) -> Column:
+            full = state["size"] + line["n"] > chunk_size
+            return F.struct(
+                F.when(full, F.array_append(state["cuts"], line["i"])).otherwise(state["cuts"]).alias("cuts"),
+                F.when(full, line["n"]).otherwise(state["size"] + line["n"]).alias("size"),
+            )
+
+        bounds = F.aggregate(
+            sized, start, add, lambda s: F.concat(F.array(F.lit(0)), s["cuts"], F.array(F.size(lines)))
         )
 
-    return F.aggregate(
-        lines_of(content), start, add, lambda s: F.array_append(s["done"], s["open"])
-    )
+        def joined(b: Column) -> Column:
+            return F.transform(
+                F.sequence(F.lit(0), F.size(b) - 2),
+                lambda k: F.array_join(F.slice(lines, F.get(b, k) + 1, F.get(b, k + 1) - F.get(b, k)), "\n"),
+            )
+
+        return F.get(F.transform(F.array(bounds), joined), F.lit(0))
+
+    # Bound to a variable, so that the text is split once and not for every chunk.
+    return F.get(F.transform(F.array(lines_of(content)), packed), F.lit(0))

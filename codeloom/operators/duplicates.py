@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.functions import text
-from codeloom.functions.python_source import parses
+from codeloom.functions.python_source import parsed
 from codeloom.operators.smells import SMELL_COLUMNS, smell_struct
 from codeloom.settings import Thresholds
 
@@ -38,8 +38,7 @@ FREQUENT = "aeinorst_"
 RARE = "bcdfghjklmpquvwxyz0123456789=().,:\"'[]"
 WIDTHS = {**dict.fromkeys(FREQUENT, 32), **dict.fromkeys(RARE, 16)}
 LONGS = -(-sum(WIDTHS.values()) // 64)
-TILE = 1024
-MAX_TILES = 32
+TILE = 8192
 
 
 def block_counts(lines: str, n: int) -> Column:
@@ -128,19 +127,19 @@ def duplicate_lines(files: DataFrame, limits: Thresholds = Thresholds(), tile: i
     # `coalesce` marks the key as never null, which spares a second
     # evaluation of the content in a derived not-null filter.
     body = F.coalesce(F.sha2("content", 256), F.lit("")).alias("body")
-    keyed = files.filter(F.col("ext") == ".py").select("project", "path", body, "content")
+    python = files.filter(F.col("ext") == ".py")
+    keyed = python.select("project", "path", body, "content", *(["parsed"] if "parsed" in files.columns else []))
     # The key differs from that of the step before, or the planner would leave
     # the exchange out.
-    bodies = keyed.select("body", "content").dropDuplicates(["body"]).repartition(parts, F.xxhash64("body"))
-    blocks = block_table(bodies.filter(parses(F.col("content"))), n)
+    bodies = keyed.drop("project", "path").dropDuplicates(["body"]).repartition(parts, F.xxhash64("body"))
+    blocks = block_table(bodies.filter(parsed(bodies)), n)
 
     # A block takes part in every pair of tiles its own tile belongs to. Both
     # sides of the join are the same exchange, built once and read twice.
-    # Tiles grow with the file, so a block is copied MAX_TILES times at most.
-    height = F.greatest(F.lit(tile), F.ceil((F.col("last") + 1) / MAX_TILES))
+    # A group holds two tiles at most, whatever the length of the file.
     placed = (
-        blocks.withColumn("tile", F.floor(F.col("i") / height))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / height))))
+        blocks.withColumn("tile", F.floor(F.col("i") / tile))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / tile))))
         .withColumn("first", F.least("tile", "other"))
         .withColumn("second", F.greatest("tile", "other"))
         .drop("other", "last")

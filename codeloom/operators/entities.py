@@ -34,7 +34,7 @@ def entity_blocks(files: DataFrame) -> DataFrame:
     """
     content = F.col("content")
     masked = files.filter(F.col("ext") == ".py").select(
-        "project", "path", py.parses(content).alias("parsed"), py.masked(content).alias("mask")
+        "project", "path", py.parsed(files).alias("parsed"), py.masked(content).alias("mask")
     )
     heads, blocks = py.head_lines(F.col("mask")), py.blocks(F.col("mask"))
     paired = F.arrays_zip(heads.alias("line"), blocks.alias("block"))
@@ -85,6 +85,6 @@ def class_members(entities: DataFrame) -> DataFrame:
 def python_complexity(files: DataFrame) -> DataFrame:
     """Per-file complexity of the Python files, by keywords where Python rejects one."""
     content = F.col("content")
-    judged = files.filter(F.col("ext") == ".py").withColumn("parsed", py.parses(content))
+    judged = files.filter(F.col("ext") == ".py").withColumn("parsed", py.parsed(files))
     complexity = F.when(F.col("parsed"), py.file_complexity(py.masked(content)))
     return judged.select("project", "path", F.coalesce(complexity, text.keyword_complexity(content)).alias("complexity"))

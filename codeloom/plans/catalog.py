@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom import settings
 from codeloom.functions import keys, paths, text
+from codeloom.functions.python_source import parses
 from codeloom.operators import access, duplicates, entities, matching, metrics, replies, smells
 from codeloom.operators import files as file_ops
 from codeloom.plans import report
@@ -160,29 +161,29 @@ def duplicate_blocks(spark, folder):
 
 
 def _all_smells(files):
-    """Entities and smells, each written once, as several results read them."""
-    found = cut_lineage(entities.code_entities(files), "entities")
-    every = smells.all_smells(smells.entity_smells(found), duplicates.duplicate_smells(files))
-    return found, cut_lineage(every, "smells")
+    """Staged Python files, and their entities and smells; each is written once, as several results read it."""
+    staged = cut_lineage(files.filter(F.col("ext") == ".py").withColumn("parsed", parses(F.col("content"))), "python")
+    found = cut_lineage(entities.code_entities(staged), "entities")
+    every = smells.all_smells(smells.entity_smells(found), duplicates.duplicate_smells(staged))
+    return staged, found, cut_lineage(every, "smells")
 
 
 @query
 def smells_found(spark, folder):
-    files = derived.python_files(spark, folder)
-    return smells.all_smells(entity_smells(spark, folder), duplicates.duplicate_smells(files))
+    return _all_smells(derived.python_files(spark, folder))[2]
 
 
 @query
 def smell_density(spark, folder):
-    files = derived.python_files(spark, folder)
-    found, every = _all_smells(files)
-    return smells.project_metrics(files, found, every)
+    every = derived.python_files(spark, folder).unionByName(derived.text_files(spark, folder).filter(
+        F.col("ext") != ".py"))
+    files, found, hits = _all_smells(every)
+    return smells.project_metrics(files, found, hits)
 
 
 @query
 def project_json(spark, folder):
-    files = derived.python_files(spark, folder)
-    found, every = _all_smells(files)
+    files, found, every = _all_smells(derived.python_files(spark, folder))
     return report.project_documents(smells.project_metrics(files, found, every), every)
 
 

@@ -9,6 +9,10 @@ from codeloom.functions import paths, text
 from codeloom.operators import files as file_ops
 
 
+# The headings and labels in the functions below are the words of
+# the report and must stay as they are.
+
+
 def _text(label: str, value: Column) -> Column:
     return F.concat(F.lit(label), value.cast("string"))
 

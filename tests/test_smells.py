@@ -126,3 +126,19 @@ def test_no_code_lines_gives_zero_density(files):
     df = files({"a.py": "# only\n"})
     found = entities.code_entities(df)
     assert smells.project_metrics(df, found, smells.entity_smells(found)).first().density == 0.0
+
+
+def test_density_counts_python_only(files):
+    df = files({"a.py": "class C:\n    x = 1\n", "b.md": "# t\n\nabc\nabc\n"})
+    found = entities.code_entities(df)
+    row = smells.project_metrics(df, found, smells.entity_smells(found)).first()
+    assert (row.code_lines, row.severity, row.density) == (2, 1, 0.5)
+
+
+def test_staged_answers_give_the_same(files, sources):
+    from codeloom.functions.python_source import parses
+    from pyspark.sql import functions as F
+
+    df = files(sources)
+    staged = df.withColumn("parsed", parses(F.col("content")))
+    assert sorted(duplicates.duplicate_lines(staged).collect()) == sorted(duplicates.duplicate_lines(df).collect())
