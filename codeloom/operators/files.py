@@ -46,11 +46,11 @@ def language_counts(files: DataFrame, languages=None) -> DataFrame:
     return files.groupBy("project", lang.alias("language")).agg(F.count("*").alias("files"))
 
 
-def line_metrics(files: DataFrame) -> DataFrame:
-    """Total, blank and code lines, longest and mean line of every file."""
+def line_metrics(files: DataFrame, *more: str) -> DataFrame:
+    """Total, blank and code lines, longest and mean line of every file; `more` columns are kept."""
     content = F.col("content")
     counted = files.select(
-        "project", "path", "ext", "size", "content",
+        "project", "path", "ext", "size", "content", *more,
         (text.newline_count(content) + 1).alias("total_lines"),
         text.blank_line_count(content).alias("blank_lines"),
         text.max_line_length(content).alias("max_line_length"),
@@ -71,8 +71,12 @@ def analyse_files(files: DataFrame, languages=None) -> DataFrame:
     is_python = F.col("parsed")
     is_text = paths.is_text_language(F.col("language"))
     none = F.array().cast("array<string>")
-    staged = line_metrics(files).withColumn("language", lang)
-    staged = staged.withColumn("parsed", py.parses(F.when(F.col("language") == "Python", content)))
+    named = files.withColumn("language", lang)
+    # Only Python goes through Python.
+    python = F.coalesce(F.col("language") == "Python", F.lit(False))
+    judged = named.filter(python).withColumn("parsed", py.parsed(files)).unionByName(
+        named.filter(~python).withColumn("parsed", F.lit(False)))
+    staged = line_metrics(judged, "language", "parsed")
     staged = staged.withColumn("mask", F.when(is_python, py.masked(content)))
     mask = F.col("mask")
 

@@ -193,7 +193,7 @@ def report_lines(spark, folder):
         derived.python_files(spark, folder).unionByName(derived.text_files(spark, folder))
     )
     analyses = cut_lineage(file_ops.analyse_files(files), "analyses")
-    return report.report_lines(analyses).orderBy("project", "section", "path", "seq")
+    return report.report_lines(analyses)
 
 
 @query
@@ -206,8 +206,7 @@ def report_with_replies(spark, folder):
     attached = cut_lineage(replies.attach_responses(asked, answers), "responses")
     summaries = attached.filter(F.col("kind") == "summary").select(
         "project", "path", F.col("response").alias("summary"))
-    lines = report.report_lines(analyses, summaries, replies.file_suggestions(attached))
-    return lines.orderBy("project", "section", "path", "seq")
+    return report.report_lines(analyses, summaries, replies.file_suggestions(attached))
 
 
 # ---- prompts, replies, lint ----

@@ -108,7 +108,6 @@ MAX_RETRIES = 3
 RUNS_PER_MINUTE = 100
 DURATION_BUCKETS = [30, 60, 120, 180, 240, 300]
 EVICT_FRACTION_DIVISOR = 10
-CACHE_BUDGET_BYTES = 20 * 1024 * 1024
 CONFIDENCE = 0.8
 CHUNK_SIZE = 1000
 
@@ -187,6 +186,7 @@ DOMAIN_EVENT_TYPES = [
 ]
 
 
+# ---- fixed values: names and defaults of the thresholds ----
 @dataclass(frozen=True)
 class Thresholds:
     """Limits of the smell rules; every comparison with them is strict."""

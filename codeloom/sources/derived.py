@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom import settings
 from codeloom.functions import paths
 from codeloom.sources.tables import spread, table
 
@@ -309,9 +310,7 @@ def domain_events_of(events: DataFrame) -> DataFrame:
 
 
 SUBSCRIPTIONS = [
-    {"url": "https://hooks.example/all", "event_types": [
-        "workspace.created", "workspace.deleted", "changes.applied", "changes.failed",
-        "analysis.started", "analysis.completed", "analysis.failed"]},
+    {"url": "https://hooks.example/all", "event_types": settings.DOMAIN_EVENT_TYPES},
     {"url": "https://hooks.example/done", "event_types": ["analysis.completed", "analysis.failed"]},
     {"url": "https://hooks.example/none", "event_types": []},
 ]
