@@ -110,7 +110,7 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int =
     held = cut_lineage(contaminated(docs, items, width, percent).select(F.col("doc_id").alias("_held")).distinct(),
                        "contaminated")
     side = F.broadcast(held) if small_enough(held) else held
-    return docs.join(side, F.col("doc_id").cast("long") == F.col("_held"), "left_anti")
+    return docs.join(side, docs["doc_id"].cast("long") == side["_held"], "left_anti")
 
 
 SQL = r"""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from codeloom.llm.text import row_wise
+from codeloom.llm.text import packed_row, row_wise
 
 UNDETERMINED = "und"
 SIZES = (1, 2, 3)
@@ -158,15 +158,19 @@ def identify(rows: DataFrame, profiles: Profiles) -> DataFrame:
             [batch.column("row"), pa.array([f[0] for f in found], pa.string()),
              pa.array([f[1] for f in found], pa.float64())], names=["row", "lang_pred", "score"])
 
-    packed = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"),
-                         F.col("text").cast("string").alias("text"))
+    packed = rows.select(packed_row(rows), F.col("text").cast("string").alias("text"))
     schema = StructType([packed.schema["row"], StructField("lang_pred", StringType()),
                          StructField("score", DoubleType())])
     return packed.mapInArrow(row_wise(predict), schema)
 
 
 def speaking(docs: DataFrame, profiles: Profiles, least_score: float = 0.1) -> DataFrame:
-    """`docs` without the rows that have no language: `und`, or nothing like any profile."""
+    """`docs` without the rows that have no language: `und`, or nothing like any profile.
+
+    Where no language was learned, all rows with a letter stay.
+    """
     found = identify(docs, profiles)
     kept = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least_score))
+    if not profiles.languages:
+        kept = found.where(F.col("row.text").rlike(r"\p{L}"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

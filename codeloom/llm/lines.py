@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.sizes import small_enough
+from codeloom.llm.text import packed_row
 from codeloom.session import cut_lineage
 
 BLANKS = " \t\r\x0b\x0c"
@@ -38,7 +39,7 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, host: str = "source", ratio: float = 0.05, least_pages: int = 5) -> DataFrame:
-    """`docs` with boilerplate lines taken out of `text`, plus `n_lines` and `n_dropped`.
+    """`docs` with boilerplate lines taken out of `text`, plus `n_lines` and `n_dropped` in the last places.
 
     Lines end at line feeds and are compared without blanks at their ends; blank
     lines are never dropped and what stays keeps its order and its blanks. A
@@ -51,26 +52,24 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = 0.05, least
     are few enough in all; otherwise they are joined, with salt for hosts that
     hold many rows.
     """
-    pages = docs.select(F.col(host).alias("host"), F.col("text"))
-    found = cut_lineage(boilerplate(pages, ratio, least_pages), "boilerplate")
-    lists = found.groupBy("host").agg(F.collect_list("line").alias("_drop"))
-    keyed = docs.withColumn("_host", F.col(host))
+    pages = docs.select(packed_row(docs), F.col(f"`{host}`").alias("host"), F.col("text"))
+    found = cut_lineage(boilerplate(pages.select("host", "text"), ratio, least_pages), "boilerplate")
+    lists = found.groupBy("host").agg(F.collect_list("line").alias("drops"))
     if small_enough(found, BROADCAST_LINES):
-        joined = keyed.join(F.broadcast(lists.withColumnRenamed("host", "_host")), "_host", "left")
+        joined = pages.join(F.broadcast(lists), "host", "left")
     else:
-        salted = lists.select(F.col("host").alias("_host"), "_drop",
-                              F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(
-            salted, ["_host", "_salt"], "left")
+        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = pages.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(
+            salted, ["host", "salt"], "left")
     lines = F.split("text", "\n")
-    kept = F.when(F.col("_drop").isNull(), lines).otherwise(
-        F.filter(lines, lambda x: ~F.array_contains(F.col("_drop"), digest(x))))
-    return (joined.withColumn("_kept", kept)
-            .withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"),
-                          "n_dropped": F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long"),
-                          "text": F.concat_ws("\n", F.col("_kept"))})
-            .withColumn("text", F.when(F.col("_kept").isNotNull(), F.col("text")))
-            .select(*docs.columns, "n_lines", "n_dropped"))
+    stay = F.when(F.col("drops").isNull(), lines).otherwise(
+        F.filter(lines, lambda x: ~F.array_contains(F.col("drops"), digest(x))))
+    counted = joined.select("row", F.size(lines).alias("before"), stay.alias("stay"))
+    text = F.when(F.col("stay").isNotNull(), F.array_join("stay", "\n"))
+    new = {"n_lines": F.coalesce("before", F.lit(0)).cast("long"),
+           "n_dropped": F.coalesce(F.col("before") - F.size("stay"), F.lit(0)).cast("long")}
+    old = [(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in new]
+    return counted.select(*old, *[value.alias(name) for name, value in new.items()])
 
 
 SQL = r"""

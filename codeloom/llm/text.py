@@ -26,6 +26,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def packed_row(df: DataFrame) -> Column:
+    """The whole row as one struct `row`, so that no column of it can clash with another."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
 def residue(modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -46,12 +51,14 @@ def in_pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Rec
 
 
 def row_wise(function: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text",
-             limit: int = 8 << 20) -> Callable:
-    """A `mapInArrow` function that works on pieces of bounded size."""
+             limit: int = 8 << 20, done: Callable[[], None] | None = None) -> Callable:
+    """A `mapInArrow` function that works on pieces of bounded size; `done` runs at the end of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in in_pieces(batch, column, limit):
                 yield function(piece)
+        if done is not None:
+            done()
     return run
 
 

@@ -18,18 +18,18 @@ from pyspark.sql import functions as F
 from codeloom.llm import bpe, decontam, language, lines, neardup
 from codeloom.llm.catalog import language_profiles, vocabulary_path
 from codeloom.llm.sizes import small_enough
-from codeloom.llm.text import documents, residue
+from codeloom.llm.text import documents, packed_row
 from codeloom.session import cut_lineage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Drop documents in which no language is found."""
-    return language.speaking(docs, language_profiles(docs, residue(3) != 1))
+    return language.speaking(docs, language_profiles(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Take each source's boilerplate lines out of its documents; no document goes."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), "source", "text")
+    packed = docs.select(packed_row(docs), "source", "text")
     cut = lines.line_dedup(packed)
 
     def column(name: str) -> Column:
@@ -49,7 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     found = neardup.near_duplicates(docs)
     extra = cut_lineage(found.where(~F.col("kept")).select(F.col("doc_id").alias("_extra")).distinct(), "extra")
     side = F.broadcast(extra) if small_enough(extra) else extra
-    return docs.join(side, F.col("doc_id").cast("long") == F.col("_extra"), "left_anti")
+    return docs.join(side, docs["doc_id"].cast("long") == side["_extra"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -178,9 +178,10 @@ def test_line_edges(spark):
     rows = [(i, "s", f"menu\n own {i} \n menu \n\nfoot") for i in range(10)]
     rows += [(20, "s", None), (21, "s", ""), (22, None, "menu\nx"), (23, "t", "menu"), (23, "t", "menu")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns(
-        {"host": F.lit("h"), "total": F.lit(1)})
+        {"host": F.lit("h"), "total": F.lit(1), "_host": F.lit("x"), "drops": F.lit(2), "n_lines": F.lit("old")})
     found = lines.line_dedup(docs)
-    assert found.columns == [*docs.columns, "n_lines", "n_dropped"]
+    assert found.columns == [*[c for c in docs.columns if c != "n_lines"], "n_lines", "n_dropped"]
+    assert {(r.host, r._host, r.drops) for r in found.collect()} == {("h", "x", 2)}
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in found.collect()}
     assert got[3] == (" own 3 \n", 5, 3) and got[20] == (None, 0, 0) and got[21] == ("", 1, 0)
     assert got[22] == ("menu\nx", 2, 0) and got[23] == ("menu", 1, 0) and found.count() == len(rows)
@@ -355,7 +356,7 @@ def test_pipeline_codes_equal_the_library(spark, steps):
 
 
 def test_pipeline_edges(spark, tmp_path):
-    schema = docs_of(spark).schema.add("_host", "string").add("words", "integer")
+    schema = docs_of(spark).schema.add("_extra", "string").add("_held", "integer")
     rows = [(1, None, "en", "s", None, "x", 1), (2, "", "en", "s", 0, "x", 1), (None, "hello there you", "en", "s", 15, "x", 1),
             (4, "hello there you", "en", None, 15, "x", 1), (5, "hello there you", "en", "s", 15, "x", 1),
             (5, "hello there you", "en", "s", 15, "x", 1)]
