@@ -30,7 +30,8 @@ from codeloom.llm.text import row_wise
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NO_PAIR = 1 << 62
-REMEMBERED_WORDS = 1 << 19  # words whose ids a Python worker remembers; the others are encoded anew
+REMEMBERED_WORDS = 1 << 18  # words whose ids a task remembers, some 100 MB; the others are encoded anew
+BATCH_BYTES = 2 << 20  # of text cut and encoded at once
 SIDE_BY_SIDE = 64  # longest word, in bytes, that is merged and remembered together with others
 
 # Unicode white space, which differs from what str.split() takes for blank.
@@ -194,6 +195,9 @@ class Remembered:
                 self.put(chunk, value)
         return value
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def put(self, chunk: str, value: tuple[str, str]) -> None:
         if len(chunk) > SIDE_BY_SIDE:
             return
@@ -364,6 +368,11 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def forget(name: str) -> None:
+    """Free what a task has remembered: its worker goes on with other work."""
+    loaded(SparkFiles.get(name)).known.clear()
+
+
 def shipped(spark, path: str) -> str:
     """Send a vocabulary file to the executors; the name it has there."""
     spark.sparkContext.addFile(path)
@@ -388,7 +397,7 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
              pa.array([[int(i) for i in f[1].split()] for f in found], pa.list_(pa.int32())),
              pa.array([f[2] for f in found], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
-    return _narrow(docs).mapInArrow(row_wise(encode, limit=4 << 20),
+    return _narrow(docs).mapInArrow(row_wise(encode, limit=BATCH_BYTES, done=lambda: forget(name)),
                                     "doc_id long, n_tokens long, ids array<int>, decoded string")
 
 
@@ -407,7 +416,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*found), kinds))],
             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return _narrow(docs).mapInArrow(row_wise(encode), SCHEMA)
+    return _narrow(docs).mapInArrow(row_wise(encode, limit=BATCH_BYTES, done=lambda: forget(name)), SCHEMA)
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
