@@ -30,7 +30,7 @@ from codeloom.llm.text import row_wise
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NO_PAIR = 1 << 62
-REMEMBERED_WORDS = 1 << 18  # words whose ids a task remembers, some 100 MB; the others are encoded anew
+REMEMBERED_WORDS = 1 << 17  # words whose ids a task remembers, some 50 MB; the others are encoded anew
 BATCH_BYTES = 2 << 20  # of text cut and encoded at once
 SIDE_BY_SIDE = 64  # longest word, in bytes, that is merged and remembered together with others
 

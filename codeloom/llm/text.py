@@ -6,6 +6,7 @@ where a contract folds case, A-Z only are folded.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,13 +53,21 @@ def in_pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Rec
 
 def row_wise(function: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text",
              limit: int = 8 << 20, done: Callable[[], None] | None = None) -> Callable:
-    """A `mapInArrow` function that works on pieces of bounded size; `done` runs at the end of a task."""
+    """A `mapInArrow` function that works on pieces of bounded size; `done` runs at the end of a task.
+
+    Python workers outlive their tasks and share the executor's memory, so what
+    Arrow has set aside goes back after every batch, and all else with the task.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in in_pieces(batch, column, limit):
                 yield function(piece)
+            batch = piece = None
+            pa.default_memory_pool().release_unused()
         if done is not None:
             done()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     return run
 
 
