@@ -269,6 +269,21 @@ def test_model_is_normalised():
     assert chances.sum() == pytest.approx(1, abs=1e-5)
 
 
+@pytest.mark.parametrize("scale", [1, 60])
+def test_factored_scores_equal_plain_ones(scale):
+    settings = lm.Settings(words=30)
+    draw = np.random.default_rng(1)
+    model = lm.Model(scale * draw.normal(0, 0.3, (settings.places, settings.outputs, settings.size)).astype(np.float32),
+                     draw.normal(0, 0.3, (settings.outputs, settings.size)).astype(np.float32),
+                     draw.normal(0, 1, settings.outputs).astype(np.float32))
+    targets = draw.integers(0, settings.outputs, 3000)
+    contexts = draw.integers(0, settings.outputs, (3000, settings.places))
+    scores = model.predicted(contexts).astype(np.float64) @ model.vectors.T.astype(np.float64) + model.bias
+    high = scores.max(axis=1)
+    plain = scores[np.arange(3000), targets] - high - np.log(np.exp(scores - high[:, None]).sum(axis=1))
+    assert np.allclose(model.log10(targets, contexts), plain / np.log(10), rtol=1e-4, atol=1e-3)
+
+
 def test_training_learns_a_pattern():
     settings = lm.Settings(words=4, batch=64)
     shares = np.full(settings.outputs, 1.0)
