@@ -51,10 +51,6 @@ class Plan:
     slack: float = 4.5
     seed: int = 20250
 
-    @property
-    def banded(self) -> int:
-        return self.bands * self.rows
-
     @property
     def least_agreement(self) -> int:
         p = self.percent / 100
@@ -159,7 +155,8 @@ def _block_pairs(plan: Plan):
         labels = table.column("label").to_numpy()
         tiles = table.column("tile").to_numpy()
         low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        band = table.column("band")[0].as_py()
+        key = table.column("key")[0].as_py()
+        bands = table.column("bands").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
         marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
         rights = np.flatnonzero(tiles == high)
         found_a, found_b = [], []
@@ -167,12 +164,10 @@ def _block_pairs(plan: Plan):
             other = rights[labels[rights] != labels[left]]
             if low == high:
                 other = other[ids[other] > ids[left]]
-            same = marks[other] == marks[left]
-            near = same.sum(axis=1) >= plan.least_agreement
-            other, same = other[near], same[near]
-            # The first band in which a pair agrees is the one bucket that emits it.
-            shared = same[:, :plan.banded].reshape(len(other), plan.bands, plan.rows).all(axis=2)
-            other = other[shared.argmax(axis=1) == band]
+            other = other[(marks[other] == marks[left]).sum(axis=1) >= plan.least_agreement]
+            # The first bucket a pair shares emits it; signatures hold too little of a minimum to tell which that is.
+            first = (bands[other] == bands[left]).argmax(axis=1)
+            other = other[bands[left][first] == key]
             found_a += [int(ids[left])] * len(other)
             found_b += ids[other].tolist()
         return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
@@ -185,14 +180,14 @@ def crossing_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, pl
     A bucket of n members is compared in blocks of about `BLOCK` by `BLOCK`.
     """
     named = (members.join(labels, F.col("id") == F.col("node"), "left")
-             .select("key", "band", "id", F.coalesce("component", "id").alias("label")))
+             .select("key", "id", F.coalesce("component", "id").alias("label")))
     open_keys = named.groupBy("key").agg(
         F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where(
         F.col("least") != F.col("most")).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("tiles"))
     left = named.join(open_keys, "key").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    blocks = (left.join(classes.select("id", "signature"), "id")
+    blocks = (left.join(classes.select("id", "bands", "signature"), "id")
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-              .select("key", "band", "id", "label", "signature", "tile",
+              .select("key", "id", "label", "bands", "signature", "tile",
                       F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high")))
     return blocks.groupBy("key", "low", "high").applyInArrow(_block_pairs(plan), "a long, b long")
 
@@ -224,10 +219,10 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 def _links(docs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
     """Links between classes, those of the first step contracted to their components."""
-    keys = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    keys = classes.select("id", F.explode("bands").alias("key"))
     hubs = cut_lineage(keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n"))
                        .where(F.col("n") > 1).select("key", "hub"), "hubs")
-    members = cut_lineage(join_checked(keys, hubs, "key", "inner").select("key", "band", "id", "hub"), "members")
+    members = cut_lineage(join_checked(keys, hubs, "key", "inner").select("key", "id", "hub"), "members")
     stars = members.where(F.col("id") != F.col("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     first = cut_lineage(similar_pairs(cut_lineage(stars, "stars"), docs, plan), "links")
     labels = cut_lineage(connected_components(first), "labels")

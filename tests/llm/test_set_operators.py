@@ -124,6 +124,21 @@ def test_links_beside_the_hub_are_found(spark, monkeypatch):
     check(neardup.near_duplicates(df).collect(), texts)
 
 
+def test_low_bytes_do_not_pick_the_bucket(spark):
+    """Pairs whose signatures agree by chance in a band before the one whose bucket they share."""
+    plan = neardup.Plan()
+    signature = bytes(plan.hashes)
+    classes = [(i, [100 * i + band if band != 3 else 7 for band in range(plan.bands)], signature) for i in (1, 2)]
+    classes += [(i, [100 * i + band if band not in (5, 9) else band for band in range(plan.bands)], signature)
+                for i in (3, 4)]
+    members = [(7, 3, 1), (7, 3, 2), (5, 5, 3), (5, 5, 4), (9, 9, 3), (9, 9, 4)]
+    found = neardup.crossing_pairs(
+        spark.createDataFrame(members, "key long, band int, id long"),
+        spark.createDataFrame(classes, "id long, bands array<long>, signature binary"),
+        spark.createDataFrame([], "node long, component long"), plan).collect()
+    assert sorted((r.a, r.b) for r in found) == [(1, 2), (3, 4)]
+
+
 def test_near_duplicate_edges(spark):
     long = " ".join(f"t{i}" for i in range(40_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A B"), (6, "a b c"), (7, long), (8, long + " end"),
