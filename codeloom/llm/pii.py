@@ -230,7 +230,7 @@ def rewrite_words(text: str) -> Rewritten:
 
 
 def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
-    """Identifiers that show only after rewriting and overlap no plain span of their kind."""
+    """Identifiers that show only after rewriting and that no plain span of their kind covers wholly."""
     first = rewrite_characters(text)
     second = rewrite_words(first.text)
     if not first.pieces and not second.pieces:
@@ -242,8 +242,9 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
         if not second.changed(start, end) and not first.changed(left, right):
             continue
         left, right = first.source(left, False), first.source(right, True)
-        at = bisect_right(taken[kind], (right - 1, float("inf")))
-        if not at or taken[kind][at - 1][1] <= left:
+        # A plain span can be a fragment of the disguised one, up to the first look-alike.
+        at = bisect_right(taken[kind], (left, float("inf")))
+        if not at or taken[kind][at - 1][1] < right:
             found.append((left, kind, right))
     return found
 

@@ -143,6 +143,24 @@ def test_pii_disguises_map_back(text, kind, found):
     assert [(k, text[s:e]) for s, k, e in spans] == [(kind, found)]
 
 
+@pytest.mark.parametrize("text, kind, plain, found", [
+    ("write jоhn@example.com", "email", "hn@example.com", "jоhn@example.com"),
+    ("write john@example.cоm now", "email", "john@example.c", "john@example.cоm"),
+    ("write jоhn@example.cоm now", "email", "hn@example.c", "jоhn@example.cоm"),
+    ("dial +1 234 555 123４ now", "phone", "+1 234 555 123", "+1 234 555 123４"),
+])
+def test_pii_disguise_around_a_plain_fragment(text, kind, plain, found):
+    base = pii.plain_spans(text)
+    assert [(k, text[s:e]) for s, k, e in base] == [(kind, plain)]
+    assert [(k, text[s:e]) for s, k, e in pii.disguised_spans(text, base)] == [(kind, found)]
+
+
+def test_pii_covered_disguise_is_dropped():
+    text = "write john@example.com and call nine"
+    assert pii.disguised_spans(text, pii.plain_spans(text)) == []
+    assert pii.disguised_spans("jоhn@example.com", [(0, "email", 16)]) == []
+
+
 @pytest.mark.parametrize("text", ["look at example.com or at home", "one two three", "dot com was a bubble at noon",
                                   "Zwei oder drei Leute", "café at five"])
 def test_pii_leaves_prose_alone(text):
