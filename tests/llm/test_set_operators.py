@@ -316,6 +316,19 @@ def test_training_learns_a_pattern():
     assert model.log10(targets, contexts).mean() > before + 0.3
 
 
+def test_all_training_texts_give_examples(spark, monkeypatch):
+    seen = []
+
+    def counted(stored, vocabulary):
+        seen.extend(len(r.targets) // 2 for r in stored.collect())
+        return lm.Model.fresh(vocabulary)
+
+    monkeypatch.setattr(lm, "train", counted)
+    docs = spark.createDataFrame([(i, "a b c") for i in range(40)], "doc_id long, text string")
+    lm.scores(docs, F.col("doc_id") < 30, F.lit(False)).collect()
+    assert sum(seen) == 30 * 4
+
+
 def test_windows_stay_inside_their_text():
     settings = lm.Settings(places=2)
     targets, contexts = lm.windows(np.array([1, 2, 3]), np.array([2, 0, 1]), settings)
