@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, decontam, language, lines, lm, neardup, pii, quality, toxicity
+from codeloom.llm import (
+    bpe, burst_trie, chat, decontam, html_text, language, lines, lm, neardup, pii, quality, toxicity, whitening,
+)
 from codeloom.llm.text import documents, residue
 
 
@@ -80,6 +82,18 @@ def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, folder))
 
 
+def op11_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return burst_trie.trie(spark.read.parquet(f"{folder}/conversations.parquet"))
+
+
+def op12_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitening(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language": op2_language,
@@ -91,6 +105,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_lines": op9_lines,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_trie": op11_trie,
+    "op12_html": op12_html,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
@@ -99,4 +116,6 @@ ORACLE: dict[str, str] = {
     "op8_chat": chat.SQL,
     "op9_lines": lines.SQL,
     "op10_near_duplicates": neardup.SQL,
+    "op11_trie": burst_trie.SQL,
+    "op12_html": html_text.SQL,
 }
