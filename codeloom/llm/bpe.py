@@ -15,7 +15,7 @@ import gc
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
 
@@ -379,6 +379,33 @@ def shipped(spark, path: str) -> str:
     return path.rpartition("/")[2]
 
 
+def _id_lists(found: list[tuple[int, str, str]]) -> pa.Array:
+    """The ids of rendered texts as lists, read from one text of all of them."""
+    sizes = np.array([n for n, _, _ in found], dtype=np.int64)
+    flat = np.fromstring(" ".join([ids for _, ids, _ in found if ids]), dtype=np.int32, sep=" ")
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
+
+
+def _encoding(docs: DataFrame, vocabulary: str, columns: Callable[[list], dict[str, pa.Array]], schema: str) -> DataFrame:
+    """doc_id and what `columns` makes of the rendered texts of a batch."""
+    name = shipped(docs.sparkSession, vocabulary)
+
+    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        made = columns(loaded(SparkFiles.get(name)).render(batch.column("text").to_pylist()))
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **made})
+
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(row_wise(encode, limit=BATCH_BYTES, done=lambda: forget(name)), schema)
+
+
+def _counts(found: list[tuple[int, str, str]]) -> pa.Array:
+    return pa.array([n for n, _, _ in found], pa.int64())
+
+
+def _sha256(texts: Iterable[str]) -> pa.Array:
+    return pa.array([hashlib.sha256(text.encode()).hexdigest() for text in texts], pa.string())
+
+
 def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     """Ids and decoded text for every row of `docs` (doc_id, text).
 
@@ -387,37 +414,20 @@ def encoded(docs: DataFrame, vocabulary: str) -> DataFrame:
     Rows are independent, so repeated rows and null ids are answered as they
     come; an empty table gives an empty result; other columns are ignored.
     """
-    name = shipped(docs.sparkSession, vocabulary)
-
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = loaded(SparkFiles.get(name))
-        found = model.render(batch.column("text").to_pylist())
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([f[0] for f in found], pa.int64()),
-             pa.array([[int(i) for i in f[1].split()] for f in found], pa.list_(pa.int32())),
-             pa.array([f[2] for f in found], pa.string())], names=["doc_id", "n_tokens", "ids", "decoded"])
-
-    return _narrow(docs).mapInArrow(row_wise(encode, limit=BATCH_BYTES, done=lambda: forget(name)),
-                                    "doc_id long, n_tokens long, ids array<int>, decoded string")
+    def columns(found):
+        return {"n_tokens": _counts(found), "ids": _id_lists(found), "decoded": pa.array([f[2] for f in found], pa.string())}
 
+    return _encoding(docs, vocabulary, columns, "doc_id long, n_tokens long, ids array<int>, decoded string")
 
-def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """As `encoded`, with SHA-256 of the ids joined by blanks and of the decoded text instead."""
-    name = shipped(docs.sparkSession, vocabulary)
-
-    def sha(text: str) -> str:
-        return hashlib.sha256(text.encode()).hexdigest()
 
-    def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = loaded(SparkFiles.get(name))
-        found = [(n, sha(ids), sha(words)) for n, ids, words in model.render(batch.column("text").to_pylist())]
-        kinds = [pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*found), kinds))],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _narrow(docs).mapInArrow(row_wise(encode, limit=BATCH_BYTES, done=lambda: forget(name)), SCHEMA)
+def digests(docs: DataFrame, vocabulary: str, ids: bool = False) -> DataFrame:
+    """As `encoded`, with SHA-256 of the ids joined by blanks and of the decoded text instead.
 
+    Digests are taken where the texts are encoded. With `ids` the ids come as well, the last column.
+    """
+    def columns(found):
+        made = {"n_tokens": _counts(found), "ids_sha256": _sha256(f[1] for f in found),
+                "decoded_sha256": _sha256(f[2] for f in found)}
+        return {**made, "ids": _id_lists(found)} if ids else made
 
-def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _encoding(docs, vocabulary, columns, SCHEMA + ", ids array<int>" * ids)
