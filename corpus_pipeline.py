@@ -59,10 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the decoded text."""
-    coded = bpe.encoded(docs, vocabulary_path())
-    return coded.select(
-        "doc_id", "n_tokens", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    return bpe.digests(docs, vocabulary_path(), ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
