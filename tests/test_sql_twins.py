@@ -2,6 +2,11 @@
 
 import decimal
 import importlib.util
+import json
+import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import duckdb
@@ -37,8 +42,22 @@ def test_every_query_has_a_twin():
     assert set(entry.QUERIES) == set(entry.ORACLE)
 
 
-def test_a_missing_subpackage_is_no_error():
-    assert set(entry.QUERIES) <= set(entry.queries())
+@pytest.mark.parametrize("without", [("codeloom/llm",), ("codeloom/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_a_copy_without_the_optional_parts_has_all_other_queries(tmp_path, without):
+    root = Path(__file__).resolve().parent.parent
+    left_out = {str(root / name) for name in without}
+    shutil.copytree(root / "codeloom", tmp_path / "codeloom", ignore=lambda at, names: [
+        n for n in names if f"{at}/{n}" in left_out or n == "__pycache__"])
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if str(root / name) not in left_out:
+            shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e, json; print(json.dumps([sorted(e.queries()), sorted(e.oracle_sql())]))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True,
+                         env={**os.environ, "PYTHONPATH": ""})
+    names, twins = json.loads(run.stdout)
+    more = set() if "codeloom/llm" in without else {n for n in entry.LLM_QUERIES if n != "pipeline"}
+    assert set(names) == set(entry.QUERIES) | more
+    assert set(entry.ORACLE) <= set(twins) <= set(names)
 
 
 @pytest.mark.parametrize("name", sorted(entry.QUERIES))
