@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,20 +31,104 @@ def evict_oldest(accesses: DataFrame, max_memory: int) -> DataFrame:
     ).select("key", "last_ts", "size", "rn")
 
 
+def previous_of_key(puts: DataFrame) -> DataFrame:
+    """Add `prev_at` and `prev_size`, those of the put of the same key before; `at` is unique.
+
+    Puts are cut into ranges of like size by key and place, so that a busy key is
+    spread over several; the first put of a key in a range looks at the key's last
+    one in the ranges before.
+    """
+    ranged = cut_lineage(puts.repartitionByRange("key", "at").withColumn("range_id", F.spark_partition_id()), "put_ranges")
+    inside = Window.partitionBy("range_id", "key").orderBy("at")
+    newest = ranged.groupBy("key", "range_id").agg(F.min("at").alias("at"), F.max_by(F.struct("at", "size"), "at").alias("last"))
+    before = F.lag("last").over(Window.partitionBy("key").orderBy("at"))
+    links = newest.select("key", "range_id", before.alias("linked"))
+    own = F.struct("at", "size")
+    return (ranged.withColumn("own", F.lag(own).over(inside)).join(links, ["key", "range_id"])
+            .withColumn("prev", F.coalesce("own", "linked"))
+            .select("key", "at", "size", F.col("prev.at").alias("prev_at"), F.col("prev.size").alias("prev_size")))
+
+
+SLICE = 1 << 16  # puts gone through at once
+CANDIDATES = 31  # places tried in one pass
+
+
+def _slices(steps: DataFrame) -> DataFrame:
+    """One row per slice of SLICE consecutive places: slice, and lists of its puts in order."""
+    put = F.struct("at", "size", F.coalesce("prev_at", F.lit(0)).alias("prev_at"),
+                   F.coalesce("prev_size", F.lit(0)).alias("prev_size"))
+    sliced = steps.groupBy(F.floor(F.col("at") / SLICE).alias("slice")).agg(F.array_sort(F.collect_list(put)).alias("p"))
+    return sliced.select("slice", *[F.col(f"p.{c}").alias(c) for c in ("at", "size", "prev_at", "prev_size")])
+
+
+def _crowded(slices: DataFrame, places: list[int], budget: int) -> list[bool]:
+    """For each of `places` whether the keys put from there on ever need more than the budget.
+
+    What a put adds is its size less that of the key's put before, if that one is
+    not older than the place. A slice sends its sum and its highest running sum for
+    each place; both are combined over the slices in order.
+    """
+    tried = list(places)
+
+    def measure(batches):
+        at_place = np.array(tried, dtype=np.int64)
+        for batch in batches:
+            for number, *lists in zip(*(batch.column(c).to_pylist() for c in ("slice", "at", "size", "prev_at", "prev_size"))):
+                at, size, prev_at, prev_size = (np.array(x, dtype=np.int64) for x in lists)
+                sums, peaks = [], []
+                for place in at_place:
+                    grown = np.where(at >= place, size - np.where(prev_at >= place, prev_size, 0), 0)
+                    upto = np.cumsum(grown)
+                    later = upto[at > place]  # a put makes room before it comes in, but never drops itself
+                    sums.append(int(upto[-1]))
+                    peaks.append(int(later.max()) if len(later) else None)
+                yield pa.RecordBatch.from_pydict({
+                    "slice": pa.array([number] * len(tried), pa.int64()), "n": pa.array(range(len(tried)), pa.int32()),
+                    "total": pa.array(sums, pa.int64()), "peak": pa.array(peaks, pa.int64())})
+
+    parts = slices.filter(F.col("slice") >= min(tried) // SLICE).mapInArrow(measure, "slice long, n int, total long, peak long")
+    before = Window.partitionBy("n").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    highest = parts.withColumn("high", F.coalesce(F.sum("total").over(before), F.lit(0)) + F.col("peak"))
+    found = {r["n"]: r["high"] for r in highest.groupBy("n").agg(F.max("high").alias("high")).collect()}
+    return [(found.get(n) or 0) > budget for n in range(len(tried))]
+
+
+def evicted_upto(puts: DataFrame, n: int, budget: int) -> int:
+    """The last place whose put, and with it all older ones, a cache of `budget` bytes has dropped at the end; 0 if none.
+
+    `puts` (key, at, size) has places 1 to `n`. A least-recently-used cache holds
+    the keys put after some place, and that place only moves on. It has passed a
+    place if the keys put from there on needed more than the budget at any later
+    put; this holds for all places up to the one looked for, which is narrowed down
+    by trying many places a pass.
+    """
+    slices = cut_lineage(_slices(previous_of_key(puts)), "put_slices")
+    low, high = 0, n  # passed, not passed
+    while high - low > 1:
+        step = -(-(high - low) // (CANDIDATES + 1))
+        places = list(range(low + step, high, step))
+        passed = sum(_crowded(slices, places, budget))
+        low, high = (places[passed - 1] if passed else low), (places[passed] if passed < len(places) else high)
+    return low
+
+
 def recency_budget(accesses: DataFrame, budget: int) -> DataFrame:
-    """Keys a least-recently-used cache of `budget` bytes holds at the end.
+    """Keys a least-recently-used cache of `budget` bytes holds after all accesses, each of which puts its key anew.
 
-    A key stays as long as it and all fresher keys fit; the newest one always
-    stays, because room is only made while something is left to drop.
+    A put drops the key's old value, then the oldest keys until the new one fits,
+    then comes in, also if it alone is too large. Accesses come in order of time,
+    then event. `running` are the bytes of a key and all fresher ones.
     """
-    order = [F.col("last_ts").desc(), F.col("key").desc()]
-    keys = ranked(last_access(accesses), order, amount="size")
-    return keys.filter((F.col("running") <= budget) | (F.col("rn") == 1)).select(
-        "key", "last_ts", "size", "running"
-    )
+    order = [F.col("ts").asc(), F.col("event_id").asc()]
+    puts = cut_lineage(ranked(accesses.select("event_id", "key", "ts", "size"), order), "puts")
+    n = puts.count()
+    dropped = evicted_upto(puts.select("key", F.col("rn").alias("at"), "size"), n, budget) if n else 0
+    last = puts.groupBy("key").agg(F.max("rn").alias("at"), F.max_by(F.struct("ts", "size"), "rn").alias("w"))
+    kept = last.filter(F.col("at") > dropped).select("key", F.col("w.ts").alias("last_ts"), F.col("w.size").alias("size"), "at")
+    return ranked(kept, [F.col("at").desc()], amount="size").select("key", "last_ts", "size", "running")
 
 
-def _micros(ts: Column) -> Column:
+def micros_of(ts: Column) -> Column:
     """Microseconds since 1970 of a time without zone; the session's zone plays no part."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
 
@@ -113,7 +198,7 @@ def compute_points(accesses: DataFrame, ttl_seconds: int = settings.RESULT_TTL_S
     knows its state and gives its points.
     """
     ttl = int(ttl_seconds * MICROS)
-    timed = accesses.select("key", _micros(F.col("ts")).alias("t"))
+    timed = accesses.select("key", micros_of(F.col("ts")).alias("t"))
     ranged = timed.repartitionByRange("key", "t").withColumn("range_id", F.spark_partition_id())
     # The least time orders the runs of a key however the ranges are numbered.
     runs = cut_lineage(ranged.groupBy("key", "range_id").agg(
@@ -167,7 +252,7 @@ def key_heat(accesses: DataFrame, bucket_days: int = 1) -> DataFrame:
     All sums are whole numbers and the forecast is one division, so it does
     not depend on the order in which partitions are merged.
     """
-    bucket = F.floor(_micros(F.col("ts")) / (MICROS * 86_400 * bucket_days)).alias("x")
+    bucket = F.floor(micros_of(F.col("ts")) / (MICROS * 86_400 * bucket_days)).alias("x")
     counts = cut_lineage(accesses.groupBy("key", bucket).agg(F.count("*").alias("y")), "buckets")
     # Buckets are counted back from the forecast one, so that it has number 0.
     x, y = F.col("x") - counts.agg(F.max("x") + 1).scalar(), F.col("y")

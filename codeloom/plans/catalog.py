@@ -482,6 +482,13 @@ def stream_compute_points(spark, folder):
     return streams.compute_points_snapshot(spark, out)
 
 
+@query
+def stream_ttl_points(spark, folder):
+    out = fresh_dir(spark, "ttl-points")
+    streams.ttl_points(_streamed(spark, folder, derived.accesses_of), out).awaitTermination()
+    return streams.ttl_points_written(spark, out)
+
+
 @query
 def stream_latest_result(spark, folder):
     out = fresh_dir(spark, "results")

@@ -348,7 +348,7 @@ lint AS (
 
 EVENTS = r"""
 ev AS (SELECT *, (props::JSON ->> '$.k')::BIGINT AS k FROM events),
-acc AS (SELECT event_id, 'k' || k AS key, ts, k * 37 + event_id % 7 * 10 + 100 AS size, event_type = 'view' AS hit,
+acc AS (SELECT event_id, 'k' || k AS key, ts, k * 37 + event_id % 7 * 10 + 100 + CASE WHEN event_id % 97 = 0 THEN 20000 ELSE 0 END AS size, event_type = 'view' AS hit,
                event_type AS cache_type FROM ev),
 att AS (SELECT event_id // 4 AS task, event_id % 4 AS attempt, event_type AS task_name,
                CASE WHEN event_type = 'error' THEN 'error' ELSE 'success' END AS status,
@@ -638,15 +638,24 @@ ORACLE = {
                     "row_number() OVER (ORDER BY last_ts, key) AS rn, count(*) OVER () AS n, "
                     "sum(size) OVER () AS used FROM last_access) "
                     f"WHERE used >= {catalog.EVICT_MEMORY} AND rn <= greatest(1, floor(0.1::DOUBLE * n))",
-    "recency_budget": f"WITH {EVENTS} SELECT key, last_ts, size, running FROM (SELECT *, "
-                      "sum(size) OVER (ORDER BY last_ts DESC, key DESC) AS running, "
-                      "row_number() OVER (ORDER BY last_ts DESC, key DESC) AS rn FROM last_access) "
-                      f"WHERE running <= {catalog.BUDGET_BYTES} OR rn = 1",
+    "recency_budget": f"""WITH {EVENTS},
+      puts AS (SELECT key, ts, size, row_number() OVER (ORDER BY ts, event_id) AS place FROM acc),
+      steps AS (SELECT *, lag(place) OVER w AS prev_place, lag(size) OVER w AS prev_size,
+                       lead(place) OVER w IS NULL AS is_last FROM puts WINDOW w AS (PARTITION BY key ORDER BY place)),
+      kept AS (SELECT key, ts, size, place FROM steps WHERE is_last),
+      needed AS (
+        SELECT k.key, k.size + sum(s.size - CASE WHEN s.prev_place > k.place THEN s.prev_size ELSE 0 END)
+               OVER (PARTITION BY k.key ORDER BY s.place) AS bytes
+        FROM kept k JOIN steps s ON s.place > k.place),
+      peaks AS (SELECT key, max(bytes) AS peak FROM needed GROUP BY key),
+      held AS (SELECT k.* FROM kept k LEFT JOIN peaks USING (key) WHERE coalesce(peak, 0) <= {catalog.BUDGET_BYTES})
+    SELECT key, ts AS last_ts, size, sum(size) OVER (ORDER BY place DESC) AS running FROM held""",
     "ttl_reuse": f"""WITH RECURSIVE {EVENTS}, {CHAIN},
       c AS (SELECT key, count(*) AS computed FROM chain GROUP BY key)
     SELECT key, computed, n - computed AS reused FROM c JOIN (SELECT key, count(*) AS n FROM t GROUP BY key)
     USING (key)""",
     "compute_points": f"WITH RECURSIVE {EVENTS}, {CHAIN} SELECT key, t FROM chain",
+    "stream_ttl_points": f"WITH RECURSIVE {EVENTS}, {CHAIN} SELECT key, t FROM chain",
     "stream_compute_points": f"WITH RECURSIVE {EVENTS}, {CHAIN} SELECT key, t FROM chain",
     "rate_limited": f"WITH {EVENTS} SELECT event_id, task_name, rn FROM (SELECT *, row_number() OVER ("
                     f"PARTITION BY task_name, date_trunc('{catalog.RATE_WINDOW}', started) ORDER BY started, event_id) "

@@ -215,7 +215,7 @@ def _events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def accesses(spark: SparkSession, folder: str) -> DataFrame:
-    """`events` as an access log; the size of a key changes from access to access."""
+    """`events` as an access log; the size of a key changes from access to access, now and then a lot."""
     return accesses_of(table(spark, folder, "events"))
 
 
@@ -224,7 +224,8 @@ def accesses_of(events: DataFrame) -> DataFrame:
         "event_id",
         F.concat(F.lit("k"), F.col("k").cast("string")).alias("key"),
         "ts",
-        (F.col("k") * 37 + F.col("event_id") % 7 * 10 + 100).alias("size"),
+        (F.col("k") * 37 + F.col("event_id") % 7 * 10 + 100
+         + F.when(F.col("event_id") % 97 == 0, 20000).otherwise(0)).alias("size"),
         (F.col("event_type") == "view").alias("hit"),
         F.col("event_type").alias("cache_type"),
     )

@@ -13,9 +13,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from codeloom import settings
 from codeloom.operators import access, matching, metrics
@@ -163,6 +166,50 @@ def compute_points_snapshot(spark: SparkSession, out: str,
     return access.compute_points(_parts(spark, out), ttl_seconds)
 
 
+def ttl_points(accesses: DataFrame, out: str, ttl_seconds: int = settings.RESULT_TTL_SECONDS,
+               lateness: str = LATENESS) -> StreamingQuery:
+    """Accesses that have to compute, found as they come: key and time in microseconds, appended to a file sink.
+
+    The state of a key is the time of its last computing access. An access up to
+    the TTL after it reuses the result and does not extend its life; so does one
+    that comes late and is older. State goes once the watermark has passed the end
+    of the life, so there is no more of it than keys with a living result; a result
+    is never asked for by rows behind the watermark, which are dropped. Times of a
+    key are gathered per micro-batch, whose size the source bounds.
+    """
+    ttl = int(ttl_seconds * access.MICROS)
+
+    # Nested, so that it is shipped by value and executors need no copy of us.
+    def reuse(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = np.unique(np.concatenate([np.unique(b["t"].to_numpy()) for b in batches]))
+        last = state.get[0] if state.exists else None
+        at, found = (0 if last is None else int(np.searchsorted(times, last + ttl, side="right"))), []
+        while at < len(times):
+            last = int(times[at])
+            found.append(last)
+            at = int(np.searchsorted(times, last + ttl, side="right"))
+        state.update((last,))
+        state.setTimeoutTimestamp((last + ttl) // 1000 + 1)
+        if found:
+            yield pd.DataFrame({"key": key[0], "t": found})
+
+    t = access.micros_of(F.col("ts"))
+    timed = (accesses.select("key", t.alias("t")).withColumn("at", F.timestamp_micros("t"))
+             .withWatermark("at", lateness))
+    points = timed.groupBy("key").applyInPandasWithState(
+        reuse, "key string, t long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return (points.writeStream.format("parquet").outputMode("append").option("path", f"{out}/data")
+            .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
+
+
+def ttl_points_written(spark: SparkSession, out: str) -> DataFrame:
+    """What `ttl_points` has found so far."""
+    return spark.read.parquet(f"{out}/data")
+
+
 def latest_results(stored: DataFrame, out: str,
                    current_version: int = settings.CACHE_VERSION) -> StreamingQuery:
     """Last written value per key: each batch adds its own winners."""

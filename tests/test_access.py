@@ -61,6 +61,54 @@ def test_recency_budget_is_what_a_cache_keeps(spark, budget):
     assert {r.key for r in access.recency_budget(df, budget).collect()} == set(cache)
 
 
+def kept_by_a_cache(puts, budget):
+    """Keys of a plain cache after puts of (key, size) in order."""
+    cache, used = OrderedDict(), 0
+    for key, size in puts:
+        used -= cache.pop(key, 0)
+        while cache and used + size > budget:
+            used -= cache.popitem(last=False)[1]
+        cache[key] = size
+        used += size
+    return cache
+
+
+def test_a_key_dropped_by_a_large_one_stays_away_when_that_shrinks(spark):
+    df = log(spark, [("a", 1, 3), ("b", 2, 9), ("b", 3, 3)])
+    assert [tuple(r)[0] for r in access.recency_budget(df, 10).collect()] == ["b"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_recency_budget_equals_a_loop_when_sizes_change(spark, seed):
+    draw = random.Random(seed)
+    n, keys = draw.choice([1, 2, 40, 700]), draw.choice([2, 15, 60])
+    puts = [(f"k{int(draw.random() ** 2 * keys)}", draw.choice([1, 5, 20, 300]) * draw.randint(0, 9)) for _ in range(n)]
+    budget = draw.choice([0, 50, 900, 4000, 10**9])
+    df = log(spark, [(k, i // 3, size) for i, (k, size) in enumerate(puts)])
+    with_ranges(spark, draw.choice([1, 7]))
+    try:
+        got = access.recency_budget(df.repartition(3), budget).collect()
+    finally:
+        with_ranges(spark, None)
+    want = kept_by_a_cache(puts, budget)
+    assert {r["key"]: r["size"] for r in got} == want
+    running, upto = 0, {}
+    for key in reversed(want):
+        running += want[key]
+        upto[key] = running
+    assert {r["key"]: r["running"] for r in got} == upto
+
+
+def test_recency_budget_over_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(access, "SLICE", 8)
+    monkeypatch.setattr(access, "CANDIDATES", 3)
+    draw = random.Random(9)
+    puts = [(f"k{draw.randrange(40)}", draw.randrange(100)) for _ in range(300)]
+    df = log(spark, [(k, i, size) for i, (k, size) in enumerate(puts)])
+    assert {r["key"] for r in access.recency_budget(df, 700).collect()} == set(kept_by_a_cache(puts, 700))
+    assert access.recency_budget(df.limit(0), 700).collect() == []
+
+
 def computing(rows, ttl, ends=None):
     ends, out = dict(ends or {}), []
     for key, second, _ in rows:

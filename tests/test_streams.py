@@ -1,6 +1,7 @@
 """Each stream over several micro-batches and runs equals its batch twin."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,56 @@ def test_files_out_of_order_make_no_difference(spark, parts, tmp_path):
     assert rows(streams.compute_points_snapshot(spark, out, 7200)) == rows(batch)
 
 
+def timed_files(spark, folder, accesses):
+    """One file for each list of (key, seconds), in the order given."""
+    start = dt.datetime(2024, 1, 1)
+    for some in accesses:
+        rows = [(k, start + dt.timedelta(seconds=s)) for k, s in some]
+        spark.createDataFrame(rows, "key string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(folder)
+    return streams.folder_stream(spark, folder, spark.read.parquet(folder).schema)
+
+
+def test_ttl_points_of_ordered_files_equal_the_batch(spark, parts, tmp_path):
+    out = str(tmp_path)
+    stream = derived.accesses_of(source(spark, parts))
+    for _ in range(2):
+        streams.ttl_points(stream, out, 7200).awaitTermination()
+    batch = access.compute_points(derived.accesses_of(parts[1]), 7200)
+    assert rows(streams.ttl_points_written(spark, out)) == rows(batch)
+
+
+def test_ttl_points_go_on_after_a_restart_with_little_state(spark, tmp_path):
+    """Every file has keys of its own and one that is always there; state of keys whose result has died is dropped."""
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    draw = random.Random(4)
+    sent, kept = [], []
+    for run in range(4):
+        files = [sorted([(f"k{run}-{f}-{i}", (run * 4 + f) * 1000 + draw.randrange(1000)) for i in range(30)]
+                        + [("always", (run * 4 + f) * 1000 + s) for s in range(0, 1000, 90)], key=lambda r: r[1])
+                 for f in range(4)]
+        stream = timed_files(spark, folder, files)
+        query = streams.ttl_points(stream, out, 600, lateness="1 second")
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        sent += [row for rows_ in files for row in rows_]
+    plain, ends = [], {}
+    start = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    for key, second in sent:
+        if key not in ends or second > ends[key] + 600:
+            ends[key] = second
+            plain.append((key, (start + second) * 1_000_000))
+    assert rows(streams.ttl_points_written(spark, out)) == sorted(plain, key=repr)
+    assert max(kept) <= 2 * 31, kept  # of 481 keys
+
+
+def test_reuse_on_a_stream_does_not_extend_the_life(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    stream = timed_files(spark, folder, [[("a", 0), ("a", 50)], [("a", 100)], [("a", 101), ("a", 101)], [("a", 150), ("a", 202)]])
+    streams.ttl_points(stream, out, 100).awaitTermination()
+    start = int(dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc).timestamp())
+    assert [r.t // 1_000_000 - start for r in streams.ttl_points_written(spark, out).orderBy("t").collect()] == [0, 101, 202]
+
+
 def test_equal_times_are_settled_by_the_event(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "key string, version int, project string, data double, ts timestamp_ntz, event_id long"
