@@ -1,11 +1,9 @@
 """Python entities straight from source text, by expressions.
 
-The text is first masked so that indentation alone tells the structure:
-
-1. comments are dropped and string literals emptied;
-2. line breaks inside strings, brackets and after a backslash are kept (line
-   numbers stay right) but the continuation starts with a mark that no line of
-   Python can start with, so it can neither start a statement nor end a block.
+The text is first masked, in one walk over its tokens (`python_scan`), so that
+indentation alone tells the structure: comments are dropped, strings emptied,
+and lines that go on with the one before start with a mark that no line of
+Python can start with, so they can neither start a statement nor end a block.
 
 A block then is its head line plus every following line that is blank or
 indented deeper, which one regular expression with a back-reference states.
@@ -20,28 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.functions.python_scan import MARK, masked_text
 from codeloom.functions.text import WORD
 
-MARK = "\x01"
 NAME = f"[{WORD}]++"
-
-_TOKEN = (
-    r"#[^\n]*+"
-    r'|"""(?:[^"\\]++|\\[\s\S]|"(?!""))*+"""'
-    r"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''"
-    r'|"(?:[^"\\\n]++|\\[\s\S])*+"'
-    r"|'(?:[^'\\\n]++|\\[\s\S])*+'"
-)
-
-
-def _brackets(depth: int) -> str:
-    group = r"[(\[{][^()\[\]{}]*+[)\]}]"
-    for _ in range(depth):
-        group = rf"[(\[{{](?:[^()\[\]{{}}]++|{group})*+[)\]}}]"
-    return group
-
-
-BRACKETS = _brackets(16)
+BRACKETS = r"[(\[{][^()\[\]{}]*+[)\]}]"  # the mask has none within another
 
 HEAD = rf"[ \t]*+(?:(?:async[ \t]++)?+def|class)[ \t]++{NAME}"
 # Indentation first, so that it can be referred to; group 1 is the whole block.
@@ -51,14 +32,6 @@ _BLOCK = (
 )
 
 
-def _rebuild(content: Column, pattern: str, mask) -> Column:
-    """The text with every match of `pattern` replaced by `mask(match)`."""
-    between = F.split(content, pattern, -1)
-    matches = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    masked = F.array_append(F.transform(matches, mask), F.lit(""))
-    return F.array_join(F.zip_with(between, masked, lambda a, b: F.concat(a, b)), "")
-
-
 def parses(content: Column) -> Column:
     """Whether Python accepts the text; nothing is accepted for a null.
 
@@ -90,18 +63,12 @@ def parsed(files: DataFrame) -> Column:
 
 
 def masked(content: Column) -> Column:
-    quiet = _rebuild(
-        content,
-        _TOKEN,
-        lambda t: F.when(t.startswith("#"), F.lit("")).otherwise(
-            F.concat(
-                F.lit("''"),
-                F.repeat(F.lit("\n" + MARK + "''"), F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))),
-            )
-        ),
-    )
-    joined = F.regexp_replace(quiet, r"\\\n[ \t]*+", "\\\\\\\\\n" + MARK + "_ ")
-    return _rebuild(joined, BRACKETS, lambda t: F.regexp_replace(t, r"\n[ \t]*+", "\n" + MARK + "_ "))
+    """The mask of a text, null for a null."""
+    @F.pandas_udf(T.StringType())
+    def mask(texts: pd.Series) -> pd.Series:
+        return texts.map(masked_text, na_action="ignore").astype(object)
+
+    return mask(content)
 
 
 def blocks(mask: Column) -> Column:

@@ -74,10 +74,9 @@ def analyse_files(files: DataFrame, languages=None) -> DataFrame:
     named = files.withColumn("language", lang)
     # Only Python goes through Python.
     python = F.coalesce(F.col("language") == "Python", F.lit(False))
-    judged = named.filter(python).withColumn("parsed", py.parsed(files)).unionByName(
-        named.filter(~python).withColumn("parsed", F.lit(False)))
-    staged = line_metrics(judged, "language", "parsed")
-    staged = staged.withColumn("mask", F.when(is_python, py.masked(content)))
+    judged = named.filter(python).withColumns({"parsed": py.parsed(files), "mask": py.masked(content)}).unionByName(
+        named.filter(~python).withColumns({"parsed": F.lit(False), "mask": F.lit(None).cast("string")}))
+    staged = line_metrics(judged, "language", "parsed", "mask")
     mask = F.col("mask")
 
     def heads(word: str):

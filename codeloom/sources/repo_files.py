@@ -11,13 +11,18 @@ from codeloom.operators.files import in_repository_data, is_binary_name
 from codeloom.session import cut_lineage
 
 BATCH_BYTES = 32 * 1024 * 1024
-LISTED = "path string, size long, folder boolean"
+LISTED = "path string, size long, folder boolean, error string"
+READ = "path string, size long, text string, error string"
 
 
 def scan_tree(spark: SparkSession, root: str, glob: str | None = None, max_bytes: int | None = None,
-              binaries: bool = False) -> DataFrame:
+              binaries: bool = False, failures: bool = False) -> DataFrame:
     """Read every file below `root`; the first directory is the project.
 
+    Links to directories are not followed, so no cycle is. What cannot be listed
+    or read is left out; with `failures` it comes as a row with a null content and
+    the reason in `error`, a column that is null for all others.
+
     `root` is a folder all executors mount, or the URI of a store that the
     installed Arrow file systems reach (s3, gs, abfss, hdfs, file). Names that
     start with `_` or `.` are read like all others. Files are dropped before they
@@ -35,10 +40,15 @@ def scan_tree(spark: SparkSession, root: str, glob: str | None = None, max_bytes
         found = found.filter(path.rlike(paths.glob_regex(glob)))
     if not binaries:
         found = found.filter(~is_binary_name(F.col("ext")) & ~in_repository_data(path))
-    texts = _read(found.select("path", "size"), uri.rstrip("/"))
+    listed = F.col("error").isNull()
+    texts = _read(found.filter(listed).select("path", "size"), uri.rstrip("/"))
+    if failures:
+        texts = texts.unionByName(found.filter(~listed).select("path", "size", F.lit(None).cast("string").alias("text"), "error"))
+    else:
+        texts = texts.filter(listed)
     return texts.select(
         F.regexp_extract(path, r"^([^/]*)/", 1).alias("project"), "path", paths.extension(path).alias("ext"), "size",
-        F.regexp_replace("text", r"\r\n?", "\n").alias("content"),
+        F.regexp_replace("text", r"\r\n?", "\n").alias("content"), *(["error"] if failures else []),
     )
 
 
@@ -50,26 +60,39 @@ def _listing(spark: SparkSession, uri: str) -> DataFrame:
     There are as many rounds as the tree is deep.
     """
     def listed(batches):
+        import os
+
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(uri)
-        for batch in batches:
-            for folder in batch["path"]:
-                start = f"{base}/{folder}".rstrip("/")
+        local = system.type_name == "local"
+
+        def entries(folder):
+            start = f"{base}/{folder}".rstrip("/")
+            try:
                 infos = system.get_file_info(fs.FileSelector(start, recursive=False))
-                names = [i.path[len(base):].lstrip("/") for i in infos]
-                if not names:
+            except OSError as problem:
+                if not folder:
+                    raise  # there is no such tree
+                return [(folder, 0, False, str(problem))]
+            found = []
+            for info in infos:
+                is_folder = info.type == fs.FileType.Directory
+                if is_folder and local and os.path.islink(info.path):
                     continue
-                yield pd.DataFrame({
-                    "path": names, "size": [i.size or 0 for i in infos],
-                    "folder": [i.type == fs.FileType.Directory for i in infos],
-                })
+                found.append((info.path[len(base):].lstrip("/"), info.size or 0, is_folder, None))
+            return found
+
+        for batch in batches:
+            for folder in batch["path"]:
+                if found := entries(folder):
+                    yield pd.DataFrame(found, columns=["path", "size", "folder", "error"])
 
-    files = spark.createDataFrame([], "path string, size long")
+    files = spark.createDataFrame([], "path string, size long, error string")
     level = spark.createDataFrame([("",)], "path string")
     while True:
         found = cut_lineage(level.repartition("path").mapInPandas(listed, LISTED), "listing")
-        files = files.unionByName(found.filter(~F.col("folder")).select("path", "size"))
+        files = files.unionByName(found.filter(~F.col("folder")).select("path", "size", "error"))
         level = found.filter("folder").select("path")
         if level.isEmpty():
             return files
@@ -81,16 +104,23 @@ def _read(found: DataFrame, uri: str) -> DataFrame:
         from pyarrow import fs
 
         system, base = fs.FileSystem.from_uri(uri)
+
+        def text_of(path):
+            try:
+                with system.open_input_stream(f"{base}/{path}") as file:
+                    return file.read().decode("utf-8", "ignore"), None
+            except OSError as problem:
+                return None, str(problem)
+
         for batch in batches:
             rows, held = [], 0
             for path, size in zip(batch["path"], batch["size"]):
-                with system.open_input_stream(f"{base}/{path}") as file:
-                    rows.append((path, size, file.read().decode("utf-8", "ignore")))
+                rows.append((path, size, *text_of(path)))
                 held += size
                 if held >= BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=["path", "size", "text"])
+                    yield pd.DataFrame(rows, columns=["path", "size", "text", "error"])
                     rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=["path", "size", "text"])
+                yield pd.DataFrame(rows, columns=["path", "size", "text", "error"])
 
-    return found.repartition("path").mapInPandas(read, "path string, size long, text string")
+    return found.repartition("path").mapInPandas(read, READ)

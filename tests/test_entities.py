@@ -8,6 +8,7 @@ from pathlib import Path
 
 import pytest
 
+from codeloom.functions.python_scan import masked_text
 from codeloom.operators import entities
 from codeloom.sources import derived
 from conftest import DATA
@@ -174,11 +175,46 @@ def test_derived_corpus_parses(spark):
         assert got[row.path] == parsed(row.content), row.path
 
 
-def test_known_difference_operators_inside_format_strings(files):
-    """The parser looks into f-strings, the mask empties them."""
-    source = 'def f(a):\n    return f"{a or 1}"\n'
-    assert parsed(source)[1][4] == 1
-    assert found(files({"f.py": source}))["f.py"][1][4] == 0
+FORMAT = {
+    "plain.py": 'def f(a):\n    return f"{a and 1}" or 2\n',
+    "literal.py": 'def f(a):\n    return f"and {{a or b}} or {a}" + rf"\\{a or 1}" + f"\\N{DIGIT ONE} or {a or 2}"\n',
+    "nested.py": """def f(a, b):
+    return f"{a and f'{b or {1: f"{a or b}"}[1]}'!r:>{a or 3}.{b and 2}} and" f'{a:{"and" or "or"}}'
+""",
+    "lines.py": """def f(a):
+    x = f'''one {a
+        and [1,
+             (a or
+              2)]} or
+    def no(): # and {a!r:and or}
+    '''
+    return x if a and x else f'{"}" or a}{a != 1 or "{"}'
+""",
+    "fields.py": "def f(a):\n    return f'{(lambda x: x and a)(1):and}{a[1:2] or (b := 3)}{ {1: a or 2}[1] =}'\n",
+    "joined.py": "def f(a):\n    x = (f'{a or 1}' 'and'\n  f'{a and 2}')\n    return x\n",
+}
+
+
+def test_operators_inside_format_strings(files):
+    """As the parser sees them, which looks into the fields and their specifications."""
+    df = files(FORMAT)
+    got = found(df)
+    complexity = {r.path: r.complexity for r in entities.python_complexity(df).collect()}
+    for path, source in FORMAT.items():
+        assert got[path] == parsed(source), path
+        assert complexity[path] == file_complexity(source), path
+
+
+def test_brackets_of_any_depth(files):
+    depth = 60
+    source = "def f(a, b=" + "(\n" * depth + "a and 1" + ",)" * depth + ", *c):\n    x = y = "
+    source += "[\n" * depth + "a or (a and\n1)" + "]" * depth + "\n    return x\n\n\nclass C:\n    d = e[f[g[1]]] = {1: (2, [3])}\n"
+    assert found(files({"deep.py": source}))["deep.py"] == parsed(source)
+
+
+@pytest.mark.parametrize("text", ["f'{", "f'{a", "f'{a:", "'''", "f'''{'", "(((", ")))]", "\\", "'\\", "f'{{", "rf'\\"])
+def test_a_mask_of_broken_text_ends(text):
+    assert isinstance(masked_text("x = 1\n" + text), str)
 
 
 def test_broken_file_falls_back(files):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codeloom import session
 from codeloom.operators import files as file_ops
 from codeloom.plans import report
-from codeloom.sources import sinks
+from codeloom.sources import repo_files, sinks
 from codeloom.sources.repo_files import scan_tree
 
 
@@ -49,6 +49,33 @@ def test_scan_opens_no_binary(spark, tree):
     assert {"one/pkg/__init__.py", "one/.env", "two/big.txt"} <= found
 
 
+def test_scan_follows_no_link_to_a_directory(spark, tmp_path):
+    """A link to a file is read, a cycle of directories is not entered."""
+    (tmp_path / "p/a").mkdir(parents=True)
+    (tmp_path / "p/a/one.py").write_text("x = 1\n")
+    (tmp_path / "p/a/loop").symlink_to("..", target_is_directory=True)
+    (tmp_path / "p/two.py").symlink_to("a/one.py")
+    found = scan_tree(spark, str(tmp_path), failures=True).collect()
+    assert sorted((r.path, r.content, r.error) for r in found) == [("p/a/one.py", "x = 1\n", None), ("p/two.py", "x = 1\n", None)]
+
+
+def test_scan_goes_on_after_an_unreadable_file(spark, tmp_path, monkeypatch):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/one.py").write_text("x = 1\n")
+    monkeypatch.setattr(repo_files, "_listing", lambda spark, uri: spark.createDataFrame(
+        [("p/one.py", 6, None), ("p/gone.py", 5, None), ("p/shut", 0, "no entry")], "path string, size long, error string"))
+    assert [r.path for r in scan_tree(spark, str(tmp_path)).collect()] == ["p/one.py"]
+    found = {r.path: r for r in scan_tree(spark, str(tmp_path), failures=True).collect()}
+    assert (found["p/one.py"].content, found["p/one.py"].error) == ("x = 1\n", None)
+    assert found["p/gone.py"].content is None and "gone.py" in found["p/gone.py"].error
+    assert (found["p/shut"].content, found["p/shut"].error) == (None, "no entry")
+
+
+def test_scan_of_a_missing_tree_fails(spark, tmp_path):
+    with pytest.raises(Exception):
+        scan_tree(spark, str(tmp_path / "missing")).collect()
+
+
 def test_scan_of_nothing(spark, tmp_path):
     assert scan_tree(spark, str(tmp_path)).count() == 0
 
