@@ -1,4 +1,4 @@
-"""Language-model scores by a log-bilinear neural model.
+"""Language-model scores by a log-bilinear neural model of two levels.
 
 Tokens are lower-cased words and one end per text. The most frequent words are
 outputs of their own; all others fall into classes by spelling (first letter,
@@ -6,17 +6,21 @@ letters beyond ASCII, closing punctuation), so that outputs stay few and every
 word has a probability: that of its class in its context, times its smoothed
 share among the class's words. The context is a few previous outputs. Each
 context place has a table of vectors; their sum is compared with the vectors of
-all outputs by one matrix product, and the soft maximum is exact.
+groups of outputs, and with those of the outputs of the target's group. Groups
+hold outputs of like frequency. Both soft maxima are exact, each over some sixty
+scores from one matrix product.
 
 Word counts cover all training texts. The vectors are trained by noise
-contrastive estimation in rounds: every task starts from the same vectors, goes
-through its share of the examples, and the results are averaged by their number
-of examples.
+contrastive estimation on both levels, in rounds that share the training texts
+among them: in each, every task starts from the same vectors and goes through its
+part of the round's texts, and the results are averaged by their number of
+examples. Every training text gives its examples once. What a task goes through
+depends on the input splits, and scores change with it in the third digit or so.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.text import row_wise, word_table
+from codeloom.llm.text import in_pieces, row_wise, word_table
 from codeloom.session import cut_lineage
 
 FIRST, MARKED, CLOSED = 28, 2, 2
@@ -41,14 +45,16 @@ class Settings:
     all other words are joined.
     """
 
-    words: int = 200
+    words: int = 3983  # with the classes and the end 64 groups
     head: int = 60_000
     places: int = 4
     size: int = 24
-    noise: int = 48
-    batch: int = 256
-    rounds: int = 2
-    rate: float = 0.1
+    members: int = 64
+    group_noise: int = 16
+    noise: int = 8
+    batch: int = 512
+    shares: tuple[int, ...] = (1, 3, 12)  # of the training texts, by round
+    rate: float = 0.05
     seed: int = 11
 
     @property
@@ -137,6 +143,7 @@ def learn_vocabulary(counts: DataFrame, texts: int, settings: Settings) -> Vocab
         least = at
     rows = [] if least is None else counts.where(step >= least).select("word", "cls", "n").collect()
     rows = sorted(((-r["n"], r["word"], r["cls"]) for r in rows))
+    settings = replace(settings, words=min(settings.words, len(rows)))
     tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         tokens[r["cls"]], words[r["cls"]] = r["n"], r["v"]
@@ -162,202 +169,231 @@ def windows(codes: np.ndarray, counts: np.ndarray, settings: Settings) -> tuple[
     return line[token], np.stack([line[token - k] for k in range(1, places + 1)], axis=1)
 
 
+class Groups:
+    """Outputs in groups of like frequency, and noise drawn by frequency from the groups and within them.
+
+    An output has a slot: its group times `members`, plus its place there. Slots
+    without an output have no share.
+    """
+
+    drawn = 1 << 12  # prepared draws of each kind
+
+    def __init__(self, shares: np.ndarray, members: int, seed: int = 0):
+        self.members = members
+        self.count = -(-len(shares) // members)
+        self.slot = np.empty(len(shares), np.int32)
+        self.slot[np.argsort(-shares, kind="stable")] = np.arange(len(shares))
+        share = np.zeros(self.count * members)
+        share[self.slot] = shares
+        share = share.reshape(self.count, members)
+        total = share.sum(axis=1)
+        within = share / total[:, None]
+        with np.errstate(divide="ignore"):
+            self.log_groups = np.log(total / total.sum()).astype(np.float32)
+            self.log_members = np.maximum(np.log(within), -1e9).astype(np.float32).ravel()
+        draw = np.random.default_rng(seed)
+        self.group_draws = draw.choice(self.count, self.drawn, p=total / total.sum())
+        self.member_draws = np.stack([g * members + draw.choice(members, self.drawn, p=p) for g, p in enumerate(within)])
+
+
+def _summed(rows: np.ndarray, values: np.ndarray, each: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct `rows` and the sum of the values at each; `each` consecutive rows share a value."""
+    order = np.argsort(rows, kind="stable")
+    line = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    return line[first], np.add.reduceat(values[order // each], first, axis=0)
+
+
 @dataclass
 class Model:
-    """Context tables (place, output, size), output vectors and biases, in single precision."""
+    """Context tables (place, output, size), vectors and biases of groups and slots, in single precision."""
 
+    groups: Groups
     context: np.ndarray
+    heads: np.ndarray
+    head_bias: np.ndarray
     vectors: np.ndarray
     bias: np.ndarray
 
     @classmethod
-    def fresh(cls, vocabulary: Vocabulary) -> Model:
+    def fresh(cls, shares: np.ndarray, settings: Settings) -> Model:
         """Small random vectors over the shares of the outputs."""
-        s = vocabulary.settings
-        draw = np.random.default_rng(s.seed)
-        return cls(draw.normal(0, 0.1, (s.places, s.outputs, s.size)).astype(np.float32),
-                   draw.normal(0, 0.1, (s.outputs, s.size)).astype(np.float32),
-                   np.log(vocabulary.shares()).astype(np.float32))
+        groups = Groups(shares, settings.members, settings.seed)
+        draw = np.random.default_rng(settings.seed)
+
+        def small(*shape):
+            return draw.normal(0, 0.1, shape).astype(np.float32)
+
+        size = settings.size
+        return cls(groups, small(settings.places, len(shares), size), small(groups.count, size), groups.log_groups.copy(),
+                   small(groups.count * groups.members, size), groups.log_members.copy())
+
+    def parts(self) -> list[np.ndarray]:
+        return [self.context, self.heads, self.head_bias, self.vectors, self.bias]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.context.ravel(), self.vectors.ravel(), self.bias])
+        return np.concatenate([p.ravel() for p in self.parts()])
 
-    @classmethod
-    def unflat(cls, values: np.ndarray, settings: Settings) -> Model:
-        values = values.astype(np.float32)
-        a = settings.places * settings.outputs * settings.size
-        b = a + settings.outputs * settings.size
-        return cls(values[:a].reshape(settings.places, settings.outputs, settings.size),
-                   values[a:b].reshape(settings.outputs, settings.size), values[b:])
+    def filled(self, values: np.ndarray) -> Model:
+        """A model of the same shape with other values."""
+        ends = np.cumsum([p.size for p in self.parts()])
+        values = np.split(values.astype(np.float32), ends[:-1])
+        return Model(self.groups, *(v.reshape(p.shape) for v, p in zip(values, self.parts())))
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         """The vector each context expects."""
-        total = self.context[0][contexts[:, 0]]
+        total = self.context[0].take(contexts[:, 0], axis=0)
         for place in range(1, contexts.shape[1]):
-            total = total + self.context[place][contexts[:, place]]
+            total += self.context[place].take(contexts[:, place], axis=0)
         return total
 
-    def log10(self, targets: np.ndarray, contexts: np.ndarray, block: int = 512) -> np.ndarray:
-        """Normalised log10 probability of each target in its context.
-
-        A score is a sum over the places, so its exponential is a product: one
-        matrix product per place gives the scores of all outputs for each output
-        there, and a context's sum is that of the product of a row from each.
-        """
-        scores = self.context @ self.vectors.T
-        scores[0] += self.bias
-        peaks = scores.max(axis=2)
-        powers = np.exp(scores - peaks[:, :, None])
-        ones = np.ones(len(self.bias), np.float32)
+    def log10(self, targets: np.ndarray, contexts: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+        """Normalised log10 probability of each target in its context: of its group, and of it in the group."""
         found = np.empty(len(targets), np.float64)
-        row, other = (np.empty((min(block, max(len(targets), 1)), len(self.bias)), np.float32) for _ in range(2))
+        members = self.groups.members
         for start in range(0, len(targets), block):
-            target, context = targets[start:start + block], contexts[start:start + block]
-            product, factor = row[:len(target)], other[:len(target)]
-            np.take(powers[0], context[:, 0], axis=0, out=product)
-            chosen = scores[0][context[:, 0], target].astype(np.float64) - peaks[0][context[:, 0]]
-            for place in range(1, context.shape[1]):
-                np.take(powers[place], context[:, place], axis=0, out=factor)
-                product *= factor
-                chosen += scores[place][context[:, place], target] - peaks[place][context[:, place]]
-            total = (product @ ones).astype(np.float64)
-            # Places that disagree beyond single precision are added up as scores.
-            faint = np.flatnonzero(total < 1e-25)
-            if len(faint):
-                summed = sum((scores[p] - peaks[p][:, None])[context[faint, p]].astype(np.float64)
-                             for p in range(context.shape[1]))
-                high = summed.max(axis=1)
-                total[faint] = np.exp(summed - high[:, None]).sum(axis=1)
-                chosen[faint] -= high
-            found[start:start + block] = (chosen - np.log(total)) / np.log(10)
+            slots = self.groups.slot[targets[start:start + block]]
+            group = slots // members
+            expected = self.predicted(contexts[start:start + block])
+            logs = _log_share(expected @ self.heads.T + self.head_bias, group)
+            order = np.argsort(group, kind="stable")
+            ends = np.cumsum(np.bincount(group, minlength=self.groups.count))
+            for g in np.unique(group):
+                rows = order[ends[g - 1] if g else 0:ends[g]]
+                own = slice(g * members, (g + 1) * members)
+                scores = expected[rows] @ self.vectors[own].T + self.bias[own]
+                logs[rows] += _log_share(scores, slots[rows] - g * members)
+            found[start:start + block] = logs / np.log(10)
         return found
 
-    def train(self, targets: np.ndarray, contexts: np.ndarray, log_noise: np.ndarray, settings: Settings,
-              rate: float, seed: int) -> None:
-        """One pass of noise contrastive estimation with adaptive steps; noise words are shared by a batch."""
+    def train(self, targets: np.ndarray, contexts: np.ndarray, settings: Settings, rate: float, seed: int,
+              squares: list[np.ndarray] | None = None) -> list[np.ndarray]:
+        """One pass of noise contrastive estimation with adaptive steps, whose memory is returned.
+
+        On the first level the noise groups are shared by a batch, on the second each
+        group has noise members of its own in a batch.
+        """
+        groups, size = self.groups, settings.size
+        members, kinds = groups.members, np.arange(groups.count)[:, None]
         draw = np.random.default_rng(seed)
         order = draw.permutation(len(targets))
-        noise_share = np.exp(log_noise)
-        noise_share /= noise_share.sum()
-        outputs, size = self.vectors.shape
         table = self.context.reshape(-1, size)  # a view: one row per place and output
-        bias = self.bias[:, None]
-        squares = [np.full(x.shape, 1e-2, np.float32) for x in (table, self.vectors, bias)]
-        places = np.arange(settings.places) * outputs
-        offset = (np.log(settings.noise) + log_noise).astype(np.float32)
-        batches = -(-len(order) // settings.batch)
-        for start, noise in zip(range(0, len(order), settings.batch),
-                                draw.choice(outputs, (batches, settings.noise), p=noise_share)):
+        if squares is None:
+            squares = [np.full(x.shape, 1e-2, np.float32)
+                       for x in (table, self.heads, self.head_bias, self.vectors, self.bias)]
+        places = np.arange(settings.places) * self.context.shape[1]
+        group_offset = (np.log(settings.group_noise) + groups.log_groups).astype(np.float32)
+        offset = (np.log(settings.noise) + groups.log_members).astype(np.float32)
+        for start in range(0, len(order), settings.batch):
             some = order[start:start + settings.batch]
-            target, cells = targets[some], contexts[some] + places
-            expected = table.take(cells[:, 0], axis=0)
-            for place in range(1, settings.places):
-                expected += table.take(cells[:, place], axis=0)
-            true, drawn = self.vectors.take(target, axis=0), self.vectors.take(noise, axis=0)
-            real = np.einsum("ij,ij->i", expected, true) + (self.bias[target] - offset[target])
-            fake = expected @ drawn.T + (self.bias[noise] - offset[noise])
-            up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-            down = 1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+            cells = (contexts[some] + places).ravel()
+            slots = groups.slot[targets[some]]
+            group = slots // members
+            expected = self.predicted(contexts[some])
+            # Which group.
+            noise = groups.group_draws[draw.integers(0, groups.drawn, settings.group_noise)]
+            drawn, true = self.heads[noise], self.heads[group]
+            up, down = _pulls(np.einsum("ij,ij->i", expected, true) + self.head_bias[group] - group_offset[group],
+                              expected @ drawn.T + self.head_bias[noise] - group_offset[noise])
             toward = up[:, None] * true - down @ drawn
-            rows = np.concatenate([target, noise])
-            pull = np.concatenate([up[:, None] * expected, -(down.T @ expected)])
-            lift = np.concatenate([up, -down.sum(axis=0)])[:, None]
-            chosen, mark = _marks(rows[:, None], outputs)
-            self._move(self.vectors, squares[1], chosen, mark @ pull, rate, len(some))
-            self._move(bias, squares[2], chosen, mark @ lift, rate, len(some))
-            chosen, mark = _marks(cells, len(table))
-            self._move(table, squares[0], chosen, mark @ toward, rate, len(some))
-
-    @staticmethod
-    def _move(values: np.ndarray, square: np.ndarray, rows: np.ndarray, step: np.ndarray, rate: float, n: int) -> None:
-        """Adaptive step of the named rows, each named once; all others have a step of nought."""
-        step /= np.float32(n)
-        grown = square.take(rows, axis=0)
-        grown += step * step
-        square[rows] = grown
-        step *= np.float32(rate)
-        step /= np.sqrt(grown)
-        step += values.take(rows, axis=0)
-        values[rows] = step
-
-
-def _marks(cells: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rows that `cells` (example, place) names, and a matrix that sums examples by row."""
-    seen = np.zeros(size, bool)
-    seen[cells] = True
-    rows = np.flatnonzero(seen)
-    rank = np.empty(size, np.intp)
-    rank[rows] = np.arange(len(rows))
-    mark = np.zeros((len(rows), len(cells)), np.float32)
-    mark[rank[cells], np.arange(len(cells))[:, None]] = 1
-    return rows, mark
-
-
-def examples(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Targets and contexts of `texts` (text) as numbers in two binary columns, one row per batch."""
-    settings = vocabulary.settings
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes, words, counts = word_table(batch.column("text"))
-        outputs, _ = vocabulary.outputs_of(words)
-        targets, contexts = windows(outputs[codes] if len(codes) else np.empty(0, np.int32), counts, settings)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([targets.astype(np.uint16).tobytes()], pa.binary()),
-             pa.array([contexts.astype(np.uint16).tobytes()], pa.binary())], names=["targets", "contexts"])
-
-    return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        row_wise(cut, limit=4 << 20), "targets binary, contexts binary")
-
-
-def train(stored: DataFrame, vocabulary: Vocabulary) -> Model:
-    """A model from stored `examples`, in rounds of local passes and averaging.
-
-    A task holds one row of examples at a time. The averages are summed by
-    parameter on the executors; the driver gets one number per parameter.
+            rows, step = _summed(np.concatenate([group, noise]), np.concatenate(
+                [np.column_stack([up[:, None] * expected, up]),
+                 -np.column_stack([down.T @ expected, down.sum(axis=0)])]))
+            # Which of its members.
+            own_noise = groups.member_draws[kinds, draw.integers(0, groups.drawn, (groups.count, settings.noise))][group]
+            own_drawn, own_true = self.vectors[own_noise], self.vectors[slots]
+            own_up, own_down = _pulls(
+                np.einsum("ij,ij->i", expected, own_true) + self.bias[slots] - offset[slots],
+                np.einsum("ikj,ij->ik", own_drawn, expected) + self.bias[own_noise] - offset[own_noise])
+            toward += own_up[:, None] * own_true - np.einsum("ik,ikj->ij", own_down, own_drawn)
+            ones = np.concatenate([own_up[:, None], -own_down], axis=1)
+            with_one = np.column_stack([expected, np.ones(len(some), np.float32)])
+            own_rows, own_step = _summed(np.concatenate([slots[:, None], own_noise], axis=1).ravel(),
+                                         (ones[:, :, None] * with_one[:, None, :]).reshape(-1, size + 1))
+            for values, square, at, moved in (
+                    (table, squares[0], *_summed(cells, toward, settings.places)),
+                    (self.heads, squares[1], rows, step[:, :-1]), (self.head_bias, squares[2], rows, step[:, -1]),
+                    (self.vectors, squares[3], own_rows, own_step[:, :-1]), (self.bias, squares[4], own_rows, own_step[:, -1])):
+                grown = square[at] + moved * moved
+                square[at] = grown
+                values[at] += np.float32(rate) * moved / np.sqrt(grown)
+        return squares
+
+
+def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Logarithm of the chosen column's share of a row's exponentials."""
+    scores = scores - scores.max(axis=1, keepdims=True)
+    return (scores[np.arange(len(scores)), chosen] - np.log(np.exp(scores).sum(axis=1))).astype(np.float64)
+
+
+def _pulls(real: np.ndarray, fake: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far true outputs are from being told as true, and noise from being told as noise."""
+    return 1 / (1 + np.exp(np.clip(real, -30, 30))), 1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+
+
+BLOCK = 4096  # parameters in a row of what tasks send
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary) -> Model:
+    """A model from `texts` (text), in rounds of local passes and averaging.
+
+    The rounds have their texts by a hash of the text, each as many as the settings
+    say, the first ones few; together they have all. Tasks send their vectors in
+    blocks, which are added up on the executors; the driver gets one of each.
     """
     settings = vocabulary.settings
-    model = Model.fresh(vocabulary)
-    log_noise = np.log(vocabulary.shares())
-    for round_no in range(settings.rounds):
-        start = model.flat()
-        rate = settings.rate / (1 + round_no)
+    model = Model.fresh(vocabulary.shares(), settings)
+    part = F.pmod(F.xxhash64(F.lit(settings.seed), F.coalesce("text", F.lit(""))), F.lit(sum(settings.shares)))
+    upto = 0
+    for number, share in enumerate(settings.shares):
+        start = model
+        mine = texts.select(F.col("text").cast("string").alias("text")).where((part >= upto) & (part < upto + share))
+        upto += share
+        rate, seed = settings.rate, settings.seed + number
 
         def local(batches):
-            own, seen = Model.unflat(start.copy(), settings), 0
+            own, seen, squares = start.filled(start.flat()), 0, None
             for batch in batches:
-                for targets, contexts in zip(batch.column("targets").to_pylist(), batch.column("contexts").to_pylist()):
-                    target = np.frombuffer(targets, np.uint16).astype(np.int32)
-                    context = np.frombuffer(contexts, np.uint16).astype(np.int32).reshape(-1, settings.places)
-                    own.train(target, context, log_noise, settings, rate, settings.seed + round_no)
-                    seen += len(target)
+                for piece in in_pieces(batch, "text", 4 << 20):
+                    codes, words, counts = word_table(piece.column("text"))
+                    outputs, _ = vocabulary.outputs_of(words)
+                    targets, contexts = windows(outputs[codes] if len(codes) else np.empty(0, np.int32), counts, settings)
+                    squares = own.train(targets, contexts, settings, rate, seed, squares)
+                    seen += len(targets)
+                pa.default_memory_pool().release_unused()
             if seen:
                 values = own.flat().astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(len(values))), pa.array(values), pa.array(np.full(len(values), seen))],
-                    names=["at", "value", "seen"])
-
-        sums = (stored.mapInArrow(local, "at long, value double, seen long").groupBy("at")
-                .agg((F.sum("value") / F.sum("seen")).alias("mean")).collect())
-        if sums:
-            values = np.empty(len(sums))
-            values[[r["at"] for r in sums]] = [r["mean"] for r in sums]
-            model = Model.unflat(values, settings)
+                for at in range(0, len(values), BLOCK):
+                    yield pa.RecordBatch.from_pydict(
+                        {"block": [at // BLOCK], "seen": [seen], "sums": [values[at:at + BLOCK].tobytes()]})
+
+        def added(batches):
+            sums, seen = {}, {}
+            for batch in batches:
+                for block, n, values in zip(*(batch.column(c).to_pylist() for c in ("block", "seen", "sums"))):
+                    sums[block] = sums.get(block, 0) + np.frombuffer(values)
+                    seen[block] = seen.get(block, 0) + n
+            for block, values in sums.items():
+                yield pa.RecordBatch.from_pydict({"block": [block], "seen": [seen[block]], "sums": [values.tobytes()]})
+
+        schema = "block long, seen long, sums binary"
+        means = mine.mapInArrow(local, schema).repartition("block").mapInArrow(added, schema).collect()
+        if means:
+            model = model.filled(np.concatenate([np.frombuffer(r["sums"]) / r["seen"] for r in sorted(means)]))
     return model
 
 
 def partial_scores(docs: DataFrame, held_out: Column, vocabulary: Vocabulary, model: Model) -> DataFrame:
     """What a text's head words, classes and contexts give; the other words with their counts."""
     settings = vocabulary.settings
-    parameters = model.flat()
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = Model.unflat(parameters, settings)
         codes, words, counts = word_table(batch.column("text"))
         outputs, place = vocabulary.outputs_of(words)
         n_texts = len(counts)
         targets, contexts = windows(outputs[codes] if len(codes) else np.empty(0, np.int32), counts, settings)
         owner = np.repeat(np.arange(n_texts), counts + 1)
-        chances = np.bincount(owner, own.log10(targets, contexts), n_texts)
+        chances = np.bincount(owner, model.log10(targets, contexts), n_texts)
         owner = np.repeat(np.arange(n_texts), counts)
         # Per distinct word: smoothed count, share of the class for head words, whether it is in the head.
         seen = place >= 0
@@ -407,7 +443,7 @@ def scores(docs: DataFrame, training: Column, held_out: Column, settings: Settin
     learned = docs.where(training)
     counts = cut_lineage(word_counts(learned), "word_counts")
     vocabulary = learn_vocabulary(counts, learned.count(), settings)
-    model = train(cut_lineage(examples(learned, vocabulary), "examples"), vocabulary)
+    model = train(learned, vocabulary)
     rows = cut_lineage(partial_scores(docs, held_out, vocabulary, model)
                        .withColumn("row", F.monotonically_increasing_id()), "partial_scores")
     return _with_tail(rows, counts, vocabulary)

@@ -273,60 +273,81 @@ def test_a_small_head_changes_nothing_but_the_way(spark):
         assert (a.n_tokens, a.n_known) == (b.n_tokens, b.n_known) and a.base_score == pytest.approx(b.base_score)
 
 
-def test_model_is_normalised():
-    settings = lm.Settings(words=5)
-    counts = np.arange(9, 0, -1)
-    vocabulary = lm.Vocabulary(settings, __import__("pyarrow").array(list("abcdefghi")), counts,
-                               np.ones(lm.CLASSES), np.ones(lm.CLASSES), 3, 100, 50)
-    model = lm.Model.fresh(vocabulary)
-    context = np.full((settings.outputs, settings.places), 3)
-    chances = 10 ** model.log10(np.arange(settings.outputs), context)
-    assert chances.sum() == pytest.approx(1, abs=1e-5)
-
-
-@pytest.mark.parametrize("scale", [1, 60])
-def test_factored_scores_equal_plain_ones(scale):
-    settings = lm.Settings(words=30)
+def model_of(shares, scale=1.0, **more):
+    settings = lm.Settings(words=len(shares) - lm.CLASSES - 1, **more)
+    model = lm.Model.fresh(np.asarray(shares), settings)
     draw = np.random.default_rng(1)
-    model = lm.Model(scale * draw.normal(0, 0.3, (settings.places, settings.outputs, settings.size)).astype(np.float32),
-                     draw.normal(0, 0.3, (settings.outputs, settings.size)).astype(np.float32),
-                     draw.normal(0, 1, settings.outputs).astype(np.float32))
-    targets = draw.integers(0, settings.outputs, 3000)
-    contexts = draw.integers(0, settings.outputs, (3000, settings.places))
-    scores = model.predicted(contexts).astype(np.float64) @ model.vectors.T.astype(np.float64) + model.bias
-    high = scores.max(axis=1)
-    plain = scores[np.arange(3000), targets] - high - np.log(np.exp(scores - high[:, None]).sum(axis=1))
-    assert np.allclose(model.log10(targets, contexts), plain / np.log(10), rtol=1e-4, atol=1e-3)
+    return model.filled(model.flat() + scale * draw.normal(0, 0.3, len(model.flat()))), settings
+
+
+@pytest.mark.parametrize("scale", [0, 1, 30])
+@pytest.mark.parametrize("words", [0, 5, 143])
+def test_both_levels_are_normalised(words, scale):
+    """Over all outputs of a context the chances are one, whether or not the last group is full."""
+    shares = np.arange(1, words + lm.CLASSES + 2) / 100
+    model, settings = model_of(shares, scale)
+    for context in (3, settings.end):
+        chances = 10 ** model.log10(np.arange(settings.outputs), np.full((settings.outputs, settings.places), context))
+        assert chances.sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_scores_equal_plain_ones():
+    model, settings = model_of(np.random.default_rng(3).random(300))
+    draw = np.random.default_rng(1)
+    targets = draw.integers(0, settings.outputs, 2000)
+    contexts = draw.integers(0, settings.outputs, (2000, settings.places))
+    slots = model.groups.slot
+    got = model.log10(targets, contexts, block=700)
+    for i in range(0, 2000, 37):
+        vector = sum(model.context[p, contexts[i, p]].astype(float) for p in range(settings.places))
+        group, member = divmod(int(slots[targets[i]]), settings.members)
+        heads = model.heads @ vector + model.head_bias
+        scores = [model.vectors[slots[o]] @ vector + model.bias[slots[o]]
+                  for o in range(settings.outputs) if slots[o] // settings.members == group]
+        own = model.vectors[slots[targets[i]]] @ vector + model.bias[slots[targets[i]]]
+        plain = heads[group] - np.log(np.exp(heads).sum()) + own - np.log(np.exp(scores).sum())
+        assert got[i] == pytest.approx(plain / np.log(10), abs=1e-4)
 
 
 def test_training_learns_a_pattern():
-    settings = lm.Settings(words=4, batch=64)
-    shares = np.full(settings.outputs, 1.0)
+    shares = np.full(4 + lm.CLASSES + 1, 1.0)
     shares[:4] += 200
-    log_shares = np.log(shares / shares.sum())
-    draw = np.random.default_rng(0)
-    model = lm.Model(draw.normal(0, 0.1, (settings.places, settings.outputs, settings.size)).astype(np.float32),
-                     draw.normal(0, 0.1, (settings.outputs, settings.size)).astype(np.float32),
-                     log_shares.astype(np.float32))
+    settings = lm.Settings(words=4, batch=64)
+    model = lm.Model.fresh(shares / shares.sum(), settings)
     codes = np.tile(np.arange(4), 2000)
     targets, contexts = lm.windows(codes, np.array([len(codes)]), settings)
     before = model.log10(targets, contexts).mean()
+    squares = None
     for seed in range(3):
-        model.train(targets, contexts, log_shares, settings, 0.1, seed)
+        squares = model.train(targets, contexts, settings, 0.05, seed, squares)
     assert model.log10(targets, contexts).mean() > before + 0.3
 
 
-def test_all_training_texts_give_examples(spark, monkeypatch):
-    seen = []
+def test_sums_by_row():
+    draw = np.random.default_rng(2)
+    rows, values = draw.integers(0, 9, 40), draw.random((20, 3))
+    found, sums = lm._summed(rows, values, each=2)
+    assert found.tolist() == sorted(set(rows.tolist()))
+    for row, total in zip(found, sums):
+        assert np.allclose(total, values[np.flatnonzero(rows == row) // 2].sum(axis=0))
 
-    def counted(stored, vocabulary):
-        seen.extend(len(r.targets) // 2 for r in stored.collect())
-        return lm.Model.fresh(vocabulary)
 
-    monkeypatch.setattr(lm, "train", counted)
-    docs = spark.createDataFrame([(i, "a b c") for i in range(40)], "doc_id long, text string")
-    lm.scores(docs, F.col("doc_id") < 30, F.lit(False)).collect()
-    assert sum(seen) == 30 * 4
+def test_all_training_texts_give_examples_once(spark):
+    """Vectors are averaged by examples; the rounds share the texts among them."""
+    texts = spark.createDataFrame([(f"a b c {i}",) for i in range(40)], "text string").repartition(3)
+    counts = lm.word_counts(texts).cache()
+    vocabulary = lm.learn_vocabulary(counts, 40, lm.Settings())
+    assert vocabulary.settings.words == 43
+    seen = []
+    part = F.pmod(F.xxhash64(F.lit(vocabulary.settings.seed), "text"), F.lit(sum(vocabulary.settings.shares)))
+    upto = 0
+    for share in vocabulary.settings.shares:
+        seen.append(texts.where((part >= upto) & (part < upto + share)).count())
+        upto += share
+    assert sum(seen) == 40 and seen[-1] > seen[0]
+    model = lm.train(texts, vocabulary)
+    fresh = lm.Model.fresh(vocabulary.shares(), vocabulary.settings)
+    assert np.isfinite(model.flat()).all() and np.abs(model.context - fresh.context).max() > 0.01
 
 
 def test_windows_stay_inside_their_text():
