@@ -57,7 +57,9 @@ def perspectives(turns: DataFrame) -> DataFrame:
               .select("conv_id", F.col("name").alias("perspective")))
     role = (F.when(F.col("name") == SYSTEM, SYSTEM)
             .when(F.col("name") == F.col("perspective"), "assistant").otherwise("user"))
-    seen = (stored.join(people, "conv_id").withColumn("role", role)
+    # Joined by range: a conversation alone as the key would bring all of a long one into one task.
+    viewed = stored.select("range_id", "conv_id").distinct().join(people, "conv_id")
+    seen = (stored.join(viewed, ["range_id", "conv_id"]).withColumn("role", role)
             .withColumn("head", header(F.col("role"), F.col("name")))
             .withColumn("segment", F.concat("head", "content", F.lit(TURN_END)))
             .withColumn("size", F.length("segment").cast("long")))

@@ -50,11 +50,10 @@ class Settings:
     places: int = 4
     size: int = 24
     members: int = 64
-    group_noise: int = 16
-    noise: int = 8
-    batch: int = 512
+    noise: int = 16
+    batch: int = 1024
     shares: tuple[int, ...] = (1, 3, 12)  # of the training texts, by round
-    rate: float = 0.05
+    rate: float = 0.07
     seed: int = 11
 
     @property
@@ -196,12 +195,22 @@ class Groups:
         self.member_draws = np.stack([g * members + draw.choice(members, self.drawn, p=p) for g, p in enumerate(within)])
 
 
-def _summed(rows: np.ndarray, values: np.ndarray, each: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct `rows` and the sum of the values at each; `each` consecutive rows share a value."""
-    order = np.argsort(rows, kind="stable")
-    line = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-    return line[first], np.add.reduceat(values[order // each], first, axis=0)
+def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct `rows`, all below `size`, and the sums of the values at each; `values` repeat as often as rows are longer."""
+    seen = np.zeros(size, bool)
+    seen[rows] = True
+    found = np.flatnonzero(seen)
+    rank = np.empty(size, np.intp)
+    rank[found] = np.arange(len(found))
+    at, columns = rank[rows], np.tile(values.T, len(rows) // max(len(values), 1))
+    return found, np.stack([np.bincount(at, column, len(found)) for column in columns], axis=1).astype(np.float32)
+
+
+def _step(values: np.ndarray, square: np.ndarray, moved: np.ndarray, rate: float, rows=slice(None)) -> None:
+    """Adaptive step of the named rows; where nothing moved, nothing changes."""
+    grown = square[rows] + moved * moved
+    square[rows] = grown
+    values[rows] += np.float32(rate) * moved / np.sqrt(grown)
 
 
 @dataclass
@@ -247,7 +256,7 @@ class Model:
             total += self.context[place].take(contexts[:, place], axis=0)
         return total
 
-    def log10(self, targets: np.ndarray, contexts: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    def log10(self, targets: np.ndarray, contexts: np.ndarray, block: int = 1 << 16) -> np.ndarray:
         """Normalised log10 probability of each target in its context: of its group, and of it in the group."""
         found = np.empty(len(targets), np.float64)
         members = self.groups.members
@@ -270,60 +279,67 @@ class Model:
               squares: list[np.ndarray] | None = None) -> list[np.ndarray]:
         """One pass of noise contrastive estimation with adaptive steps, whose memory is returned.
 
-        On the first level the noise groups are shared by a batch, on the second each
-        group has noise members of its own in a batch.
+        A batch holds targets of one group, so that all but the context tables are
+        small dense matrices; batches come in random order. Noise is shared by a batch.
         """
-        groups, size = self.groups, settings.size
-        members, kinds = groups.members, np.arange(groups.count)[:, None]
+        groups, size, members = self.groups, settings.size, self.groups.members
         draw = np.random.default_rng(seed)
-        order = draw.permutation(len(targets))
         table = self.context.reshape(-1, size)  # a view: one row per place and output
         if squares is None:
             squares = [np.full(x.shape, 1e-2, np.float32)
                        for x in (table, self.heads, self.head_bias, self.vectors, self.bias)]
         places = np.arange(settings.places) * self.context.shape[1]
-        group_offset = (np.log(settings.group_noise) + groups.log_groups).astype(np.float32)
-        offset = (np.log(settings.noise) + groups.log_members).astype(np.float32)
-        for start in range(0, len(order), settings.batch):
-            some = order[start:start + settings.batch]
-            cells = (contexts[some] + places).ravel()
-            slots = groups.slot[targets[some]]
-            group = slots // members
+        head_offset = np.float32(np.log(settings.noise)) + groups.log_groups
+        offset = np.float32(np.log(settings.noise)) + groups.log_members
+        slots = groups.slot[targets]
+        order = draw.permutation(len(targets))
+        order = order[np.argsort(slots[order] // members, kind="stable")]
+        ends = np.cumsum(np.bincount(slots // members, minlength=groups.count))
+        batches = [(g, at, min(at + settings.batch, end)) for g, end in enumerate(ends)
+                   for at in range(ends[g - 1] if g else 0, end, settings.batch)]
+        for k in draw.permutation(len(batches)):
+            group, start, stop = batches[k]
+            some = order[start:stop]
+            own = slice(group * members, (group + 1) * members)
+            cells = (contexts[some] + places).T.ravel()
             expected = self.predicted(contexts[some])
+            with_one = np.column_stack([expected, np.ones(len(some), np.float32)])
             # Which group.
-            noise = groups.group_draws[draw.integers(0, groups.drawn, settings.group_noise)]
-            drawn, true = self.heads[noise], self.heads[group]
-            up, down = _pulls(np.einsum("ij,ij->i", expected, true) + self.head_bias[group] - group_offset[group],
-                              expected @ drawn.T + self.head_bias[noise] - group_offset[noise])
-            toward = up[:, None] * true - down @ drawn
-            rows, step = _summed(np.concatenate([group, noise]), np.concatenate(
-                [np.column_stack([up[:, None] * expected, up]),
-                 -np.column_stack([down.T @ expected, down.sum(axis=0)])]))
+            noise = groups.group_draws[draw.integers(0, groups.drawn, settings.noise)]
+            drawn = self.heads[noise]
+            up, down = _pulls(expected @ self.heads[group] + (self.head_bias[group] - head_offset[group]),
+                              expected @ drawn.T + (self.head_bias[noise] - head_offset[noise]))
+            toward = up[:, None] * self.heads[group] - down @ drawn
+            moved = np.zeros((groups.count, size + 1), np.float32)
+            np.subtract.at(moved, noise, down.T @ with_one)
+            moved[group] += up @ with_one
+            _step(self.heads, squares[1], moved[:, :-1], rate)
+            _step(self.head_bias, squares[2], moved[:, -1], rate)
             # Which of its members.
-            own_noise = groups.member_draws[kinds, draw.integers(0, groups.drawn, (groups.count, settings.noise))][group]
-            own_drawn, own_true = self.vectors[own_noise], self.vectors[slots]
-            own_up, own_down = _pulls(
-                np.einsum("ij,ij->i", expected, own_true) + self.bias[slots] - offset[slots],
-                np.einsum("ikj,ij->ik", own_drawn, expected) + self.bias[own_noise] - offset[own_noise])
-            toward += own_up[:, None] * own_true - np.einsum("ik,ikj->ij", own_down, own_drawn)
-            ones = np.concatenate([own_up[:, None], -own_down], axis=1)
-            with_one = np.column_stack([expected, np.ones(len(some), np.float32)])
-            own_rows, own_step = _summed(np.concatenate([slots[:, None], own_noise], axis=1).ravel(),
-                                         (ones[:, :, None] * with_one[:, None, :]).reshape(-1, size + 1))
-            for values, square, at, moved in (
-                    (table, squares[0], *_summed(cells, toward, settings.places)),
-                    (self.heads, squares[1], rows, step[:, :-1]), (self.head_bias, squares[2], rows, step[:, -1]),
-                    (self.vectors, squares[3], own_rows, own_step[:, :-1]), (self.bias, squares[4], own_rows, own_step[:, -1])):
-                grown = square[at] + moved * moved
-                square[at] = grown
-                values[at] += np.float32(rate) * moved / np.sqrt(grown)
+            vectors, bias, away = self.vectors[own], self.bias[own], offset[own]
+            member = slots[some] - group * members
+            noise = groups.member_draws[group, draw.integers(0, groups.drawn, settings.noise)] - group * members
+            true, drawn = vectors[member], vectors[noise]
+            up, down = _pulls(np.einsum("ij,ij->i", expected, true) + (bias - away)[member],
+                              expected @ drawn.T + (bias - away)[noise])
+            toward += up[:, None] * true - down @ drawn
+            pulled = np.zeros((members, len(some)), np.float32)
+            pulled[member, np.arange(len(some))] = up
+            moved = pulled @ with_one
+            np.subtract.at(moved, noise, down.T @ with_one)
+            _step(vectors, squares[3][own], moved[:, :-1], rate)
+            _step(bias, squares[4][own], moved[:, -1], rate)
+            rows, moved = _summed(cells, toward, len(table))
+            _step(table, squares[0], moved, rate, rows)
         return squares
 
 
 def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Logarithm of the chosen column's share of a row's exponentials."""
-    scores = scores - scores.max(axis=1, keepdims=True)
-    return (scores[np.arange(len(scores)), chosen] - np.log(np.exp(scores).sum(axis=1))).astype(np.float64)
+    """Logarithm of the chosen column's share of a row's exponentials; `scores` are overwritten."""
+    scores -= scores.max(axis=1, keepdims=True)
+    own = scores[np.arange(len(scores)), chosen]
+    np.exp(scores, out=scores)
+    return (own - np.log(scores.sum(axis=1))).astype(np.float64)
 
 
 def _pulls(real: np.ndarray, fake: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -244,6 +244,26 @@ def test_a_long_dialogue_is_cut_over_ranges(spark):
         assert all(a.end == b.start and a.end - a.start == len(a.segment) for a, b in zip(own, own[1:]))
 
 
+def test_a_long_conversation_is_dealt_by_range(spark):
+    """Without broadcasts, turns meet their participants by range, so one conversation fills many tasks."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(1, t, f"p{t % 3}", f"t{t}") for t in range(6000)] + [(2, 0, "a", "x")]
+        turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+        views = chat.perspectives(turns)
+        plan = views._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(range_id" in plan
+        whole = views.withColumn("task", F.spark_partition_id()).where("conv_id = 1")
+        assert whole.select("task").distinct().count() > 1
+        got = whole.where("perspective = 'p1'").orderBy("position").select("position", "turn", "start", "end").collect()
+        assert [(r.position, r.turn) for r in got] == [(t, t) for t in range(6000)]
+        assert all(a["end"] == b["start"] for a, b in zip(got, got[1:]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 # language model
 
 def test_unigram_scores_equal_plain_ones(spark):
@@ -326,10 +346,10 @@ def test_training_learns_a_pattern():
 def test_sums_by_row():
     draw = np.random.default_rng(2)
     rows, values = draw.integers(0, 9, 40), draw.random((20, 3))
-    found, sums = lm._summed(rows, values, each=2)
+    found, sums = lm._summed(rows, values, 9)
     assert found.tolist() == sorted(set(rows.tolist()))
     for row, total in zip(found, sums):
-        assert np.allclose(total, values[np.flatnonzero(rows == row) // 2].sum(axis=0))
+        assert np.allclose(total, values[np.flatnonzero(rows == row) % 20].sum(axis=0))
 
 
 def test_all_training_texts_give_examples_once(spark):
