@@ -246,6 +246,38 @@ def rate_limited(runs: DataFrame, key: str, limit: int = settings.RUNS_PER_MINUT
     )
 
 
+def paced(runs: DataFrame, key: str, limit: int, per_seconds: int = 60, burst: int = 1, tie: str = "event_id") -> DataFrame:
+    """When each run of a key may start if starts come at a rate of `limit` per `per_seconds`: key, tie, t, start.
+
+    Runs wait, in order of time, then `tie`; none is refused. Up to `burst` of them
+    may start at once after a pause. Times are whole microseconds, a start is rounded
+    up. In units of 1 / `limit` microseconds, the k-th run of a key is scheduled at
+    the highest of its own time and, for every run j before it, that one's time plus
+    k - j periods: a running maximum of time less periods. Maxima and counts of the
+    ranges of a key are combined over its ranges, so a busy key is spread over several.
+    """
+    period = per_seconds * MICROS
+    if limit < 1 or burst < 1 or limit > 5000:
+        raise ValueError("a rate of 1 to 5000 and a burst of at least 1")
+    timed = runs.select(key, tie, micros_of(F.col("ts")).alias("t"))
+    ranged = cut_lineage(timed.repartitionByRange(key, "t", tie).withColumn("range_id", F.spark_partition_id()), "paced")
+    inside = Window.partitionBy("range_id", key).orderBy("t", tie)
+    local = ranged.withColumn("rn", F.row_number().over(inside).cast("long")).withColumn(
+        "ahead", F.col("t") * limit - F.col("rn") * period)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = local.withColumn("most", F.max("ahead").over(upto))
+    before = Window.partitionBy(key).orderBy("range_id").rowsBetween(Window.unboundedPreceding, -1)
+    sums = local.groupBy(key, "range_id").agg(F.count("*").alias("n"), F.max("ahead").alias("most_here"))
+    sums = sums.withColumn("rows_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    sums = sums.withColumn("most_before", F.max(F.col("most_here") - F.col("rows_before") * period).over(before)).select(
+        key, "range_id", "rows_before", "most_before")
+    place = (F.col("rn") + F.col("rows_before")) * period
+    highest = F.greatest(F.col("most") - F.col("rows_before") * period, F.col("most_before"))
+    due = F.greatest(F.col("t") * limit, place + highest - (burst - 1) * period)
+    return local.join(sums, [key, "range_id"]).withColumn("due", due).select(
+        key, tie, "t", F.expr(f"(due + {limit - 1}) div {limit}").alias("start"))
+
+
 def key_heat(accesses: DataFrame, bucket_days: int = 1) -> DataFrame:
     """Rank of keys by the accesses a linear trend forecasts for the next bucket.
 

@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 
 EVICT_MEMORY = 100_000
 BUDGET_BYTES = 50_000
+PACE, PACE_SECONDS = 7, 3600 * 24  # runs a day, below what comes in at busy times
 RATE_LIMIT, RATE_WINDOW = 2, "hour"
 DROPPED_PROJECTS = ["src3", "src7"]
 TOP_KEYS = 10
@@ -436,6 +437,13 @@ def rate_limited(spark, folder):
     return access.rate_limited(runs, "task_name", RATE_LIMIT, RATE_WINDOW).select("event_id", "task_name", "rn")
 
 
+@query
+def paced_runs(spark, folder):
+    runs = derived.task_attempts(spark, folder).select("event_id", "task_name", F.col("started").alias("ts"))
+    return access.paced(runs, "task_name", PACE, PACE_SECONDS).select(
+        "event_id", "task_name", (F.col("start") - F.col("t")).alias("waited"))
+
+
 @query
 def key_heat(spark, folder):
     return access.key_heat(derived.accesses(spark, folder))

@@ -660,6 +660,16 @@ ORACLE = {
     "rate_limited": f"WITH {EVENTS} SELECT event_id, task_name, rn FROM (SELECT *, row_number() OVER ("
                     f"PARTITION BY task_name, date_trunc('{catalog.RATE_WINDOW}', started) ORDER BY started, event_id) "
                     f"AS rn FROM att) WHERE rn <= {catalog.RATE_LIMIT}",
+    "paced_runs": f"""WITH RECURSIVE {EVENTS},
+      runs AS (SELECT event_id, task_name, epoch_us(started) AS t,
+                      row_number() OVER (PARTITION BY task_name ORDER BY started, event_id) AS rn FROM att),
+      walk AS (
+        SELECT event_id, task_name, t, rn, t * {catalog.PACE} AS due FROM runs WHERE rn = 1
+        UNION ALL
+        SELECT r.event_id, r.task_name, r.t, r.rn,
+               greatest(r.t * {catalog.PACE}, w.due + {catalog.PACE_SECONDS * 1_000_000}::BIGINT) AS due
+        FROM walk w JOIN runs r ON r.task_name = w.task_name AND r.rn = w.rn + 1)
+    SELECT event_id, task_name, (due + {catalog.PACE} - 1) // {catalog.PACE} - t AS waited FROM walk""",
     "key_heat": f"""WITH {EVENTS},
       b AS (SELECT key, epoch_us(ts) // 86400000000 AS x, count(*) AS y FROM acc GROUP BY ALL),
       s AS (SELECT key, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy, sum(x * x)::BIGINT AS sxx,

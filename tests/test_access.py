@@ -201,6 +201,41 @@ def test_rate_limit_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
+def plain_starts(times, limit, per, burst):
+    """Starts of one key's sorted times by going through them, in fractions of microseconds."""
+    from fractions import Fraction
+    period, ahead, found = Fraction(per * 1_000_000, limit), None, []
+    for t in times:
+        scheduled = t if ahead is None else max(t, ahead)
+        found.append(-(-max(t, scheduled - (burst - 1) * period) // 1))
+        ahead = scheduled + period
+    return found
+
+
+@pytest.mark.parametrize("ranges", [1, 20])
+@pytest.mark.parametrize("limit,per,burst", [(100, 60, 1), (7, 60, 1), (3, 1, 5), (1, 30, 2)])
+def test_paced_starts_equal_a_loop(spark, ranges, limit, per, burst):
+    rows, df = random_log(spark)
+    with_ranges(spark, ranges)
+    try:
+        got = access.paced(df, "key", limit, per, burst).collect()
+    finally:
+        with_ranges(spark, None)
+    by_key = {}
+    for r in sorted(got, key=lambda r: (r["t"], r["event_id"])):
+        by_key.setdefault(r["key"], []).append((r["t"], r["start"]))
+    assert sum(map(len, by_key.values())) == len(rows)
+    for pairs in by_key.values():
+        assert [s for _, s in pairs] == plain_starts([t for t, _ in pairs], limit, per, burst)
+
+
+def test_a_rate_lets_no_burst_through_at_the_edge_of_a_minute(spark):
+    df = log(spark, [("a", 59 + i / 1000, 1) for i in range(100)] + [("a", 61 + i / 1000, 1) for i in range(100)])
+    starts = sorted(r["start"] for r in access.paced(df, "key", 100).collect())
+    assert all(b - a >= 600_000 for a, b in zip(starts, starts[1:]))
+    assert max(sum(s <= t < s + 60_000_000 for t in starts) for s in starts) == 100
+
+
 def test_heat(spark):
     day = 86_400
     rows = [("up", d * day, 1) for d in range(4) for _ in range(d + 1)]
