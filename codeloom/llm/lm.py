@@ -264,14 +264,21 @@ class Model:
             slots = self.groups.slot[targets[start:start + block]]
             group = slots // members
             expected = self.predicted(contexts[start:start + block])
-            logs = _log_share(expected @ self.heads.T + self.head_bias, group)
+            logs = np.empty(len(group))
+            for at in range(0, len(group), 4096):  # small enough for the processor's cache
+                some = slice(at, at + 4096)
+                scores = expected[some] @ self.heads.T
+                scores += self.head_bias
+                logs[some] = _log_share(scores, group[some])
             order = np.argsort(group, kind="stable")
             ends = np.cumsum(np.bincount(group, minlength=self.groups.count))
             for g in np.unique(group):
-                rows = order[ends[g - 1] if g else 0:ends[g]]
                 own = slice(g * members, (g + 1) * members)
-                scores = expected[rows] @ self.vectors[own].T + self.bias[own]
-                logs[rows] += _log_share(scores, slots[rows] - g * members)
+                for at in range(ends[g - 1] if g else 0, ends[g], 4096):
+                    rows = order[at:min(at + 4096, ends[g])]
+                    scores = expected[rows] @ self.vectors[own].T
+                    scores += self.bias[own]
+                    logs[rows] += _log_share(scores, slots[rows] - g * members)
             found[start:start + block] = logs / np.log(10)
         return found
 
@@ -336,10 +343,15 @@ class Model:
 
 def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Logarithm of the chosen column's share of a row's exponentials; `scores` are overwritten."""
-    scores -= scores.max(axis=1, keepdims=True)
-    own = scores[np.arange(len(scores)), chosen]
+    own = scores[np.arange(len(scores)), chosen].astype(np.float64)
+    # Most rows fit single precision as they are; only the others are shifted by their maximum.
+    high = scores.max(axis=1)
+    shifted = np.flatnonzero((high > 60) | (high < -60))
+    if len(shifted):
+        scores[shifted] -= high[shifted, None]
+        own[shifted] -= high[shifted]
     np.exp(scores, out=scores)
-    return (own - np.log(scores.sum(axis=1))).astype(np.float64)
+    return own - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
 
 def _pulls(real: np.ndarray, fake: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
