@@ -15,7 +15,7 @@ from codeloom.operators import access, duplicates, entities, matching, metrics,
 from codeloom.operators import files as file_ops
 from codeloom.plans import report
 from codeloom.session import cut_lineage, fresh_dir
-from codeloom.sources import derived
+from codeloom.sources import derived, sinks, tree_source
 from codeloom.sources.tables import table
 from codeloom.streaming import streams
 
@@ -28,6 +28,7 @@ PACE, PACE_SECONDS = 7, 3600 * 24  # runs a day, below what comes in at busy tim
 RATE_LIMIT, RATE_WINDOW = 2, "hour"
 DROPPED_PROJECTS = ["src3", "src7"]
 TOP_KEYS = 10
+TREE_BYTES = 4000
 LIVE_SECONDS = 3 * 86_400
 FOCUS = ["src/", "docs/"]
 COHORTS = [
@@ -47,6 +48,18 @@ def files_scan(spark, folder):
     return derived.text_files(spark, folder).select("project", "path", "ext", "size", F.md5("content").alias("body"))
 
 
+@query
+def tree_scan(spark, folder):
+    """The Python files put down as a tree of files, and what a scan of it with pushed comparisons finds."""
+    root = fresh_dir(spark, "tree")
+    files = derived.python_files(spark, folder)
+    sinks.write_tree(files.select(F.concat_ws("/", "project", "path").alias("path"), "content"), root)
+    tree_source.register(spark)
+    found = spark.read.format(tree_source.NAME).load(root).filter(
+        (F.col("ext") == ".py") & (F.col("size") < TREE_BYTES) & ~F.col("project").isin(DROPPED_PROJECTS))
+    return found.select("project", "path", "ext", "size", F.md5("content").alias("body"), "error")
+
+
 @query
 def eligible_files(spark, folder):
     kept = file_ops.eligible_files(derived.text_files(spark, folder))

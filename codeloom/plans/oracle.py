@@ -497,6 +497,9 @@ ORACLE = {
     "files_scan": f"WITH {TEXT_FILES} SELECT project, path, ext, size, md5(content) AS body FROM text_files",
     "eligible_files": f"WITH {TEXT_FILES}, {ELIGIBLE} SELECT project, path, ext, size, "
                       "ext NOT IN ('', '.') AS has_extension FROM eligible",
+    "tree_scan": f"WITH {PY_FILES} SELECT project, project || '/' || path AS path, '.py' AS ext, "
+                 "strlen(content) AS size, md5(content) AS body, NULL::VARCHAR AS error FROM py_files "
+                 "WHERE strlen(content) < 4000 AND project NOT IN ('src3', 'src7')",
     "ignored_files": f"WITH {TEXT_FILES} SELECT project, path FROM text_files WHERE path LIKE '%.min.js' "
                      "OR path LIKE 'vendor/%' OR path LIKE '%/vendor/%' OR "
                      + " OR ".join(f"contains('/' || path, '/{d}/')" for d in settings.SKIPPED_DIRECTORIES),

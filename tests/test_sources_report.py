@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from codeloom import session
 from codeloom.operators import files as file_ops
 from codeloom.plans import report
-from codeloom.sources import repo_files, sinks
+from codeloom.sources import repo_files, sinks, tree_source
 from codeloom.sources.repo_files import scan_tree
 
 
@@ -150,3 +150,89 @@ def test_only_local_sessions_get_a_folder_of_their_own():
     assert session.shared_dir(local) == session.shared_dir(local)
     with pytest.raises(ValueError):
         session.shared_dir(unset("spark://host:7077"))
+
+
+def opened(spark, root, **options):
+    tree_source.register(spark)
+    return spark.read.format(tree_source.NAME).options(**options).load(root)
+
+
+@pytest.mark.parametrize("size", [1, 70_000, 1 << 30])
+def test_the_data_source_gives_what_the_scan_gives(spark, tree, size):
+    """Whatever the stretches, down to one file each."""
+    expected = scan_tree(spark, tree, failures=True)
+    got = opened(spark, tree, partitionBytes=size)
+    assert got.rdd.getNumPartitions() == (7 if size == 1 else 1 if size == 1 << 30 else 7)
+    columns = ["project", "path", "ext", "size", "content", "error"]
+    assert sorted(got.collect()) == sorted(expected.select(columns).collect(), key=lambda r: tuple(r)[:2])
+
+
+def test_the_data_source_applies_pushed_comparisons_before_it_opens_a_file(spark, tree, capsys):
+    import os
+
+    os.chmod(f"{tree}/two", 0)
+    os.chmod(f"{tree}/one/a b+c.js", 0)
+    found = opened(spark, tree).filter("ext IN ('.py', '.x') AND size > 0 AND size <= 33 AND project = 'one'")
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(project,one)" in plan and "LessThanOrEqual(size,33)" in plan and "In(ext" in plan
+    assert [(r.path, r.error) for r in found.collect()] == [("one/src/main.py", None)]
+    os.chmod(f"{tree}/two", 0o755)
+    # What cannot be pushed is left to Spark.
+    rest = opened(spark, tree).filter("length(content) = 5 AND (ext = '.py' OR size = 5) AND ext <> '.js'")
+    assert [r.path for r in rest.collect()] == ["top.py"]
+
+
+def test_the_data_source_survives_cycles_and_what_is_gone(spark, tmp_path):
+    (tmp_path / "p/a").mkdir(parents=True)
+    (tmp_path / "p/a/one.py").write_text("x = 1\n")
+    (tmp_path / "p/a/loop").symlink_to("..", target_is_directory=True)
+    (tmp_path / "p/nowhere.py").symlink_to("gone")
+    rows = {r.path: r for r in opened(spark, str(tmp_path)).collect()}
+    assert rows["p/a/one.py"].content == "x = 1\n" and len([p for p in rows if "loop" in p]) == 0
+    assert all(r.error for p, r in rows.items() if p == "p/nowhere.py")
+    (tmp_path / "empty").mkdir()
+    assert opened(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_every_stretch_lists_its_own_part_only(tmp_path):
+    import random
+
+    rng = random.Random(5)
+    for k in range(120):
+        at = tmp_path.joinpath(*[rng.choice(["a", "a.b", "a-b", "b", "é"]) for _ in range(rng.randint(0, 4))], f"f{k}.py")
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text("x" * rng.randint(0, 300))
+    walker = tree_source.Tree({"path": str(tmp_path), "partitionbytes": str(tree_source.OPEN_BYTES * 5)})
+    wanted = tree_source.Wanted()
+    whole = [f.path for f in walker.walk(wanted, tree_source.Stretch())]
+    parts = walker.stretches(wanted, tree_source.Stretch())
+    assert len(whole) == 120 and len(parts) >= 24
+    assert [f.path for part in parts for f in walker.walk(wanted, part)] == whole
+
+
+def test_the_data_source_as_a_stream_gives_each_file_once(spark, tmp_path):
+    import os
+
+    root, out, check = tmp_path / "tree", str(tmp_path / "out"), str(tmp_path / "check")
+    tree_source.register(spark)
+
+    def put(name, text, changed):
+        (root / "p").mkdir(parents=True, exist_ok=True)
+        (root / "p" / name).write_text(text)
+        os.utime(root / "p" / name, (changed, changed))
+
+    def run():
+        stream = spark.readStream.format(tree_source.NAME).option("settleSeconds", 0).load(str(root))
+        stream.filter("ext = '.py'").writeStream.format("parquet").option("checkpointLocation", check).trigger(
+            availableNow=True).start(out).awaitTermination()
+        return sorted((r.path, r.content) for r in spark.read.parquet(out).collect())
+
+    put("a.py", "1", 1000)
+    put("b.txt", "2", 1001)
+    assert run() == [("p/a.py", "1")]
+    put("c.py", "3", 1002)
+    assert run() == run() == [("p/a.py", "1"), ("p/c.py", "3")]
+    put("a.py", "4", 1003)
+    os.remove(root / "p/c.py")
+    assert run() == [("p/a.py", "1"), ("p/a.py", "4"), ("p/c.py", "3")]
