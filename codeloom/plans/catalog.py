@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom import settings
 from codeloom.functions import keys, paths, text
 from codeloom.functions.python_source import parses
-from codeloom.operators import access, duplicates, entities, matching, metrics, replies, smells
+from codeloom.operators import access, duplicates, entities, ignore_rules, matching, metrics, replies, smells
 from codeloom.operators import files as file_ops
 from codeloom.plans import report
 from codeloom.session import cut_lineage, fresh_dir
@@ -71,6 +71,11 @@ def ignored_files(spark, folder):
     return file_ops.ignored_files(derived.text_files(spark, folder)).select("project", "path")
 
 
+@query
+def ignored_by_rules(spark, folder):
+    return ignore_rules.ignored_by_rules(derived.text_files(spark, folder), derived.rule_files(spark, folder))
+
+
 @query
 def focused_files(spark, folder):
     return file_ops.focused_files(derived.text_files(spark, folder), FOCUS).select("project", "path")

@@ -500,6 +500,15 @@ ORACLE = {
     "tree_scan": f"WITH {PY_FILES} SELECT project, project || '/' || path AS path, '.py' AS ext, "
                  "strlen(content) AS size, md5(content) AS body, NULL::VARCHAR AS error FROM py_files "
                  "WHERE strlen(content) < 4000 AND project NOT IN ('src3', 'src7')",
+    "ignored_by_rules": f"WITH {TEXT_FILES} SELECT DISTINCT project, path FROM (SELECT project, path, "
+                        "split_part(path, '/', 1) AS top, split_part(path, '/', -1) AS name, "
+                        "split_part(path, '/', -2) AS d FROM text_files) WHERE CASE "
+                        "WHEN top IN ('vendor', 'node_modules') THEN true "
+                        "WHEN top = 'docs' AND d NOT LIKE 'd1%' OR top = 'lib' AND d LIKE 'd%5' THEN true "
+                        "WHEN top = 'src' THEN name LIKE '%.js' AND name <> 'app.min.js' OR name LIKE '%.txt' "
+                        "WHEN top = 'lib' THEN name IN ('README.md', 'app.min.js') "
+                        "WHEN top = '.github' THEN name = 'app.min.js' "
+                        "ELSE name = 'app.min.js' OR name LIKE '%.txt' END",
     "ignored_files": f"WITH {TEXT_FILES} SELECT project, path FROM text_files WHERE path LIKE '%.min.js' "
                      "OR path LIKE 'vendor/%' OR path LIKE '%/vendor/%' OR "
                      + " OR ".join(f"contains('/' || path, '/{d}/')" for d in settings.SKIPPED_DIRECTORIES),

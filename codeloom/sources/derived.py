@@ -20,6 +20,12 @@ NAMES = {0: "README.md", 1: "setup.py", 2: "Dockerfile", 3: "app.min.js", 4: "re
          5: ".env"}
 EXTENSIONS = [".py", ".js", ".ts", ".java", ".md", ".txt", ".rst", ".ino", ".png", ""]
 METHOD_EVERY = 24
+RULE_FILES = {
+    "": "# made\n*.min.js\nvendor/\n/docs/*\n!/docs/d1*\n*.txt\n!/.github/**/*.txt\n",
+    "src": "*.js\n!app.min.js\n",
+    "lib": "!*.txt\n**/README.md\nd*5/\n",
+    "node_modules": "*\n!README.md\n",
+}
 
 
 def _pick(number: Column, entries: list[str]) -> Column:
@@ -45,6 +51,13 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rule_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Ignore rules for every project that `documents` names."""
+    made = F.array(*[F.struct(F.lit(b).alias("base"), F.lit(t).alias("rules")) for b, t in RULE_FILES.items()])
+    projects = table(spark, folder, "documents").select(F.col("source").alias("project")).distinct()
+    return projects.select("project", F.explode(made).alias("r")).select("project", "r.*")
+
+
 def _statement(piece: Column, k: Column) -> Column:
     """Lines of Python for the k-th sentence of a document."""
     first = F.substring_index(piece, " ", 1)
