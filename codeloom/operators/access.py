@@ -309,3 +309,46 @@ def popular_keys(accesses: DataFrame, k: int) -> DataFrame:
     """The k most accessed keys; a report of fixed length."""
     counted = accesses.groupBy("key").agg(F.count("*").alias("accesses"))
     return counted.orderBy(F.col("accesses").desc(), "key").limit(k)
+
+
+def key_summaries(accesses: DataFrame, counters: int) -> DataFrame:
+    """Of each part of the log, counts of at most `counters` keys: key, n, and one row of a null key with the slack.
+
+    A key was accessed in the part n times at least and n + slack times at most, with
+    n = 0 for keys that are not listed; the slack is below rows / counters. Null
+    keys are left out.
+    """
+    def summed(batches):
+        held, slack = pd.Series(dtype="int64"), 0
+        for batch in batches:
+            held = held.add(batch["key"].value_counts(), fill_value=0).astype("int64")
+            if len(held) > counters:
+                # What is taken from one key is taken from `counters` others as well.
+                cut = int(held.nlargest(counters + 1).iloc[-1])
+                held, slack = held[held > cut] - cut, slack + cut
+        yield pd.DataFrame({"key": [*held.index, None], "n": [*held, slack]})
+
+    known = accesses.select("key").filter(F.col("key").isNotNull())
+    return known.mapInPandas(summed, "key string, n long")
+
+
+def popular_keys_bounded(accesses: DataFrame, k: int, counters: int = 10_000) -> DataFrame:
+    """As `popular_keys`, counting only keys that can be among the first k.
+
+    Summaries of all parts bound each key's count from both sides. Keys whose upper
+    bound is below the k-th largest lower bound are out; the others are counted, in
+    a second pass. Where no such line can be drawn, as keys are accessed about
+    equally often, all are counted. Pays where distinct keys are many and skewed:
+    `counters` keys a part are shuffled in place of all of them.
+    """
+    stored = cut_lineage(key_summaries(accesses, counters), "summaries")
+    least = cut_lineage(stored.filter(F.col("key").isNotNull()).groupBy("key").agg(F.sum("n").alias("least")), "least")
+    slack = stored.filter(F.col("key").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    first = [row.least for row in least.orderBy(F.col("least").desc()).limit(k).collect()]
+    line = first[-1] if len(first) == k and k else 0
+    if slack and slack >= line:
+        return popular_keys(accesses, k)
+    able = least.filter(F.col("least") + slack >= line).select(F.col("key").alias("_key"))
+    asked = accesses.select("key")
+    counted = asked.join(able, F.col("key") == F.col("_key"), "left_semi").union(asked.filter(F.col("key").isNull()))
+    return popular_keys(counted, k)

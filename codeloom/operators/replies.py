@@ -172,9 +172,7 @@ def lint_messages(outputs: DataFrame) -> DataFrame:
     return outputs.select("project", "doc_id", F.explode(kept).alias("m")).select("project", "doc_id", "m.*")
 
 
-def lint_report(outputs: DataFrame) -> DataFrame:
-    """Per lint output the first message's score and the warnings and errors."""
-    parsed = outputs.withColumn("messages", F.from_json("raw_json", LINT_SCHEMA))
+def _lint_rows(parsed: DataFrame) -> DataFrame:
     kept = F.filter("messages", lambda m: m["type"].isin("warning", "error"))
     staged = parsed.withColumn("kept", kept)
     return staged.select(
@@ -186,3 +184,43 @@ def lint_report(outputs: DataFrame) -> DataFrame:
             F.transform("kept", lambda m: F.concat(m["line"].cast("string"), F.lit(":"), m["message"])), ";"
         ).alias("errors"),
     )
+
+
+def lint_report(outputs: DataFrame) -> DataFrame:
+    """Per lint output the first message's score and the warnings and errors."""
+    return _lint_rows(outputs.withColumn("messages", F.from_json("raw_json", LINT_SCHEMA)))
+
+
+def lint_checked(outputs: DataFrame) -> DataFrame:
+    """`outputs` with `messages` as in LINT_SCHEMA and `problem`, the reason why there are none.
+
+    A text is read as a variant, so one that is cut short, or is another document
+    altogether, is told from an empty list: "empty" (null or blank), "no JSON" (also
+    an object that names a field twice), "no list", "no message" (an entry that is no
+    object). A field of another type than expected is null in its message, whose
+    other fields stay.
+    """
+    def field(entry: Column, name: str, kind: str) -> Column:
+        return F.try_variant_get(entry, f"$.{name}", kind).alias(name)
+
+    entries = F.try_variant_get("_v", "$", "array<variant>")
+    staged = outputs.withColumn("_v", F.try_parse_json("raw_json")).withColumn("_entries", entries)
+    stray = F.exists("_entries", lambda e: F.try_variant_get(e, "$", "map<string,variant>").isNull())
+    problem = (
+        F.when(F.col("raw_json").isNull() | text.is_blank(F.col("raw_json")), "empty")
+        .when(F.col("_v").isNull(), "no JSON").when(F.col("_entries").isNull(), "no list").when(stray, "no message")
+    )
+    messages = F.transform("_entries", lambda e: F.struct(
+        field(e, "type", "string"), field(e, "line", "int"), field(e, "message", "string"), field(e, "score", "double")))
+    return staged.withColumn("problem", problem).withColumn(
+        "messages", F.when(F.col("problem").isNull(), messages)).drop("_v", "_entries")
+
+
+def lint_checked_report(outputs: DataFrame) -> DataFrame:
+    """The report of the outputs that could be read."""
+    return _lint_rows(lint_checked(outputs).filter(F.col("problem").isNull()))
+
+
+def lint_quarantine(outputs: DataFrame) -> DataFrame:
+    """The outputs that could not be read, as they came, with the reason."""
+    return lint_checked(outputs).filter(F.col("problem").isNotNull()).select("project", "doc_id", "problem", "raw_json")

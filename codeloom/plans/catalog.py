@@ -292,6 +292,17 @@ def lint_report(spark, folder):
     return replies.lint_report(derived.lint_outputs(spark, folder))
 
 
+@query
+def lint_checked_report(spark, folder):
+    return replies.lint_checked_report(derived.broken_lint_outputs(spark, folder))
+
+
+@query
+def lint_quarantine(spark, folder):
+    found = replies.lint_quarantine(derived.broken_lint_outputs(spark, folder))
+    return found.select("project", "doc_id", "problem", F.length("raw_json").alias("n_chars"))
+
+
 @query
 def lint_warnings(spark, folder):
     return metrics.warning_counts(replies.lint_messages(derived.lint_outputs(spark, folder)))
@@ -472,6 +483,11 @@ def popular_keys(spark, folder):
     return access.popular_keys(derived.accesses(spark, folder), TOP_KEYS)
 
 
+@query
+def popular_keys_bounded(spark, folder):
+    return access.popular_keys_bounded(derived.accesses(spark, folder), TOP_KEYS)
+
+
 # ---- streams, run over all available data ----
 
 def _streamed(spark, folder, derive):

@@ -586,6 +586,14 @@ ORACLE = {
                    "len(w) AS warnings_count, coalesce(list_aggregate(list_transform(w, "
                    "lambda x: x.line || ':' || x.message), 'string_agg', ';'), '') AS errors FROM "
                    "(SELECT *, list_filter(m, lambda x: x.type IN ('warning', 'error')) AS w FROM lint)",
+    "lint_checked_report": f"WITH {LINT} SELECT project, doc_id, coalesce(m[1].score, 0.0)::DOUBLE AS score, "
+                   "len(w) AS warnings_count, coalesce(list_aggregate(list_transform(w, "
+                   "lambda x: x.line || ':' || x.message), 'string_agg', ';'), '') AS errors FROM "
+                   "(SELECT *, list_filter(m, lambda x: x.type IN ('warning', 'error')) AS w FROM lint WHERE doc_id % 7 NOT IN (1, 2, 3, 4))",
+    "lint_quarantine": f"WITH {LINT} SELECT project, doc_id, ['empty', 'no JSON', 'no list', 'no message'][doc_id % 7] "
+                       "AS problem, CASE doc_id % 7 WHEN 2 THEN length(raw) // 2 WHEN 3 THEN length(raw) + 13 "
+                       "WHEN 4 THEN 20 END AS n_chars FROM (SELECT *, to_json(m)::VARCHAR AS raw FROM lint) "
+                       "WHERE doc_id % 7 BETWEEN 1 AND 4",
     "lint_warnings": f"WITH {LINT} SELECT x.type AS type, count(*) AS warnings FROM "
                      "(SELECT unnest(m) AS x FROM lint) WHERE x.type IN ('warning', 'error') GROUP BY ALL",
     "result_keys": f"WITH {TEXT_FILES} SELECT path, 'analysis_v2:' || sha256(path) AS plain_key, "
@@ -701,6 +709,8 @@ ORACLE = {
                            f"ORDER BY accesses DESC, key LIMIT {catalog.TOP_KEYS}",
     "popular_keys": f"WITH {EVENTS} SELECT key, count(*) AS accesses FROM acc GROUP BY key "
                     f"ORDER BY accesses DESC, key LIMIT {catalog.TOP_KEYS}",
+    "popular_keys_bounded": f"WITH {EVENTS} SELECT key, count(*) AS accesses FROM acc GROUP BY key "
+                    f"ORDER BY accesses DESC, key LIMIT {catalog.TOP_KEYS}",
 }
 
 # Column types as the Spark queries give them, where DuckDB's own differ.

@@ -163,6 +163,17 @@ def lint_outputs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def broken_lint_outputs(spark: SparkSession, folder: str) -> DataFrame:
+    """`lint_outputs`, some of them missing, cut short, wrapped or of strange entries."""
+    raw, kind = F.col("raw_json"), F.col("doc_id") % 7
+    made = (
+        F.when(kind == 2, F.substr(raw, F.lit(1), F.floor(F.length(raw) / 2).cast("int")))
+        .when(kind == 3, F.concat(F.lit('{"messages":'), raw, F.lit("}")))
+        .when(kind == 4, F.lit('[{"type":"error"},1]')).when(kind != 1, raw)
+    )
+    return lint_outputs(spark, folder).withColumn("raw_json", made)
+
+
 def model_replies(spark: SparkSession, folder: str) -> DataFrame:
     """`orders` as replies of a model: records, some broken, some partial."""
     key = F.col("o_orderkey")

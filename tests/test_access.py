@@ -248,3 +248,51 @@ def test_heat(spark):
 def test_popular(spark):
     df = log(spark, [("b", 1, 1), ("a", 2, 1), ("c", 3, 1), ("c", 4, 1)])
     assert [tuple(r) for r in access.popular_keys(df, 2).collect()] == [("c", 2), ("a", 1)]
+
+
+def keys_log(spark, keys, parts):
+    return spark.createDataFrame([(k,) for k in keys], "key string").repartition(parts)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bounded_popular_keys_equal_the_full_count(spark, seed):
+    rng = random.Random(seed)
+    keys = [f"k{int(rng.paretovariate(0.7))}" for _ in range(3000)] + [None] * rng.choice([0, 40])
+    for counters in (1, 12, 100, 10_000):
+        frame = keys_log(spark, keys, rng.randint(1, 6))
+        assert access.popular_keys_bounded(frame, 5, counters).collect() == access.popular_keys(frame, 5).collect()
+
+
+def test_bounded_popular_keys_without_a_line(spark):
+    """Equal counts, ties at the line, fewer keys than asked for, no rows."""
+    flat = keys_log(spark, [f"k{i % 50}" for i in range(500)], 3)
+    tied = keys_log(spark, ["a"] * 30 + ["b"] * 20 + ["c"] * 20 + ["d"] * 20 + [f"x{i}" for i in range(40)], 3)
+    for frame in (flat, tied, flat.limit(0), keys_log(spark, [None, "a"], 1)):
+        for k in (1, 3, 60):
+            assert access.popular_keys_bounded(frame, k, 8).collect() == access.popular_keys(frame, k).collect()
+
+
+def test_summaries_bound_counts_and_stay_small(spark):
+    rng = random.Random(8)
+    keys = [f"k{int(rng.paretovariate(0.8))}" for _ in range(20_000)]
+    frame = keys_log(spark, keys, 4)
+    rows = access.key_summaries(frame, 50).collect()
+    slack = sum(r.n for r in rows if r.key is None)
+    least = {}
+    for r in rows:
+        if r.key is not None:
+            least[r.key] = least.get(r.key, 0) + r.n
+    true = {k: keys.count(k) for k in set(keys)}
+    assert len(rows) <= 4 * 51 and slack * 51 <= len(keys)
+    assert all(least.get(k, 0) <= n <= least.get(k, 0) + slack for k, n in true.items())
+    # A full count shuffles every distinct key of every part.
+    assert frame.select("key", F.spark_partition_id()).distinct().count() > 2 * len(rows)
+
+
+def test_summaries_of_a_log_with_a_long_tail_are_a_tenth_of_its_keys(spark):
+    rng = random.Random(9)
+    keys = [f"k{rng.randint(1, 20)}" if rng.random() < 0.5 else f"once{i}" for i in range(20_000)]
+    frame = keys_log(spark, keys, 4)
+    per_part = frame.select("key", F.spark_partition_id()).distinct().count()
+    assert per_part > 10 * access.key_summaries(frame, 50).count()
+    assert access.popular_keys_bounded(frame, 10, 50).collect() == access.popular_keys(frame, 10).collect()

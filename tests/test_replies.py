@@ -103,3 +103,20 @@ def test_projects_with_the_same_path_stay_apart(files, spark):
     attached = replies.attach_responses(asked, answers)
     found = {(r.project, r.message) for r in replies.file_suggestions(attached).collect()}
     assert found == {("p", "in p"), ("q", "in q")}
+
+
+def test_lint_output_that_cannot_be_read_is_set_aside(spark):
+    good = '[{"type":"error","line":3,"message":"m","score":7.5},{"type":"info","line":1,"message":"n"}]'
+    texts = [good, "[]", None, " \n", good[:-5], '{"a":1}', "null", "3", '[{"type":"error"},1]', "[null]",
+             '[{"type":"error","line":"x","message":5,"more":[1]}]', '[{"type":"error","type":"warning"}]', "[[1]]"]
+    df = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "project string, doc_id long, raw_json string")
+    aside = {r.doc_id: (r.problem, r.raw_json) for r in replies.lint_quarantine(df).collect()}
+    expected = {2: "empty", 3: "empty", 4: "no JSON", 5: "no list", 6: "no list", 7: "no list", 8: "no message",
+                9: "no message", 11: "no JSON", 12: "no message"}
+    assert aside == {i: (why, texts[i]) for i, why in expected.items()}
+    rows = {r.doc_id: (r.score, r.warnings_count, r.errors) for r in replies.lint_checked_report(df).collect()}
+    assert rows[0] == (7.5, 1, "3:m") and rows[1] == (0.0, 0, "") and rows.keys() == {0, 1, 10}
+    strange = next(r.messages[0] for r in replies.lint_checked(df).collect() if r.doc_id == 10)
+    assert (strange.type, strange.line, strange.message) == ("error", None, "5")
+    well = df.filter("doc_id < 2")
+    assert sorted(replies.lint_checked_report(well).collect()) == sorted(replies.lint_report(well).collect())
