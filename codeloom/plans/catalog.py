@@ -545,5 +545,29 @@ def stream_popular_keys(spark, folder):
     return streams.popular_snapshot(spark, out, TOP_KEYS)
 
 
+@query
+def stream_live_results(spark, folder):
+    """Results alive at the time of the newest write, read from the state of the stream."""
+    out = fresh_dir(spark, "live-results")
+    stored = _keyed(_streamed(spark, folder, derived.stored_results_of))
+    streams.live_results_kept(stored, out, ttl_seconds=LIVE_SECONDS).awaitTermination()
+    now = _stored(spark, folder).agg(F.max("ts")).scalar()
+    return streams.live_results_of_state(spark, out, now, LIVE_SECONDS).drop("event_id")
+
+
+@query
+def stream_popular_state(spark, folder):
+    out = fresh_dir(spark, "popular-state")
+    streams.counts_kept(_streamed(spark, folder, derived.accesses_of), out).awaitTermination()
+    return streams.popular_of_state(spark, out, TOP_KEYS)
+
+
+@query
+def stream_minutes_closed(spark, folder):
+    out = fresh_dir(spark, "minutes-closed")
+    streams.minute_counts_closed(_streamed(spark, folder, derived.accesses_of), out).awaitTermination()
+    return streams.minute_counts_now(spark, out)
+
+
 # This query has the name of an imported module.
 QUERIES["smells"] = QUERIES.pop("smells_found")

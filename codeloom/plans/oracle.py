@@ -713,6 +713,11 @@ ORACLE = {
                     f"ORDER BY accesses DESC, key LIMIT {catalog.TOP_KEYS}",
 }
 
+# The same results, read from the state of a stream.
+ORACLE["stream_live_results"] = ORACLE["live_results"]
+ORACLE["stream_popular_state"] = ORACLE["popular_keys"]
+ORACLE["stream_minutes_closed"] = ORACLE["stream_minute_counts"]
+
 # Column types as the Spark queries give them, where DuckDB's own differ.
 _LINE_COLUMNS = ["total_lines", "blank_lines", "code_lines"]
 _TYPES = {

@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -228,3 +228,84 @@ def merge_latest(parts: DataFrame) -> DataFrame:
 def latest_results_snapshot(spark: SparkSession, out: str) -> DataFrame:
     """The newest winner of each key over all batches."""
     return merge_latest(_parts(spark, out))
+
+
+# ---- what is asked for is the state of the query, so no part of any batch is read again ----
+
+def _keep_state(aggregated: DataFrame, out: str) -> StreamingQuery:
+    """Run an aggregation for its state alone; nothing is written but the checkpoint."""
+    return (
+        aggregated.writeStream.format("noop").outputMode("update")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+
+
+def _state(spark: SparkSession, out: str) -> DataFrame:
+    """Grouping columns and the value (`kept`) of an aggregation of one value, as of the last finished batch."""
+    rows = spark.read.format("statestore").load(f"{out}/checkpoint")
+    value = rows.schema["value"].dataType.names[0]
+    return rows.select("key.*", F.col("value").getField(value).alias("kept"))
+
+
+def live_results_kept(stored: DataFrame, out: str, current_version: int = settings.CACHE_VERSION,
+                      ttl_seconds: int = settings.RESULT_TTL_SECONDS, lateness: str = LATENESS) -> StreamingQuery:
+    """Newest write per key, for `live_results_of_state`; what is superseded or has expired leaves the state.
+
+    State holds one row per key and stretch of one TTL. The watermark follows the
+    newest write by the TTL and the lateness, so a stretch goes only once each
+    write in it has expired: two stretches and the lateness are kept, in whatever
+    order the files come. Of equal times the later event wins. Rows without a
+    time are left out, as they never expire.
+    """
+    at = F.timestamp_micros(access.micros_of(F.col("ts")))
+    delay = f"{ttl_seconds} seconds {lateness}"
+    timed = stored.withColumn("at", at).withWatermark("at", delay).filter(F.col("version") == current_version)
+    newest = timed.groupBy("key", F.window("at", f"{ttl_seconds} seconds")).agg(
+        F.max(F.struct("ts", "event_id", "data")).alias("newest"))
+    return _keep_state(newest, out)
+
+
+def live_results_of_state(spark: SparkSession, out: str, now: Column,
+                          ttl_seconds: int = settings.RESULT_TTL_SECONDS) -> DataFrame:
+    """Results still alive at `now`, which is no earlier than the newest write, as the batch operator finds them."""
+    won = _state(spark, out).groupBy("key").agg(F.max("kept").alias("w"))
+    newest = won.select("key", "w.data", F.col("w.ts").alias("stored_at"), "w.event_id")
+    return metrics.live_results(newest, now, ttl_seconds)
+
+
+def counts_kept(accesses: DataFrame, out: str) -> StreamingQuery:
+    """Accesses per key; the state is one number for each key there is."""
+    return _keep_state(accesses.groupBy("key").agg(F.count("*").alias("accesses")), out)
+
+
+def popular_of_state(spark: SparkSession, out: str, k: int) -> DataFrame:
+    """The k most accessed keys."""
+    counts = _state(spark, out).withColumnRenamed("kept", "accesses")
+    return counts.orderBy(F.col("accesses").desc(), "key").limit(k)
+
+
+def minute_counts_closed(accesses: DataFrame, out: str, lateness: str = LATENESS) -> StreamingQuery:
+    """Accesses, hits and misses per minute: a minute is appended once, when the watermark has closed it.
+
+    Until then it is in the state, where `minute_counts_now` finds it. Rows
+    that come later are dropped.
+    """
+    timed = accesses.withColumn("at", F.timestamp_micros(access.micros_of(F.col("ts")))).withWatermark("at", lateness)
+    counts = timed.groupBy(F.window("at", "1 minute"), "cache_type", "hit").agg(F.count("*").alias("kept"))
+    return (
+        counts.writeStream.format("parquet").outputMode("append").option("path", f"{out}/data")
+        .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    )
+
+
+def minute_counts_now(spark: SparkSession, out: str) -> DataFrame:
+    """Closed minutes from the files and open ones from the state; no minute is in both."""
+    open_ = _state(spark, out)
+    closed = spark.read.schema(open_.schema).parquet(f"{out}/data")
+    minutes = F.floor(F.unix_micros(F.col("window.start")) / 60_000_000).cast("int")
+    start = F.timestamp_add("MINUTE", minutes, F.lit("1970-01-01").cast("timestamp_ntz"))
+    return closed.unionByName(open_).groupBy(start.alias("minute"), "cache_type").agg(
+        F.sum("kept").alias("accesses"),
+        F.coalesce(F.sum(F.when(F.col("hit"), F.col("kept"))), F.lit(0)).alias("hits"),
+        F.coalesce(F.sum(F.when(~F.col("hit"), F.col("kept"))), F.lit(0)).alias("misses"),
+    )

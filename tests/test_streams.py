@@ -168,3 +168,80 @@ def test_popular_refresh(spark, parts, tmp_path):
     assert rows(streams.popular_snapshot(spark, out, 5)) == want
     streams.compact(spark, out, streams.merge_counts)
     assert rows(streams.popular_snapshot(spark, out, 5)) == want
+
+
+def result_files(spark, folder, files, schema="key string, version int, project string, data double, ts timestamp_ntz, event_id long"):
+    start = dt.datetime(2024, 1, 1)
+    for some in files:
+        made = [(k, v, "p", float(e), None if s is None else start + dt.timedelta(seconds=s), e) for k, v, s, e in some]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(folder)
+    return streams.folder_stream(spark, folder, spark.read.parquet(folder).schema)
+
+
+def test_live_results_of_state_equal_the_batch_in_any_order(spark, parts, tmp_path):
+    ttl = catalog.LIVE_SECONDS
+    events, folder, out = parts[1], str(tmp_path / "in"), str(tmp_path / "out")
+    want_from = catalog._keyed(derived.stored_results_of(events))
+    now = want_from.agg(F.max("ts")).first()[0]
+    for part in (F.col("event_id") >= 600, F.col("event_id") < 300, F.col("event_id").between(300, 599)):
+        events.filter(part).coalesce(1).write.mode("append").parquet(folder)
+        stream = catalog._keyed(derived.stored_results_of(streams.folder_stream(spark, folder, events.schema)))
+        streams.live_results_kept(stored=stream, out=out, ttl_seconds=ttl).awaitTermination()
+    ends = F.lit(now).cast("timestamp_ntz")
+    batch = rows(metrics.live_results(metrics.latest_results(want_from), ends, ttl))
+    assert batch and rows(streams.live_results_of_state(spark, out, ends, ttl)) == batch
+
+
+def test_state_of_live_results_is_bounded_over_many_batches(spark, tmp_path):
+    """Fifty micro-batches, four starts: state holds the keys of about two lives, not those of all batches."""
+    folder, out, draw, sent, kept, number = str(tmp_path / "in"), str(tmp_path / "out"), random.Random(8), [], [], 0
+    for size in (20, 10, 10, 10):
+        files = []
+        for _ in range(size):
+            files.append([(f"k{number}-{i}", 2, number * 100 + draw.randrange(100), number * 10 + i) for i in range(6)]
+                         + [("often", 2, number * 100 + draw.randrange(100), number * 10 + 7),
+                            ("old", 1, number * 100, number * 10 + 8), ("timeless", 2, None, number * 10 + 9)])
+            number += 1
+        query = streams.live_results_kept(result_files(spark, folder, files), out, 2, 300, "1 second")
+        query.awaitTermination()
+        kept.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        sent += [row for rows_ in files for row in rows_]
+    newest = max(s for _, v, s, _ in sent if s is not None)
+    start, last = dt.datetime(2024, 1, 1), {}
+    for key, version, second, event in sent:
+        if version == 2 and second is not None:
+            last[key] = max(last.get(key, (-1, -1)), (second, event))
+    plain = [(k, float(e), start + dt.timedelta(seconds=s), e) for k, (s, e) in last.items() if s + 300 >= newest]
+    now = F.lit(start + dt.timedelta(seconds=newest)).cast("timestamp_ntz")
+    assert rows(streams.live_results_of_state(spark, out, now, 300)) == sorted(plain, key=repr)
+    assert max(kept) <= 7 * 4 * 3, kept  # of 301 keys
+
+
+def test_equal_times_and_repeated_rows_in_state(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    files = [[("a", 2, 0, 9), ("a", 2, 0, 9), (None, 2, 0, 1)], [("a", 2, 0, 3)]]
+    for some in files:
+        streams.live_results_kept(result_files(spark, folder, [some]), out, 2, 60).awaitTermination()
+    now = F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz")
+    assert {(r.key, r.data) for r in streams.live_results_of_state(spark, out, now, 60).collect()} == {("a", 9.0), (None, 1.0)}
+
+
+def test_popular_of_state(spark, parts, tmp_path):
+    out = str(tmp_path)
+    for _ in range(2):
+        streams.counts_kept(derived.accesses_of(source(spark, parts)), out).awaitTermination()
+    assert rows(streams.popular_of_state(spark, out, 5)) == rows(access.popular_keys(derived.accesses_of(parts[1]), 5))
+
+
+def test_closed_minutes_are_written_once(spark, parts, tmp_path):
+    out = str(tmp_path)
+    streams.minute_counts_closed(derived.accesses_of(source(spark, parts)), out).awaitTermination()
+    batch = derived.accesses_of(parts[1]).groupBy(
+        F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("minute"), "cache_type"
+    ).agg(F.count("*"), F.count_if("hit"), F.count_if(~F.col("hit")))
+    assert rows(streams.minute_counts_now(spark, out)) == rows(batch)
+    closed, open_ = spark.read.parquet(f"{out}/data"), streams._state(spark, out)
+    names = ["window", "cache_type", "hit"]
+    assert closed.count() == closed.select(names).distinct().count() > 0
+    assert closed.join(open_, names).count() == 0
+    assert open_.count() < closed.count()
