@@ -7,6 +7,8 @@ one folder. Every micro-batch writes what it alone says of each key into
 files only, no state grows in the stream, and the order of files plays no part.
 A snapshot function merges the parts; `compact` merges those of old batches into
 one, so that a snapshot does not read every batch there ever was.
+
+The streams at the end of this module keep state instead, and their snapshots read it.
 """
 
 from __future__ import annotations

@@ -192,7 +192,15 @@ def test_live_results_of_state_equal_the_batch_in_any_order(spark, parts, tmp_pa
     assert batch and rows(streams.live_results_of_state(spark, out, ends, ttl)) == batch
 
 
-def test_state_of_live_results_is_bounded_over_many_batches(spark, tmp_path):
+@pytest.fixture
+def two_state_parts(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_state_of_live_results_is_bounded_over_many_batches(spark, tmp_path, two_state_parts):
     """Fifty micro-batches, four starts: state holds the keys of about two lives, not those of all batches."""
     folder, out, draw, sent, kept, number = str(tmp_path / "in"), str(tmp_path / "out"), random.Random(8), [], [], 0
     for size in (20, 10, 10, 10):
