@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
 from codeloom.operators import duplicates, entities, smells
@@ -142,3 +143,32 @@ def test_staged_answers_give_the_same(files, sources):
     df = files(sources)
     staged = df.withColumn("parsed", parses(F.col("content")))
     assert sorted(duplicates.duplicate_lines(staged).collect()) == sorted(duplicates.duplicate_lines(df).collect())
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_distances_side_by_side():
+    made = ["".join(random.choice("abé€") for _ in range(random.randint(1, 160))) for _ in range(25)]
+    made = list(dict.fromkeys(made + [t[:len(t) // 2] + "x" + t[len(t) // 2 + 1:] + "y" for t in made]))
+    length = np.array([len(t) for t in made])
+    a, b = (np.array(p) for p in zip(*[(i, j) for i in range(len(made)) for j in range(len(made)) if i != j][::5]))
+    most = np.maximum(length[a], length[b]) // 4
+    near = abs(length[a] - length[b]) <= most
+    a, b, most = a[near], b[near], most[near]
+    for x, y, bound, got in zip(a, b, most, duplicates.distances(made, a, b, most)):
+        expected = plain_distance(made[x], made[y])
+        assert got == expected if expected <= bound else got > bound
+
+
+def test_duplicate_search_compares_rows_in_place(files, sources):
+    """No pair of blocks is a row of a join, and no block is one of a shuffle."""
+    plan = duplicates.duplicate_lines(files(sources))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
