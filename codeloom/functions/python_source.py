@@ -13,14 +13,18 @@ long files cannot overflow its stack.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.functions.arrow import bounds
 from codeloom.functions.python_scan import MARK, masked_text
 from codeloom.functions.text import WORD
 
+PIECE_BYTES = 1 << 21
 NAME = f"[{WORD}]++"
 BRACKETS = r"[(\[{][^()\[\]{}]*+[)\]}]"  # the mask has none within another
 
@@ -32,29 +36,37 @@ _BLOCK = (
 )
 
 
-def parses(content: Column) -> Column:
-    """Whether Python accepts the text; nothing is accepted for a null.
+def _accepts(text: str | None) -> bool:
+    """Whether Python accepts the text. The grammar itself is the one thing expressions cannot state."""
+    import ast
+
+    try:
+        ast.parse(text)
+        return text is not None
+    except Exception:
+        return False
 
-    The grammar itself is the one thing expressions cannot state.
-    """
-    # Nested, so that it is shipped by value and executors need no copy of us.
-    @F.pandas_udf(T.BooleanType())
-    def accepted(texts: pd.Series) -> pd.Series:
-        import ast
-        import warnings
 
-        def one(text):
-            try:
-                ast.parse(text)
-                return True
-            except Exception:
-                return False
+def _text_udf(one: Callable, kind: pa.DataType, spark_type: T.DataType):
+    """`one` of each text, null included, as a UDF that holds the results of a few texts at a time."""
+    @F.arrow_udf(spark_type)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import warnings
 
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
-            return texts.map(lambda text: text is not None and one(text)).astype(bool)
+            for batch in batches:
+                for start, stop in bounds([batch], PIECE_BYTES):
+                    yield pa.array([one(t) for t in batch.slice(start, stop - start).to_pylist()], kind)
+                batch = None
+                pa.default_memory_pool().release_unused()
 
-    return accepted(content)
+    return run
+
+
+def parses(content: Column) -> Column:
+    """Whether Python accepts the text; nothing is accepted for a null."""
+    return _text_udf(_accepts, pa.bool_(), T.BooleanType())(content)
 
 
 def parsed(files: DataFrame) -> Column:
@@ -64,11 +76,21 @@ def parsed(files: DataFrame) -> Column:
 
 def masked(content: Column) -> Column:
     """The mask of a text, null for a null."""
-    @F.pandas_udf(T.StringType())
-    def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(masked_text, na_action="ignore").astype(object)
+    return _text_udf(lambda t: None if t is None else masked_text(t), pa.string(), T.StringType())(content)
+
+
+def scanned(files: DataFrame) -> Column:
+    """`parsed` and, for a file that Python accepts, `mask`, as a struct from one pass over the text."""
+    if "parsed" in files.columns:
+        return F.struct("parsed", masked(F.when(F.col("parsed"), F.col("content"))).alias("mask"))
+
+    def both(text):
+        accepted = _accepts(text)
+        return {"parsed": accepted, "mask": masked_text(text) if accepted else None}
 
-    return mask(content)
+    fields = [("parsed", pa.bool_(), T.BooleanType()), ("mask", pa.string(), T.StringType())]
+    return _text_udf(both, pa.struct([f[:2] for f in fields]),
+                     T.StructType([T.StructField(f[0], f[2]) for f in fields]))(F.col("content"))
 
 
 def blocks(mask: Column) -> Column:

@@ -32,10 +32,8 @@ def entity_blocks(files: DataFrame) -> DataFrame:
     filter: a filter would be pushed below whatever computes the content and
     compute it twice.
     """
-    content = F.col("content")
     masked = files.filter(F.col("ext") == ".py").select(
-        "project", "path", py.parsed(files).alias("parsed"), py.masked(content).alias("mask")
-    )
+        "project", "path", py.scanned(files).alias("scan")).select("project", "path", "scan.*")
     heads, blocks = py.head_lines(F.col("mask")), py.blocks(F.col("mask"))
     paired = F.arrays_zip(heads.alias("line"), blocks.alias("block"))
     exploded = masked.select("project", "path", F.explode(F.when(F.col("parsed"), paired)).alias("e"))
@@ -85,6 +83,6 @@ def class_members(entities: DataFrame) -> DataFrame:
 def python_complexity(files: DataFrame) -> DataFrame:
     """Per-file complexity of the Python files, by keywords where Python rejects one."""
     content = F.col("content")
-    judged = files.filter(F.col("ext") == ".py").withColumn("parsed", py.parsed(files))
-    complexity = F.when(F.col("parsed"), py.file_complexity(py.masked(content)))
+    judged = files.filter(F.col("ext") == ".py").withColumn("scan", py.scanned(files))
+    complexity = F.when(F.col("scan.parsed"), py.file_complexity(F.col("scan.mask")))
     return judged.select("project", "path", F.coalesce(complexity, text.keyword_complexity(content)).alias("complexity"))

@@ -74,7 +74,8 @@ def analyse_files(files: DataFrame, languages=None) -> DataFrame:
     named = files.withColumn("language", lang)
     # Only Python goes through Python.
     python = F.coalesce(F.col("language") == "Python", F.lit(False))
-    judged = named.filter(python).withColumns({"parsed": py.parsed(files), "mask": py.masked(content)}).unionByName(
+    scanned = named.filter(python).withColumn("scan", py.scanned(files))
+    judged = scanned.withColumns({"parsed": F.col("scan.parsed"), "mask": F.col("scan.mask")}).drop("scan").unionByName(
         named.filter(~python).withColumns({"parsed": F.lit(False), "mask": F.lit(None).cast("string")}))
     staged = line_metrics(judged, "language", "parsed", "mask")
     mask = F.col("mask")

@@ -6,8 +6,11 @@ import json
 import textwrap
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
+from codeloom.functions import python_source
 from codeloom.functions.python_scan import masked_text
 from codeloom.operators import entities
 from codeloom.sources import derived
@@ -246,3 +249,20 @@ def test_deep_indentation_and_nesting(files):
     found = {(r.path, r.name): r for r in entities.code_entities(df).collect()}
     assert found["deep.py", "C"].methods == ["m"]
     assert (found["nested.py", "f"].end_line, found["nested.py", "f"].complexity) == (nested.count("\n"), 1)
+
+
+def test_texts_are_scanned_in_pieces(monkeypatch):
+    """A batch of many texts comes back in several parts, so that few results are held at a time."""
+    monkeypatch.setattr(python_source, "PIECE_BYTES", 40)
+    texts = pa.array(["x = 1  # a\n" * 2, None, "def f(:\n", "y = 'b'\n" * 9, ""])
+    run = python_source._text_udf(python_source._accepts, pa.bool_(), T.BooleanType())
+    parts = list(run.func(iter([texts])))
+    assert len(parts) > 1
+    assert [v for p in parts for v in p.to_pylist()] == [True, False, False, True, True]
+
+
+def test_prefixes_of_strings_are_found_behind_the_quote():
+    """A word that runs into a quote starts no string; one or two prefix letters do."""
+    assert masked_text("x = rb'a#b' + f'{p and q}'\n") == "x = '' + '' and \n"
+    assert masked_text("abf'a' # c\n") == masked_text("abf'a' \n")
+    assert masked_text("g(a, h(b and c, 'd'))\n") == "g(a, h and )\n"
