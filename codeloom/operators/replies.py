@@ -66,7 +66,7 @@ def prompts(files: DataFrame, chunk_size: int = settings.CHUNK_SIZE, typed: bool
 
 
 def complete(prompt_rows: DataFrame, completion) -> DataFrame:
-    """Ask each distinct prompt once; `completion` is a string-to-string pandas UDF."""
+    """Ask each distinct prompt once; `completion` is a string-to-string UDF in pandas or Arrow."""
     distinct = prompt_rows.groupBy("prompt_hash").agg(F.first("prompt").alias("prompt"))
     return distinct.select("prompt_hash", completion("prompt").alias("response"))
 

@@ -5,6 +5,8 @@ import hashlib
 import pandas as pd
 from pyspark.sql import functions as F
 
+from codeloom.plans.catalog import QUERIES
+from conftest import DATA
 from codeloom import settings
 from codeloom.operators import files as file_ops
 from codeloom.operators import replies
@@ -120,3 +122,11 @@ def test_lint_output_that_cannot_be_read_is_set_aside(spark):
     assert (strange.type, strange.line, strange.message) == ("error", None, "5")
     well = df.filter("doc_id < 2")
     assert sorted(replies.lint_checked_report(well).collect()) == sorted(replies.lint_report(well).collect())
+
+
+def test_completed_prompts_stay_in_arrow(spark):
+    """A batch of prompts is not copied into Python strings."""
+    from pyspark.util import PythonEvalType
+
+    plan = QUERIES["completed_prompts"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_UDF}\n" in plan
