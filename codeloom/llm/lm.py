@@ -33,6 +33,9 @@ from codeloom.session import cut_lineage
 
 FIRST, MARKED, CLOSED = 28, 2, 2
 CLASSES = FIRST * MARKED * CLOSED
+# By a word's first byte and by its last.
+_FIRST = np.array([b - 97 if 97 <= b <= 122 else 26 if b < 128 else 27 for b in range(256)], np.int32)
+_CLOSING = np.array([b in b".,;:!?" for b in range(256)])
 ROWS = ("doc_id long, held_out boolean, n_tokens long, known long, logs double, model double, "
         "tail_words array<string>, tail_classes array<int>, tail_counts array<long>")
 
@@ -67,13 +70,15 @@ class Settings:
 
 
 def spelling_classes(words: pa.Array) -> np.ndarray:
-    """The class of each word by its spelling."""
-    found = np.empty(len(words), np.int32)
-    for at, word in enumerate(words.cast(pa.binary()).to_pylist()):
-        first = word[0]
-        kind = first - 97 if 97 <= first <= 122 else 26 if first < 128 else 27
-        found[at] = (kind * MARKED + (not word.isascii())) * CLOSED + (word[-1] in b".,;:!?")
-    return found
+    """The class of each word by its spelling; no word is empty."""
+    if not len(words):
+        return np.empty(0, np.int32)
+    marked = ~pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+    wide = words.cast(pa.large_string())
+    _, ends, data = wide.buffers()
+    ends = np.frombuffer(ends, np.int64)[wide.offset:wide.offset + len(wide) + 1]
+    data = np.frombuffer(data, np.uint8)
+    return ((_FIRST[data[ends[:-1]]] * MARKED + marked) * CLOSED + _CLOSING[data[ends[1:] - 1]]).astype(np.int32)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -194,6 +199,16 @@ class Groups:
         self.group_draws = draw.choice(self.count, self.drawn, p=total / total.sum())
         self.member_draws = np.stack([g * members + draw.choice(members, self.drawn, p=p) for g, p in enumerate(within)])
 
+    def runs(self, slots: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+        """The places of `slots` by group, in order and at most so many together."""
+        group = slots // self.members
+        if self.count <= 1 << 16:  # numpy sorts short integers by their digits
+            group = group.astype(np.uint16)
+        order = np.argsort(group, kind="stable")
+        ends = np.cumsum(np.bincount(group, minlength=self.count)).tolist()
+        return [(g, order[at:min(at + most, end)]) for g, (first, end) in enumerate(zip([0, *ends], ends))
+                for at in range(first, end, most)]
+
 
 def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct `rows`, all below `size`, and the sums of the values at each; `values` repeat as often as rows are longer."""
@@ -202,15 +217,37 @@ def _summed(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray
     found = np.flatnonzero(seen)
     rank = np.empty(size, np.intp)
     rank[found] = np.arange(len(found))
-    at, columns = rank[rows], np.tile(values.T, len(rows) // max(len(values), 1))
-    return found, np.stack([np.bincount(at, column, len(found)) for column in columns], axis=1).astype(np.float32)
-
-
-def _step(values: np.ndarray, square: np.ndarray, moved: np.ndarray, rate: float, rows=slice(None)) -> None:
-    """Adaptive step of the named rows; where nothing moved, nothing changes."""
-    grown = square[rows] + moved * moved
-    square[rows] = grown
-    values[rows] += np.float32(rate) * moved / np.sqrt(grown)
+    return found, _added(rank.take(rows), np.tile(values, (len(rows) // max(len(values), 1), 1)), len(found))
+
+
+def _added(rows: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the values at each of `size` rows; two neighbouring columns are added at once, as a complex number."""
+    values = np.ascontiguousarray(values, np.float32)
+    columns = values.shape[1]
+    if columns % 2 == 0:
+        values = values.view(np.complex64)
+    sums = np.zeros((size, values.shape[1]), values.dtype)
+    cells = np.arange(sums.size).reshape(sums.shape).take(rows, axis=0)
+    np.add.at(sums.reshape(-1), cells.ravel(), values.ravel())
+    return sums.view(np.float32).reshape(size, columns)
+
+
+def _step(values: np.ndarray, square: np.ndarray, moved: np.ndarray, rate: float, rows: np.ndarray | None = None) -> None:
+    """Adaptive step of the named rows or all; where nothing moved, nothing changes. `moved` is overwritten."""
+    grown = moved * moved
+    grown += square if rows is None else square.take(rows, axis=0)
+    if rows is None:
+        square[:] = grown
+    else:
+        square[rows] = grown
+    np.sqrt(grown, out=grown)
+    moved *= np.float32(rate)
+    moved /= grown
+    if rows is None:
+        values += moved
+    else:
+        moved += values.take(rows, axis=0)
+        values[rows] = moved
 
 
 @dataclass
@@ -256,30 +293,22 @@ class Model:
             total += self.context[place].take(contexts[:, place], axis=0)
         return total
 
-    def log10(self, targets: np.ndarray, contexts: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    def log10(self, targets: np.ndarray, contexts: np.ndarray, block: int = 1 << 20) -> np.ndarray:
         """Normalised log10 probability of each target in its context: of its group, and of it in the group."""
         found = np.empty(len(targets), np.float64)
         members = self.groups.members
         for start in range(0, len(targets), block):
             slots = self.groups.slot[targets[start:start + block]]
-            group = slots // members
-            expected = self.predicted(contexts[start:start + block])
-            logs = np.empty(len(group))
-            for at in range(0, len(group), 4096):  # small enough for the processor's cache
-                some = slice(at, at + 4096)
-                scores = expected[some] @ self.heads.T
+            for group, rows in self.groups.runs(slots, 4096):  # small enough for the processor's cache
+                own = slice(group * members, (group + 1) * members)
+                expected = self.predicted(contexts.take(start + rows, axis=0))
+                scores = expected @ self.heads.T
                 scores += self.head_bias
-                logs[some] = _log_share(scores, group[some])
-            order = np.argsort(group, kind="stable")
-            ends = np.cumsum(np.bincount(group, minlength=self.groups.count))
-            for g in np.unique(group):
-                own = slice(g * members, (g + 1) * members)
-                for at in range(ends[g - 1] if g else 0, ends[g], 4096):
-                    rows = order[at:min(at + 4096, ends[g])]
-                    scores = expected[rows] @ self.vectors[own].T
-                    scores += self.bias[own]
-                    logs[rows] += _log_share(scores, slots[rows] - g * members)
-            found[start:start + block] = logs / np.log(10)
+                logs = _log_share(scores, np.full(len(rows), group))
+                scores = expected @ self.vectors[own].T
+                scores += self.bias[own]
+                logs += _log_share(scores, slots.take(rows) - group * members)
+                found[start + rows] = logs / np.log(10)
         return found
 
     def train(self, targets: np.ndarray, contexts: np.ndarray, settings: Settings, rate: float, seed: int,
@@ -292,71 +321,78 @@ class Model:
         groups, size, members = self.groups, settings.size, self.groups.members
         draw = np.random.default_rng(seed)
         table = self.context.reshape(-1, size)  # a view: one row per place and output
+        # Biases are a last column, met by a one behind each expected vector.
+        heads = np.column_stack([self.heads, self.head_bias])
+        vectors = np.column_stack([self.vectors, self.bias])
         if squares is None:
-            squares = [np.full(x.shape, 1e-2, np.float32)
-                       for x in (table, self.heads, self.head_bias, self.vectors, self.bias)]
-        places = np.arange(settings.places) * self.context.shape[1]
+            squares = [np.full(x.shape, 1e-2, np.float32) for x in (table, heads, vectors)]
+        places = np.arange(settings.places, dtype=np.int32) * np.int32(self.context.shape[1])
         head_offset = np.float32(np.log(settings.noise)) + groups.log_groups
         offset = np.float32(np.log(settings.noise)) + groups.log_members
         slots = groups.slot[targets]
-        order = draw.permutation(len(targets))
-        order = order[np.argsort(slots[order] // members, kind="stable")]
-        ends = np.cumsum(np.bincount(slots // members, minlength=groups.count))
-        batches = [(g, at, min(at + settings.batch, end)) for g, end in enumerate(ends)
-                   for at in range(ends[g - 1] if g else 0, end, settings.batch)]
+        mixed = draw.permutation(len(targets))
+        batches = groups.runs(slots.take(mixed), settings.batch)
+        noise = settings.noise
+        sign = np.full((1 + 2 * noise, 1), -1, np.float32)  # noise is to be told as noise
+        sign[0] = 1
         for k in draw.permutation(len(batches)):
-            group, start, stop = batches[k]
-            some = order[start:stop]
+            group, some = batches[k]
+            some = mixed.take(some)
             own = slice(group * members, (group + 1) * members)
-            cells = (contexts[some] + places).T.ravel()
-            expected = self.predicted(contexts[some])
-            with_one = np.column_stack([expected, np.ones(len(some), np.float32)])
-            # Which group.
-            noise = groups.group_draws[draw.integers(0, groups.drawn, settings.noise)]
-            drawn = self.heads[noise]
-            up, down = _pulls(expected @ self.heads[group] + (self.head_bias[group] - head_offset[group]),
-                              expected @ drawn.T + (self.head_bias[noise] - head_offset[noise]))
-            toward = up[:, None] * self.heads[group] - down @ drawn
-            moved = np.zeros((groups.count, size + 1), np.float32)
-            np.subtract.at(moved, noise, down.T @ with_one)
-            moved[group] += up @ with_one
-            _step(self.heads, squares[1], moved[:, :-1], rate)
-            _step(self.head_bias, squares[2], moved[:, -1], rate)
-            # Which of its members.
-            vectors, bias, away = self.vectors[own], self.bias[own], offset[own]
-            member = slots[some] - group * members
-            noise = groups.member_draws[group, draw.integers(0, groups.drawn, settings.noise)] - group * members
-            true, drawn = vectors[member], vectors[noise]
-            up, down = _pulls(np.einsum("ij,ij->i", expected, true) + (bias - away)[member],
-                              expected @ drawn.T + (bias - away)[noise])
-            toward += up[:, None] * true - down @ drawn
-            pulled = np.zeros((members, len(some)), np.float32)
-            pulled[member, np.arange(len(some))] = up
-            moved = pulled @ with_one
-            np.subtract.at(moved, noise, down.T @ with_one)
-            _step(vectors, squares[3][own], moved[:, :-1], rate)
-            _step(bias, squares[4][own], moved[:, -1], rate)
-            rows, moved = _summed(cells, toward, len(table))
+            cells = (contexts.take(some, axis=0) + places).T.astype(np.intp)
+            expected = table.take(cells[0], axis=0)
+            for more in cells[1:]:
+                expected += table.take(more, axis=0)
+            with_one = np.ones((len(some), size + 1), np.float32)
+            with_one[:, :-1] = expected
+            # The true group, groups as noise and members as noise, one column each.
+            far = groups.group_draws[draw.integers(0, groups.drawn, noise)]
+            near = groups.member_draws[group, draw.integers(0, groups.drawn, noise)]
+            inner, member = vectors[own], slots.take(some) - group * members
+            drawn = np.concatenate([heads[group:group + 1], heads.take(far, axis=0), vectors.take(near, axis=0)])
+            drawn[0, -1] -= head_offset[group]
+            drawn[1:1 + noise, -1] -= head_offset[far]
+            drawn[1 + noise:, -1] -= offset[near]
+            drawn *= sign
+            pulls = _pulls(with_one @ drawn.T)
+            # The true member.
+            true = inner.take(member, axis=0)
+            up = _pulls(np.einsum("ij,ij->i", with_one, true) - offset[own].take(member))[:, None]
+            toward = pulls @ drawn[:, :-1]
+            toward += up * true[:, :-1]
+            moved = np.zeros((groups.count + members, size + 1), np.float32)
+            np.add.at(moved, np.concatenate([[group], far, near - group * members + groups.count]),
+                      sign * (pulls.T @ with_one))
+            moved[groups.count:, :-1] += _added(member, up * expected, members)
+            moved[groups.count:, -1] += np.bincount(member, up[:, 0], members)
+            _step(heads, squares[1], moved[:groups.count], rate)
+            _step(inner, squares[2][own], moved[groups.count:], rate)
+            rows, moved = _summed(cells.ravel(), toward, len(table))
             _step(table, squares[0], moved, rate, rows)
+        self.heads[:], self.head_bias[:] = heads[:, :-1], heads[:, -1]
+        self.vectors[:], self.bias[:] = vectors[:, :-1], vectors[:, -1]
         return squares
 
 
 def _log_share(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """Logarithm of the chosen column's share of a row's exponentials; `scores` are overwritten."""
-    own = scores[np.arange(len(scores)), chosen].astype(np.float64)
-    # Most rows fit single precision as they are; only the others are shifted by their maximum.
-    high = scores.max(axis=1)
-    shifted = np.flatnonzero((high > 60) | (high < -60))
-    if len(shifted):
+    own = scores.ravel().take(np.arange(len(scores)) * scores.shape[1] + chosen).astype(np.float64)
+    # Mostly all rows fit single precision as they are; if not, those that do not are shifted by their maximum.
+    if scores.max(initial=0) > 60 or scores[:, 0].min(initial=0) < -60:
+        high = scores.max(axis=1)
+        shifted = np.flatnonzero((high > 60) | (high < -60))
         scores[shifted] -= high[shifted, None]
         own[shifted] -= high[shifted]
     np.exp(scores, out=scores)
     return own - np.log(scores @ np.ones(scores.shape[1], np.float32))
 
 
-def _pulls(real: np.ndarray, fake: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How far true outputs are from being told as true, and noise from being told as noise."""
-    return 1 / (1 + np.exp(np.clip(real, -30, 30))), 1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+def _pulls(scores: np.ndarray) -> np.ndarray:
+    """How far outputs are from being told as what they are: one less the logistic of `scores`, which are overwritten."""
+    np.clip(scores, -30, 30, out=scores)
+    np.exp(scores, out=scores)
+    scores += 1
+    return np.divide(1, scores, out=scores)
 
 
 BLOCK = 4096  # parameters in a row of what tasks send
